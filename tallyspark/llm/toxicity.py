@@ -75,6 +75,10 @@ def compose(*machines: Transducer) -> Transducer:
 
 GRAMMAR = compose(NEGATION_SCOPE, REPORTED, ADDRESSED)
 CHANNELS = 16  # insult or threat, times the grammar's eight tags
+#: A word that matches again and again in a channel counts this often.
+REPEATS = 2
+#: Log odds, less twice their standard error, from which a single match is telling in a text of any length.
+STRONG = 3.0
 
 
 def _clauses(text: str | None) -> list[list[bytes]]:
@@ -108,16 +112,19 @@ class ToxicityGrammar:
         object.__setattr__(self, "_openings", {s.rstrip(b" ")[:4] for s in self.stems})
 
     def channels(self, text: str | None) -> np.ndarray:
-        """Total match weight of each channel over the whole text."""
-        out = np.zeros(CHANNELS)
+        """Total match weight of each channel over the whole text, its words and its different strong matches."""
+        out = np.zeros(CHANNELS + 2)
         clauses = _clauses(text)
+        out[CHANNELS] = sum(map(len, clauses))
         matched: dict[bytes, float] = {}
         for word in set().union(*clauses):
-            weight = 1.0 if word in self._threats else self._weight(word)
+            weight = max(self._weight(word), 1.0 if word in self._threats else 0.0)
             if weight:
                 matched[word] = weight
         if not matched:
             return out
+        out[CHANNELS + 1] = sum(weight >= STRONG for weight in matched.values())
+        times: Counter[tuple[int, bytes]] = Counter()
         for clause in clauses:
             if matched.keys().isdisjoint(clause):
                 continue
@@ -129,14 +136,17 @@ class ToxicityGrammar:
                 if weight:
                     symbol = THREAT if word in self._threats else INSULT
                     tag = GRAMMAR.tag[state] | 4 * addressed
-                    out[8 * (symbol == THREAT) + tag] += weight
+                    channel = 8 * (symbol == THREAT) + tag
+                    times[channel, word] += 1
+                    if times[channel, word] <= REPEATS:
+                        out[channel] += weight
                 else:
                     symbol = self._function_words.get(word, WORD)
                 state = GRAMMAR.step[state][symbol]
         return out
 
     def score(self, texts: Iterable[str | None]) -> np.ndarray:
-        rows = np.array([self.channels(text) for text in texts]).reshape(-1, CHANNELS)
+        rows = np.array([self.channels(text) for text in texts]).reshape(-1, CHANNELS + 2)
         return 1 / (1 + np.exp(-np.clip(design(rows) @ self.weights, -30, 30)))
 
     def transform(self, docs: DataFrame, *, text: str = "text", score: str = "score") -> DataFrame:
@@ -154,18 +164,20 @@ class ToxicityGrammar:
 
 
 def design(channels: np.ndarray) -> np.ndarray:
-    """Logistic inputs: a constant, all matches together, then each channel."""
-    return np.column_stack((np.ones(len(channels)), np.log1p(channels.sum(axis=1)), np.log1p(channels)))
+    """Logistic inputs: a constant, all matches together, for the text's length and the strong kinds, then each channel."""
+    total, words, kinds = channels[:, :CHANNELS].sum(axis=1), channels[:, CHANNELS], channels[:, CHANNELS + 1]
+    dense = np.log1p(100 * total / (words + 100))
+    return np.column_stack((np.ones(len(channels)), np.log1p(total), dense, np.log1p(kinds), np.log1p(channels[:, :CHANNELS])))
 
 
 #: Weights before any label is seen: a match tells more than its channel.
-PRIOR = np.array([-4.0, 6.0, *[0.0] * CHANNELS])
+PRIOR = np.array([-5.0, 1.5, 1.5, 6.5, *[0.0] * CHANNELS])
 
 
 def fit_weights(channels: np.ndarray, labels: np.ndarray, strength: float = 0.05, rounds: int = 30) -> np.ndarray:
     """Newton steps for the logistic weights with a Gaussian prior around ``PRIOR``."""
     x, w = design(channels), PRIOR.copy()
-    penalty = np.array([0.01, strength, *[1.0] * CHANNELS])
+    penalty = np.array([0.01, 20 * strength, strength, 400 * strength, *[2.0] * CHANNELS])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - labels) + penalty * (w - PRIOR)
@@ -200,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = 4000, mos
     rows = docs.select(doc_id, F.col(text).cast("string").alias("__text")).join(chosen, doc_id).select("__label", "__text")
     rows = rows.dropDuplicates(["__label", "__text"]).persist()
     sizes = {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}
-    stems = {w.encode() + b" ": 1.0 for w in THREATS}
+    stems: dict[bytes, float] = {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
@@ -211,19 +223,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = 4000, mos
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(total), pa.int32()), pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["kind", "unit", "n"])
 
     if sizes.get(0) and sizes.get(1):
-        least = max(3, sizes[1] // 500)
+        least = max(4, sizes[1] // 500)
         pos = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("pos")
         neg = F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("neg")
         units = rows.mapInArrow(count, "kind int, unit binary, n long").groupBy("unit").agg(pos, neg)
         odds = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
-        sure = (odds - 1.3 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))).alias("sure")
-        best = units.where(F.col("pos") >= least).select("unit", "pos", odds.alias("odds"), sure).where(F.col("sure") > 1.0)
+        sure = (odds - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))).alias("sure")
+        best = units.where(F.col("pos") >= least).select("unit", "pos", odds.alias("odds"), sure).where(F.col("sure") > 0.7)
         found = {bytes(r.unit): (r.sure, r.pos) for r in best.orderBy(F.desc("sure"), "unit").limit(most_stems).collect()}
         for unit, (sure_of, _) in found.items():
             letters = unit.rstrip(b" ").decode()
             shorter = [found[p][0] for n in STEM_LENGTHS if n < len(letters) and (p := letters[:n].encode()) in found]
             if all(x < sure_of for x in shorter):
-                stems[unit] = min(1.0, sure_of / 3)
+                stems[unit] = sure_of
     grammar = ToxicityGrammar(stems, PRIOR)
     if sizes.get(0) and sizes.get(1):
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = 4000, mos
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=["label", "channels"])
 
         sample = rows.mapInArrow(measure, "label int, channels array<double>").collect()
-        channels = np.array([r.channels for r in sample]).reshape(-1, CHANNELS)
+        channels = np.array([r.channels for r in sample]).reshape(-1, CHANNELS + 2)
         grammar = ToxicityGrammar(stems, fit_weights(channels, np.array([r.label for r in sample], float)))
     rows.unpersist()
     return grammar
