@@ -78,7 +78,7 @@ CHANNELS = 16  # insult or threat, times the grammar's eight tags
 #: A word that matches again and again in a channel counts this often.
 REPEATS = 2
 #: Log odds, less twice their standard error, from which a single match is telling in a text of any length.
-STRONG = 3.0
+STRONG = 4.0
 
 
 def _clauses(text: str | None) -> list[list[bytes]]:
