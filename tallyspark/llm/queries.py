@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, lattice_dedup, ngram_join, packing, quality, topk_search, toxicity
+from tallyspark.llm import language_id, lattice_dedup, lm_scoring, ngram_join, packing, quality, topk_search, toxicity
 from tallyspark.llm.common import read_table, remainder
 
 #: A score of at least this predicts label 1.
@@ -71,13 +71,19 @@ def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.lattice_dedup(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = remainder("doc_id", 7) != 2
+    return lm_scoring.lm_scores(docs, learn).withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_toxicity, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op10_best_fit_packing]
+    found = [op1_language_id, op2_toxicity, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
