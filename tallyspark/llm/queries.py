@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, lattice_dedup, lm_scoring, ngram_join, packing, quality, topk_search, toxicity
+from tallyspark.llm import language_id, lattice_dedup, licenses, lm_scoring, ngram_join, packing, pieces, quality, topk_search, toxicity
 from tallyspark.llm.common import read_table, remainder
 
 #: A score of at least this predicts label 1.
@@ -31,6 +31,58 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+LICENSE_SQL = f"""
+WITH files AS (
+  SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(doc_id AS VARCHAR) AS path, text
+  FROM documents
+), templates(licence, sentence) AS (
+  VALUES {", ".join("('" + name + "', '" + sentence + "')" for name, sentence in licenses.TEMPLATES)}
+), terms AS (
+  SELECT licence, token, count(*) AS ttf FROM (SELECT licence, unnest({_words_sql("sentence")}) AS token FROM templates) GROUP BY licence, token
+), held AS (
+  SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_words_sql("text")})) AS token FROM files)
+  WHERE token IN (SELECT token FROM terms) GROUP BY token
+), weights AS (
+  SELECT licence, token, ttf, ln((1.0 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf FROM terms LEFT JOIN held USING (token)
+), lengths AS (
+  SELECT licence, sqrt(sum(pow(ttf * idf, 2))) AS length FROM weights GROUP BY licence
+), lines AS (
+  SELECT path, len({_words_sql("text")}) AS size, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files
+), tokens AS (
+  SELECT path, size, line, len({_words_sql("content")}) AS long, unnest({_words_sql("content")}) AS token FROM lines
+), counted AS (
+  SELECT path, size, line, long, token, count(*) AS tf, any_value(idf) AS idf
+  FROM tokens JOIN (SELECT DISTINCT token, idf FROM weights) USING (token) GROUP BY path, size, line, long, token
+), owned AS (
+  SELECT path, line, sqrt(sum(pow(tf * idf, 2))) AS own FROM counted GROUP BY path, line
+), matched AS (
+  SELECT path, size, line, long, licence, round(sum(tf * ttf * weights.idf * weights.idf) / (any_value(own) * any_value(length)), {licenses.DIGITS}) AS score
+  FROM counted JOIN weights USING (token) JOIN owned USING (path, line) JOIN lengths USING (licence)
+  GROUP BY path, size, line, long, licence
+), best AS (
+  SELECT path, size, line, long, licence, score FROM matched WHERE score >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY score DESC, licence) = 1
+), own AS (
+  SELECT path, arg_min(licence, row(-score, licence)) AS licence, max(score) AS score, 2 * sum(long) >= any_value(size) AS whole FROM best GROUP BY path
+), holders AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS holder, path, licence, score FROM own WHERE whole
+  QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, path) = 1
+), near AS (
+  SELECT folder, arg_max(row(licence, score, h.path), length(holder)) AS h
+  FROM (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM files) JOIN holders h ON folder = holder OR starts_with(folder, holder || '/')
+  GROUP BY folder
+)
+SELECT doc_id, coalesce(own.licence, h[1]) AS licence, coalesce(own.score, h[2]) AS score,
+  CASE WHEN own.licence IS NOT NULL THEN 'header' WHEN h IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own.licence IS NOT NULL THEN files.path ELSE h[3] END AS licence_path
+FROM files LEFT JOIN own USING (path) LEFT JOIN near ON folder = regexp_replace(files.path, '/[^/]*$', '')
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -51,6 +103,24 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``/source/lang/doc_id``."""
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
+    files = read_table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    found = licenses.scan(files)
+    return licenses.inherit(files.select("doc_id", "path"), found).select("doc_id", "licence", "score", "origin", "licence_path")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text; ids as a digest, and whether decoding gives the text back."""
+    model = pieces.PieceModel.load(tokenizer_path("piece_bpe_32k.model"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, model), model)
+    # A marker character of the text itself comes back as a blank.
+    same = F.col("decoded") == F.replace("text", F.lit(pieces.MARK), F.lit(" "))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), same.alias("restored"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 4) == 2
@@ -83,9 +153,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_toxicity, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing]
+    found = [op1_language_id, op2_toxicity, op3_license_scan, op4_sentencepiece, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": TOP_K_SQL}
+    return {"op3_license_scan": LICENSE_SQL, "op6_topk_search": TOP_K_SQL}
