@@ -27,6 +27,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids up to this number are sent to all tasks; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def matching_rows(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` semi- or anti-joined with one column of distinct ids, whose number is checked first.
+
+    A short list of ids saves the shuffle of all texts; a long one is shuffled like any other table.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, ids.columns, how)
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

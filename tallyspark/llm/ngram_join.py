@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut_lineage, fold_case, mix64, run_hashes, segments, slices
+from tallyspark.llm.common import cut_lineage, fold_case, matching_rows, mix64, run_hashes, segments, slices
 from tallyspark.llm.components import connected_components
 
 WORDS = 5
@@ -203,7 +203,8 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "band", "cell", "rep", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")).join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text"))
+    texts = matching_rows(texts, members.select("rep").distinct(), "left_semi")
     sets = _shingle_table(texts, words).dropDuplicates(["rep"]).join(named.select("rep", "copies", "bands"), "rep")
 
     def check(key: tuple, table: pa.Table) -> pa.Table:
