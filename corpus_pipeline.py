@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import language_id, ngram_join, packing, toxicity
-from tallyspark.llm.common import cut_lineage, read_table
+from tallyspark.llm.common import cut_lineage, matching_rows, read_table
 from tallyspark.llm.queries import CUT, tokenizer_path
 
 
@@ -30,13 +30,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id.
 
-    Rows that repeat an id count once.  A row without an id stays if its text links with nothing.
+    Rows that repeat an id count once, and so do equal texts without an id.
     """
-    found = ngram_join.jaccard_join(docs)
-    kept = found.where("kept and (doc_id is not null or n_links = 0)").select("doc_id").distinct()
-    same = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    found = cut_lineage(ngram_join.jaccard_join(docs))
+    dropped = found.where("not (kept and (doc_id is not null or n_links = 0))").select("doc_id").distinct()
+    # Texts without an id are told apart by their own links only, as an id is all that a link names.
+    named = matching_rows(docs.where("doc_id is not null"), dropped.where("doc_id is not null"), "left_anti")
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text")))
-    return same.withColumn("__nth", nth).where("__nth = 1 or doc_id is null").select(*docs.columns)
+    again = matching_rows(named, repeated, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return matching_rows(named, repeated, "left_anti").unionByName(again).unionByName(nameless).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
