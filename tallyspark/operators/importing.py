@@ -137,6 +137,7 @@ def shape_errors(body: DataFrame) -> DataFrame:
 
 def import_records(records: DataFrame, options: ImportOptions = ImportOptions(), refused: DataFrame | None = None) -> ImportResult:
     """Invoices and errors of ``records``; files in ``refused(file_id, ...)`` are left out."""
+    every = records
     if refused is not None:
         records = records.join(refused.select("file_id").distinct(), "file_id", "left_anti")
     headers = records.where("idx = 0")
@@ -184,13 +185,14 @@ def import_records(records: DataFrame, options: ImportOptions = ImportOptions(),
         # Files that stop before their rows keep the plain reason.
         stopped = reduce(DataFrame.unionByName, errors[: 2 + bool(options.date_order)]).select("file_id", F.lit(True).alias("stopped")).distinct()
         mapping = mapping.join(stopped, "file_id", "left").withColumn("reason", F.when(F.col("stopped"), F.col("reason")).otherwise(told)).drop("stopped")
-    return ImportResult(invoices.select([f.name for f in INVOICE.fields]), mapping, unmapped_columns(headers, mapping), reduce(DataFrame.unionByName, errors).select(*ERROR), records)
+    return ImportResult(invoices.select([f.name for f in INVOICE.fields]), mapping, unmapped_columns(headers, mapping), reduce(DataFrame.unionByName, errors).select(*ERROR), every)
 
 
 def import_files(files: DataFrame, options: ImportOptions = ImportOptions()) -> ImportResult:
     """Import ``files(file_id, content)``; each file becomes a ledger."""
     faults = encoding_faults(files)
-    records = read_records(files)
+    # Headers, column facts and rows each read the records; ``result.records.unpersist()`` frees them.
+    records = read_records(files).persist()
     empty = files.join(records.where("idx = 0"), "file_id", "left_anti").join(faults, "file_id", "left_anti")
     nothing = _error(empty, F.lit(0), F.lit("(file)"), F.lit(""), F.lit("the file has no rows, so there is nothing to map or import"))
     result = import_records(records, options, faults)
