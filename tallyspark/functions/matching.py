@@ -73,6 +73,17 @@ def neighbour_swaps(amount: Column) -> Column:
     )
 
 
+def raised_swaps(amount: Column) -> Column:
+    """The larger amounts that one swap of neighbouring digits makes of an amount in whole cents."""
+
+    def swapped(k: int) -> Column:
+        low, high = F.expr(f"{10**k}L"), F.expr(f"{10 ** (k + 1)}L")
+        right, left = F.call_function("div", amount, low) % 10, F.call_function("div", amount, high) % 10
+        return F.when((amount >= high) & (right > left), amount + (right - left) * 9 * low)
+
+    return F.array_compact(F.array(*(swapped(k) for k in range(15))))
+
+
 def normal_bank(account: Column) -> Column:
     """The last four digits, filled with zeros in front."""
     return F.lpad(F.right(F.regexp_replace(F.coalesce(account, F.lit("")), "[^0-9]", ""), F.lit(4)), 4, "0")

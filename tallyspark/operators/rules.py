@@ -108,18 +108,24 @@ def vendor_spelling_duplicates(rows: DataFrame, options: Options = Options()) ->
 def amount_transpositions(rows: DataFrame, options: Options = Options()) -> DataFrame:
     """Two bills of one supplier, close in time, whose amounts differ by a swap of neighbouring digits.
 
-    Each row looks its swapped amounts up by an equal join.  Days are dealt into spans of the window's
+    Amounts look their swapped forms up by an equal join.  Days are dealt into spans of the window's
     length, so a common amount of a busy supplier is not one key.
     """
     span = options.rekey_window_days + 1
-    paid = _payables(rows, options.min_amount).where(F.col("invoice_date").isNotNull()).select("ledger_id", "vendor_norm", "vendor_name", "cur", "currency", "amount", "invoice_date", "seq", "id")
-    paid = paid.withColumn("span", F.floor(F.unix_date("invoice_date") / span))
-    keep = ["vendor_name", "currency", "amount", "invoice_date", "seq", "id"]
-    earlier = paid.select("ledger_id", "vendor_norm", "cur", F.struct(*keep).alias("a"), "span", F.explode(m.neighbour_swaps(F.col("amount"))).alias("cents"))
-    earlier = earlier.withColumn("span", F.explode(F.array("span", F.col("span") + 1)))
-    later = paid.select("ledger_id", "vendor_norm", "cur", "span", m.cents(F.col("amount")).cast("string").alias("cents"), F.struct(*keep).alias("b"))
-    pairs = earlier.join(later, ["ledger_id", "vendor_norm", "cur", "span", "cents"])
-    pairs = pairs.where((reading_order("a") < reading_order("b")) & (m.days_between(F.col("a.invoice_date"), F.col("b.invoice_date")) <= options.rekey_window_days))
+    paid = _payables(rows, options.min_amount).where(F.col("invoice_date").isNotNull())
+    cell = ["ledger_id", "vendor_norm", "cur", "span", "cents"]
+    paid = paid.select("ledger_id", "vendor_norm", "cur", F.floor(F.unix_date("invoice_date") / span).alias("span"), m.cents(F.col("amount")).alias("cents"), "vendor_name", "currency", "amount", "invoice_date", "seq", "id")
+    # Cells that hold a row, then pairs of such cells; only rows of paired cells are joined.
+    cells = paid.select(*cell).distinct()
+    raised = cells.select("*", F.explode(m.raised_swaps(F.col("cents"))).alias("other")).withColumn("beside", F.explode(F.array(*(F.col("span") + k for k in (-1, 0, 1)))))
+    others = cells.select("ledger_id", "vendor_norm", "cur", F.col("span").alias("beside"), F.col("cents").alias("other"))
+    paired = raised.join(others, ["ledger_id", "vendor_norm", "cur", "beside", "other"])
+    keep = F.struct("vendor_name", "currency", "amount", "invoice_date", "seq", "id")
+    low = paired.join(paid.select(*cell, keep.alias("x")), cell)
+    high = paid.select("ledger_id", "vendor_norm", "cur", F.col("span").alias("beside"), F.col("cents").alias("other"), keep.alias("y"))
+    pairs = low.join(high, ["ledger_id", "vendor_norm", "cur", "beside", "other"]).where(m.days_between(F.col("x.invoice_date"), F.col("y.invoice_date")) <= options.rekey_window_days)
+    first = reading_order("x") < reading_order("y")
+    pairs = pairs.select("ledger_id", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
     text = F.concat(
         F.col("a.vendor_name"), F.lit(" has two invoices days apart for "), money_text(F.col("a.amount"), F.col("a.currency")), F.lit(" and "), money_text(F.col("b.amount"), F.col("b.currency")),
         F.lit(" — the same digits in a different order, which is how a mistyped amount usually looks."),
