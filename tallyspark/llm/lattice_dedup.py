@@ -70,9 +70,10 @@ def neighbours(x: np.ndarray, home: np.ndarray, number: int) -> np.ndarray:
     return home[:, None, :] + around[near]
 
 
-def _cell(points: np.ndarray, table: int) -> np.ndarray:
+def _cell(points: np.ndarray, table: int, length: int) -> np.ndarray:
+    """A hash of lattice points, different for each table and for vectors of different lengths."""
     whole = np.rint(2 * points).astype(np.int64).astype(np.uint64)
-    value = np.full(whole.shape[:-1], table + 1, np.uint64)
+    value = mix64(np.full(whole.shape[:-1], (length << 16) + table + 1, np.uint64))
     for k in range(whole.shape[-1]):
         value = mix64(value + whole[..., k])
     return value.view(np.int64)
@@ -86,12 +87,12 @@ def cells(unit: np.ndarray, tables: int, parts: int, width: float = WIDTH, probe
         random = np.random.default_rng((d, table))
         x = unit @ random.standard_normal((d, 8 * parts)) / width
         point = np.concatenate([nearest_e8(x[:, 8 * p : 8 * p + 8]) for p in range(parts)], axis=1)
-        home[:, table] = _cell(point, table)
+        home[:, table] = _cell(point, table, d)
         for p in range(parts):
             part = slice(8 * p, 8 * p + 8)
             moved = np.repeat(point[:, None, :], probes, axis=1)
             moved[:, :, part] = neighbours(x[:, part], point[:, part], probes)
-            probed[:, table, p * probes : (p + 1) * probes] = _cell(moved, table)
+            probed[:, table, p * probes : (p + 1) * probes] = _cell(moved, table, d)
     return home, probed
 
 
@@ -184,7 +185,7 @@ def lattice_dedup(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "
 
     def check(key: tuple, data: pa.Table) -> pa.Table:
         ids = data["rep"].to_numpy()
-        unit = np.array([np.frombuffer(v) for v in data["unit"].to_pylist() if v is not None])
+        unit = np.array([np.frombuffer(v) for v in data["unit"].to_pylist()])
         home = np.array([np.frombuffer(v, np.int64) for v in data["home"].to_pylist()])
         probed = np.array([np.frombuffer(v, np.int64) for v in data["probed"].to_pylist()]).reshape(len(ids), tables, -1)
         prober = data["prober"].to_numpy(zero_copy_only=False)
