@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many bytes, which bounds a task's memory.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Rows whose texts a task holds as Python strings at once.
+SLICE_ROWS = 1000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -71,6 +73,11 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         start = stop
 
 
+def row_slices(batch: pa.RecordBatch, most: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most ``most`` rows."""
+    return (batch.slice(lo, most) for lo in range(0, len(batch), most))
+
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 

@@ -15,7 +15,6 @@ columns of other names are not read.
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut_lineage, slices
+from tallyspark.llm.common import cut_lineage, row_slices
 
 CAPACITY = 2048
 END = 0
@@ -87,7 +86,7 @@ def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(path)
         mark = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             rows: list[tuple[int, int, int, int, int]] = []
             for i, value in enumerate(batch.column(1).to_pylist()):
                 ids = cache.ids(value or "") + mark

@@ -17,7 +17,6 @@ their priors; repeated rows are scored alike; columns of other names are passed
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.llm.common import row_slices
+
 # Function words of the grammar in English, German, French and Spanish.
 NEGATIONS = "not no never without nicht kein keine nie ohne pas jamais sans nunca sin".split()
 REPORTS = "said says wrote called quoted claimed sagte schrieb nannte dit appelle dijo escribe llama".split()
@@ -156,7 +157,7 @@ class ToxicityGrammar:
         schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
 
         def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in row_slices(whole)):
                 value = self.score(batch.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=schema.names)
 
