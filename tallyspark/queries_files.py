@@ -9,7 +9,7 @@ from tallyspark.functions import coercion
 from tallyspark.operators import importing, mapping, review
 from tallyspark.plans.detection import detect
 from tallyspark.plans.review import ReviewState, review_state
-from tallyspark.queries import DETECT_SQL, INVOICES_SQL, Query, _money
+from tallyspark.queries import DETECT_SQL, INVOICES_SQL, Query
 from tallyspark.sources.csv_files import csv_line, export_columns
 from tallyspark.sources.tables import projected_invoices
 
