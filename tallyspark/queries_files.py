@@ -211,6 +211,10 @@ _LINES = f"""{INVOICES_SQL}, placed AS (
 )"""
 _AMOUNT_HEADER = "CASE s % 3 WHEN 0 THEN 'Net Amount' WHEN 1 THEN 'Gross' ELSE 'Value' END"
 _COLUMNS = " UNION ALL ".join(f"SELECT {layout} AS layout, {place} AS \"column\", '{name}' AS header, '{field}' AS field" for layout, head in enumerate(HEADERS) for place, (name, field) in enumerate(zip(head.split(","), mapping.FIELDS, strict=True)))
+_SIZE, _MINUS = "format('{:,.2f}', CAST(abs(amount) AS DOUBLE))", "CASE WHEN amount < 0 THEN"
+_WRITTEN = f"""SELECT *, CASE s % 3 WHEN 0 THEN CAST(invoice_date AS VARCHAR) WHEN 1 THEN strftime(invoice_date, '%-d %b %Y') ELSE strftime(invoice_date, '%Y%m%d 00:00:00') END AS day,
+  CASE s % 3 WHEN 0 THEN {_MINUS} '-' ELSE '' END || replace({_SIZE}, ',', '') WHEN 1 THEN {_MINUS} '(' || {_SIZE} || ')' ELSE {_SIZE} END ELSE translate({_SIZE}, ',.', '.,') || {_MINUS} ' CR' ELSE '' END END AS written
+FROM placed"""
 _DECIDED = f"""{DETECT_SQL}, decided AS (
   SELECT *, CASE length(finding_key) % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' END AS decision, CASE length(finding_key) % 5 WHEN 1 THEN 'seen the papers' END AS reason FROM found
 )"""
@@ -231,7 +235,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
 SELECT file_id, rows_read, rows_skipped, file_id || ' — ' || rows_read || ' rows' || CASE WHEN rows_skipped > 0 THEN ', ' || rows_skipped || ' skipped' ELSE '' END AS ledger_name, CAST(NULL AS VARCHAR) AS first_error FROM t""",
     ),
     "import_reconciliation": (import_reconciliation, f"WITH {_LINES} SELECT file_id, count(*) AS records, 0 AS unaccounted FROM placed GROUP BY file_id"),
-    "import_preview": (import_preview, ""),
+    "import_preview": (import_preview, f"WITH {_LINES}, t AS ({_WRITTEN}) SELECT file_id, CAST(line AS INTEGER) AS line, vendor_name || '|' || invoice_number || '|' || day || '|' || CASE WHEN amount = 45 THEN 'n/a' ELSE written END || '|' || currency || '||' || coalesce(bank_last4, '') AS cells FROM t WHERE line <= 6"),
     "header_scores": (header_scores, f"WITH h(header, score) AS (VALUES {_SCORES}), used AS (SELECT DISTINCT s_suppkey % 3 AS layout FROM supplier) SELECT header, CAST(score AS DOUBLE) AS score FROM h JOIN used ON layout = CASE header WHEN 'Invoice Date' THEN 0 WHEN 'Doc Date' THEN 1 ELSE 2 END"),
     "ledger_csv": (ledger_csv, f"WITH {INVOICES_SQL} SELECT id, vendor_name || ',' || invoice_number || ',' || invoice_date || ',' || format('{{:.2f}}', CAST(amount AS DOUBLE)) || ',' || currency || ',,' || coalesce(bank_last4, '') AS line FROM inv"),
     "parse_dates": (parse_dates, f"WITH {INVOICES_SQL} SELECT id, CAST(invoice_date AS VARCHAR) AS first, CAST(invoice_date AS VARCHAR) AS last, 5 AS texts FROM inv"),
