@@ -164,19 +164,26 @@ def gradients(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.ndarr
             slope[some] += delta @ p["word_weights"][k].T
     slope = slope.reshape(steps, lanes, HIDDEN)
     carried = np.zeros_like(h)
+    to_gates, to_input = (np.empty((steps, lanes, 3 * HIDDEN), h.dtype) for _ in range(2))
     for t in reversed(range(steps)):
         before, z, r, n, back = kept[t]
         d = slope[t] + carried
         dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before - n) * z * (1 - z)
-        dr = dn * back * r * (1 - r)
-        to_gates = np.concatenate((dz, dr, dn * r), axis=1)
-        to_input = np.concatenate((dz, dr, dn), axis=1)
-        np.add.at(g["inputs"], inputs[t], to_input)
-        g["bias"] += to_input.sum(axis=0)
-        g["gates"] += before.T @ to_gates
-        carried = d * z + to_gates @ p["gates"].T
+        to_input[t, :, :HIDDEN] = d * (before - n) * z * (1 - z)
+        to_input[t, :, HIDDEN : 2 * HIDDEN] = dn * back * r * (1 - r)
+        to_input[t, :, 2 * HIDDEN :] = dn
+        to_gates[t] = to_input[t]
+        to_gates[t, :, 2 * HIDDEN :] *= r
+        carried = d * z + to_gates[t] @ p["gates"].T
         carried[fresh[t]] = 0
+    g["gates"] = np.concatenate([k[0] for k in kept]).T @ to_gates.reshape(number, -1)
+    flat_input = to_input.reshape(number, -1)
+    g["bias"] = flat_input.sum(axis=0)
+    symbols = inputs.ravel()
+    by_symbol = np.argsort(symbols, kind="stable")
+    ranked = symbols[by_symbol]
+    firsts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    g["inputs"][ranked[firsts]] = np.add.reduceat(flat_input[by_symbol], firsts, axis=0)
     return g, h, loss / number
 
 

@@ -3,9 +3,9 @@
 Spark counts every token of every document.  Tokens above a fixed share of all tokens are common:
 their number is bounded by the share, so they go to every task.  The most frequent of them are the
 model's words; all other tokens are predicted through one of a few rare classes and then by their
-smoothed frequency within it.  The network is trained by truncated backpropagation: shards of
-training documents, whose number grows with the table, start from the same parameters and Spark
-averages what they learn.  Scoring carries the state over a whole document.  Counts of tokens that
+smoothed frequency within it.  The network is trained on every training document by truncated
+backpropagation: shards of them, whose number grows with the table, start from the same parameters
+and Spark averages what they learn.  Scoring carries the state over a whole document.  Counts of tokens that
 are not common are looked up by a join, so no table of all tokens leaves the executors.
 
 Defined results: a null text is an empty one and has one token, its end; repeated rows are scored
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import gru
-from tallyspark.llm.common import cut_lineage
+from tallyspark.llm.common import cut_lineage, row_slices
 
 #: Tokens with at least this share of all tokens are common; there are at most its inverse of them.
 COMMON_SHARE = 1 / 500_000
@@ -126,11 +126,11 @@ def symbol_ids(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
     return np.array([i if (i := get(w)) is not None else size + rare_class(w) for w in words], np.int32)
 
 
-def train(docs: DataFrame, learn: Column, known: Statistics, *, doc_id: str = "doc_id", text: str = "text", base: int = 2000, per_root: float = 10.0, rounds: int = 2, shard_documents: int = 800) -> gru.Parameters:
-    """Parameters averaged over shards of training documents.
+def train(docs: DataFrame, learn: Column, known: Statistics, *, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, shard_documents: int = 2000) -> gru.Parameters:
+    """Parameters averaged over shards of all training documents.
 
-    The documents of smallest id hash are taken: ``base`` of them, or ``per_root`` times the square
-    root of the table's rows if that is more, in shards of about ``shard_documents``.
+    Every document is dealt to one round and to one shard of about ``shard_documents`` in it, so the
+    number of shards grows with the table and each document is passed over once.
     """
     shape = shape_of(known)
     place = {token: i for i, token in enumerate(known.words)}
@@ -139,18 +139,18 @@ def train(docs: DataFrame, learn: Column, known: Statistics, *, doc_id: str = "d
     number = docs.where(learn).count()
     if not number:
         return parameters
-    wanted = min(number, max(base, int(per_root * math.sqrt(number))))
-    mark = F.pmod(F.xxhash64(doc_id, F.lit(17)), F.lit(1_000_000))
-    picked = docs.where(learn & (mark < math.ceil(1_000_000 * wanted / number)))
-    shards = max(1, round(wanted / shard_documents))
+    shards = max(1, round(number / (rounds * shard_documents)))
 
     def to_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [symbol_ids(tokens(value), place).tobytes() for value in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["shard", "symbols"])
+        for batch in (part for whole in batches for part in row_slices(whole)):
+            rows = [symbol_ids(tokens(value), place).astype(np.uint16).tobytes() for value in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["turn", "shard", "symbols"])
 
-    shard = F.pmod(F.xxhash64(doc_id, F.lit(23)), F.lit(shards)).cast("int")
-    sample = cut_lineage(picked.select(shard.alias("shard"), F.col(text).cast("string")).mapInArrow(to_symbols, "shard int, symbols binary"))
+    # The text counts too, so that rows of one id do not all meet in one shard.
+    turn_of = F.pmod(F.xxhash64(doc_id, text, F.lit(17)), F.lit(rounds)).cast("int")
+    shard_of = F.pmod(F.xxhash64(doc_id, text, F.lit(23)), F.lit(shards)).cast("int")
+    dealt = docs.where(learn).select(turn_of.alias("turn"), shard_of.alias("shard"), F.col(text).cast("string"))
+    dealt = cut_lineage(dealt.mapInArrow(to_symbols, "turn int, shard int, symbols binary"))
 
     def average(_: tuple, table: pa.Table) -> pa.Table:
         weight = table["weight"].to_numpy().astype(float)
@@ -159,16 +159,20 @@ def train(docs: DataFrame, learn: Column, known: Statistics, *, doc_id: str = "d
 
     def learner(start: gru.Parameters, turn: int):
         def learn_shard(key: tuple, table: pa.Table) -> pa.Table:
-            texts = [np.frombuffer(x, np.int32) for x in sorted(table["symbols"].to_pylist())]
-            learned, seen = gru.train(start, shape, texts, rate=0.006 if turn == 0 else 0.003, seed=100 * turn + key[0].as_py(), epochs=2 if turn == 0 else 1)
-            return pa.table({"part": pa.array([key[0].as_py() % 16], pa.int32()), "weight": pa.array([seen]), "parameters": pa.array([gru.pack(learned)], pa.binary())})
+            texts = [np.frombuffer(x, np.uint16).astype(np.int32) for x in sorted(table["symbols"].to_pylist())]
+            learned, seen = gru.train(start, shape, texts, rate=0.006 if turn == 0 else 0.003, lanes=192, seed=100 * turn + key[0].as_py())
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weight": pa.array([seen]), "parameters": pa.array([gru.pack(learned)], pa.binary())})
 
         return learn_shard
 
     schema = "part int, weight long, parameters binary"
     for turn in range(rounds):
-        # Parameters have a fixed size; at most 16 averages reach the driver.
-        found = sample.groupBy("shard").applyInArrow(learner(parameters, turn), schema).groupBy("part").applyInArrow(average, schema).collect()
+        found, parts = dealt.where(F.col("turn") == turn).groupBy("shard").applyInArrow(learner(parameters, turn), schema), shards
+        # Parameters have a fixed size; at most 16 of them are averaged at once or reach the driver.
+        while parts > 16:
+            parts = -(-parts // 16)
+            found = found.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(average, schema)
+        found = found.collect()
         total = sum(row.weight for row in found)
         if total:
             parameters = gru.unpack(sum(row.weight / total * np.frombuffer(row.parameters, np.float32) for row in found), parameters)

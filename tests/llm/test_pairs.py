@@ -316,3 +316,13 @@ def test_lm_odd(odd_docs, no_docs):
     assert [r.n_tokens for r in rows if r.doc_id == 1] == [1]
     assert lm_scoring.lm_scores(odd_docs, F.lit(False)).count() == odd_docs.count()
     assert lm_scoring.lm_scores(no_docs, F.lit(True)).count() == 0
+
+
+def test_lm_learns_from_every_document(spark):
+    # Beyond 2,000 documents the ones of larger id hash count too: only they hold the pair "ccc ddd".
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"))
+    late = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) >= 250_000
+    docs = docs.withColumn("text", F.when(late, F.repeat(F.lit("ccc ddd "), 100)).otherwise(F.repeat(F.lit("aaa bbb "), 100)))
+    docs = docs.unionByName(spark.createDataFrame([(9000, "ccc ddd " * 100)], docs.schema))
+    row = lm_scoring.lm_scores(docs, F.col("doc_id") < 9000).where("doc_id = 9000").first()
+    assert row.score > 0.2 * row.base_score
