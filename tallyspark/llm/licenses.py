@@ -1,13 +1,13 @@
 """Licence scan: TF-IDF cosine of text lines to licence templates, inherited along directories.
 
-Everything is DataFrame expressions, joins and aggregates.  Vectors live in the space of the
-templates' words; document frequencies of these words are counted over all texts.  Every line of a
+Everything is DataFrame expressions, joins and aggregates.  A line's vector holds all its words, so
+unrelated words lower its score; document frequencies are counted over all texts.  Every line of a
 text is compared, but lines without an anchor word are left out first: the words that are not
 anchors carry less than the threshold's share of each template's length, so by the Cauchy-Schwarz
 inequality such a line cannot reach the threshold.
 
-A file's own licence is that of its best line.  A file most of whose words belong to its licence
-lines is a licence file: it also licenses its directory.  A file without a licence of its own takes
+A file's own licence is that of its best line.  A file most of whose words are words of the matched
+templates in its licence lines is a licence file: it also licenses its directory.  A file without a licence of its own takes
 that of the nearest ancestor directory that has one; of several licence files in one directory the
 best match counts, then the first path.
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import cut_lineage, matching_rows
+
 THRESHOLD = 0.7
 #: Scores are compared and returned with this many digits.
 DIGITS = 4
@@ -46,6 +48,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def inverse_frequency(total: int, df: Column) -> Column:
+    return F.log((1 + F.lit(total)) / (1 + F.coalesce(df, F.lit(0)))) + 1
+
+
+def document_frequencies(files: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(token, df) of the ``wanted`` tokens over all files."""
+    words = files.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("token"))
+    return matching_rows(words.groupBy("token").agg(F.count("*").alias("df")), wanted, "left_semi")
+
+
 def template_weights(spark: SparkSession, files: DataFrame, text: str, templates: list[tuple[str, str]]) -> DataFrame:
     """(licence, token, idf, tf, length): the templates' vectors with document frequencies from all files."""
     table = spark.createDataFrame(templates, "licence string, sentence string")
@@ -53,8 +65,7 @@ def template_weights(spark: SparkSession, files: DataFrame, text: str, templates
     vocabulary = F.array(*(F.lit(t) for t in sorted({t for _, s in templates for t in "".join(c if c.isalnum() else " " for c in s.lower()).split()})))
     total = files.count()
     held = files.select(F.explode(F.array_intersect(words_of(F.col(text)), vocabulary)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    rows = terms.join(F.broadcast(held), "token", "left").withColumn("idf", idf)
+    rows = terms.join(F.broadcast(held), "token", "left").withColumn("idf", inverse_frequency(total, F.col("df")))
     length = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).over(Window.partitionBy("licence")))
     return rows.select("licence", "token", "tf", "idf", length.alias("length"))
 
@@ -82,24 +93,28 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", templates:
     rows = files.select(F.col(path).alias("path"), F.col(text).cast("string").alias("text"))
     # The templates' vectors are as small as the templates: they are worked out once and sent to all tasks.
     weights = template_weights(spark, rows, "text", templates).collect()
-    literal = [(r.licence, r.token, int(r.tf), float(r.idf), float(r.length)) for r in weights]
-    table = F.broadcast(spark.createDataFrame(literal, "licence string, token string, ttf int, idf double, length double"))
-    idf = F.broadcast(spark.createDataFrame(sorted({(r.token, float(r.idf)) for r in weights}), "token string, idf double"))
+    literal = [(r.licence, r.token, int(r.tf), float(r.length)) for r in weights]
+    table = F.broadcast(spark.createDataFrame(literal, "licence string, token string, ttf int, length double"))
     marks = F.array(*(F.lit(t) for t in anchors(weights, threshold)))
     touched = rows.where(F.arrays_overlap(words_of(F.col("text")), marks) & F.col("path").isNotNull())
     touched = touched.withColumn("size", F.size(words_of(F.col("text"))))
     lines = touched.select("path", "size", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.select("path", "size", "line", words_of(F.col("content")).alias("words")).where(F.arrays_overlap("words", marks))
-    terms = lines.select("path", "size", "line", F.size("words").alias("long"), F.explode("words").alias("token")).join(idf, "token")
-    terms = terms.groupBy("path", "size", "line", "long", "token").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
-    length = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).over(Window.partitionBy("path", "size", "line", "long"))).alias("own")
-    measured = terms.select("path", "size", "line", "long", "token", "tf", length)
-    matched = measured.join(table, "token").groupBy("path", "size", "line", "long", "own", "licence", "length").agg(F.sum(F.col("tf") * F.col("ttf") * F.col("idf") * F.col("idf")).alias("dot"))
+    terms = lines.select("path", "size", "line", F.size("words").alias("of"), F.explode("words").alias("token")).groupBy("path", "size", "line", "of", "token").agg(F.count("*").alias("tf"))
+    # Few lines have an anchor: their words are kept, and only these words are counted over all texts.
+    terms = cut_lineage(terms)
+    held = document_frequencies(rows, "text", terms.select("token").distinct())
+    terms = terms.join(held, "token", "left").withColumn("idf", inverse_frequency(rows.count(), F.col("df")))
+    length = F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).over(Window.partitionBy("path", "size", "line", "of"))).alias("own")
+    measured = terms.select("path", "size", "line", "of", "token", "tf", "idf", length)
+    matched = measured.join(table, "token").groupBy("path", "size", "line", "of", "own", "licence", "length").agg(
+        F.sum(F.col("tf") * F.col("ttf") * F.col("idf") * F.col("idf")).alias("dot"), F.sum("tf").alias("long")
+    )
     score = F.round(F.col("dot") / (F.col("own") * F.col("length")), DIGITS)
     matched = matched.withColumn("score", score).where(F.col("score") >= threshold)
     # The best licence of each line, then of each file.
-    best = matched.groupBy("path", "size", "line", "long").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
-    own = best.groupBy("path", "size").agg(F.min("b").alias("b"), F.sum("long").alias("covered"))
+    best = matched.groupBy("path", "size", "line", "of").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence", "long")).alias("b"))
+    own = best.groupBy("path", "size").agg(F.min("b").alias("b"), F.sum("b.long").alias("covered"))
     own = own.groupBy("path").agg(F.min("b").alias("b"), F.max((2 * F.col("covered") >= F.col("size")).cast("int")).alias("whole"))
     return own.select("path", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"), (F.col("whole") == 1).alias("licence_file"))
 

@@ -127,6 +127,18 @@ def test_license_inheritance(spark):
     assert licenses.scan(files.where("false")).count() == 0
 
 
+def test_license_counts_unrelated_words(spark, docs):
+    rows = [
+        ("/n/news.txt", "The hotel said that all rooms were reserved while voting rights groups met downtown"),
+        ("/n/novel.txt", "the author released a new novel about MIT students and their driving license"),
+        ("/m/x.txt", "Released under the MIT License."),
+        ("/n/plain.txt", "print(1)"),
+    ]
+    files = docs.select(F.concat(F.lit("/d/"), "doc_id").alias("path"), "text").unionByName(spark.createDataFrame(rows, "path string, text string"))
+    found = {r.path: r.licence for r in licenses.inherit(files, licenses.scan(files)).collect()}
+    assert [found[path] for path, _ in rows] == [None, None, "MIT", None]
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
 def test_license_anchors_are_safe(spark, docs, threshold):
     weights = licenses.template_weights(spark, docs, "text", licenses.TEMPLATES).collect()
