@@ -45,7 +45,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' token pieces with their places in sequences."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), added=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

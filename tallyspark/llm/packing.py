@@ -51,15 +51,29 @@ def encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The ``tokenizers`` model of the file with its default settings, and a pattern of the added tokens' literals."""
+    from tokenizers import Tokenizer
+
+    literals = [token["content"] for token in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+    return Tokenizer.from_file(path), re.compile("|".join(map(re.escape, literals)) or r"(?!)")
+
+
 #: A blank next to other white space, or at an end of the text, is not always a word boundary.
 _ODD_BLANK = re.compile(r"^ |\s | \s| $")
 
 
 class WordCache:
-    """Token ids of texts; words between single blanks are encoded once and remembered."""
+    """Token ids of texts; words between single blanks are encoded once and remembered.
+
+    With ``added`` a text that holds an added token's literal is encoded by the library itself, which
+    gives the token's id; otherwise the literal is ordinary text.
+    """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         self.encode = encoder(path).encode_ordinary
+        self.library, self.literals = library(path) if added else (None, None)
         self.known: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
@@ -72,6 +86,8 @@ class WordCache:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if self.literals and self.literals.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not text or _ODD_BLANK.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         first, *rest = text.split(" ")
@@ -80,11 +96,11 @@ class WordCache:
         return b"".join(parts)
 
 
-def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece; only the first piece of a longer text may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path)
+        cache = WordCache(path, added)
         mark = np.array([end], "<u4").tobytes()
         for batch in (part for whole in batches for part in row_slices(whole)):
             rows: list[tuple[int, int, int, int, int]] = []
@@ -177,9 +193,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = pieces(docs, path, doc_id=doc_id, text=text, capacity=capacity, end=end)
+    cut = pieces(docs, path, doc_id=doc_id, text=text, capacity=capacity, end=end, added=added)
     salted = cut_lineage(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.rand(7)), F.lit(SALTS)).cast("int")))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     # At most capacity * SALTS rows: the pieces of a length are numbered part by part.

@@ -149,7 +149,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), added=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

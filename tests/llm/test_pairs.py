@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import gru, lattice_dedup, lm_scoring, ngram_join, packing, pieces, topk_search
+from tallyspark.llm import gru, lattice_dedup, lm_scoring, ngram_join, packing, pieces, queries, topk_search
 from tallyspark.llm.common import remainder
 from tallyspark.llm.components import connected_components
 
@@ -215,6 +215,17 @@ def test_packing_odd(odd_docs, no_docs):
     assert packing.pack(no_docs, tokenizer(BPE)).count() == 0
 
 
+def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "see <|endoftext|> here"), (2, "<|endoftext|>"), (3, " a <|endoftext|><|endoftext|>\n"), (4, "<|EndOfText|>"), (5, "plain words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = Tokenizer.from_file(tokenizer(BPE))
+    found = {r.doc_id: (r.length, r.ids_crc32) for r in queries.op10_best_fit_packing(spark, str(tmp_path)).collect()}
+    ids = {i: np.array([*model.encode(text, add_special_tokens=False).ids, 0], "<u4") for i, text in rows}
+    assert found == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
+
+
 def test_pieces_equal_library(docs):
     import sentencepiece
 
