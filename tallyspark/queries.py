@@ -175,6 +175,12 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.select("ledger_id", "queue_rank", "finding_key", "label", F.col("amount_at_stake").cast("double").alias("amount_at_stake"))
 
 
+def review_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole queue of each ledger, with label."""
+    queue = combine.labelled(combine.queued(detect(projected_invoices(spark, sf_dir))))
+    return queue.select("ledger_id", "queue_rank", "finding_key", "label", F.col("amount_at_stake").cast("double").alias("amount_at_stake"))
+
+
 def collapsed_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collapse over findings that do share sets of rows: each is joined by a weaker copy from every duplicate rule."""
     found = raw_findings(projected_invoices(spark, sf_dir)).drop("finding_key")
@@ -246,6 +252,7 @@ SELECT ledger_id, invoices_examined, findings, total_at_stake, format('{{:,.2f}}
 FROM (SELECT ledger_id, count(*) AS invoices_examined FROM inv GROUP BY ledger_id) JOIN t USING (ledger_id)""",
     ),
     "review_queue": (review_queue, f"WITH {DETECT_SQL}, q AS (SELECT *, {_RANKED} AS queue_rank FROM found) SELECT ledger_id, queue_rank, finding_key, {_LABEL} AS label, amount_at_stake FROM q WHERE queue_rank <= 50"),
+    "review_queue_all": (review_queue_all, f"WITH {DETECT_SQL}, q AS (SELECT *, {_RANKED} AS queue_rank FROM found) SELECT ledger_id, queue_rank, finding_key, {_LABEL} AS label, amount_at_stake FROM q"),
     "collapse_duplicates": (
         collapsed_duplicates,
         f"""WITH {DETECT_SQL} {_FOUND} found WHERE rule_id <> 'exact-duplicate' UNION ALL

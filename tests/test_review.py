@@ -72,3 +72,11 @@ def test_known_problems_and_retention(spark):
     assert (score.planted, score.found, score.missed, score.traps_touched, score.unmatched) == (3, 1, 2, 1, 4)
     files = spark.createDataFrame([("a", T0), ("b", T0 - timedelta(hours=7))], "id string, created_at timestamp")
     assert [r.id for r in review.live_files(files, F.lit(T0)).collect()] == ["a"]
+
+
+def test_whole_review_queue(spark):
+    from tallyspark import queries
+
+    rows = queries.queries()["review_queue_all"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.queue_rank for r in rows) == list(range(1, 631))
+    spark.catalog.clearCache()
