@@ -158,6 +158,33 @@ def test_topk_odd(spark):
     assert topk_search.top_k(small.where("false"), F.col("id") == 0).count() == 0
 
 
+def test_topk_skips_blocks_and_fills_parts(spark):
+    rng = np.random.default_rng(8)
+    # Candidates at many levels: only the highest can answer a query of positive mean.
+    level = np.linspace(-4, 4, 4000)[:, None]
+    whole = level + 0.2 * rng.standard_normal((4000, 32))
+    z = np.floor(256 * whole)
+    queries, ids = z[3990:], np.arange(4000)
+    least = np.array([np.sort(np.delete(z @ q, 3990 + n))[-5] for n, q in enumerate(queries)])
+    far, near = (topk_search.block_top(queries, ids[3990:], z[part], ids[part], 5, least) for part in (slice(0, 1024), slice(2976, 4000)))
+    assert far[3] == 0 and len(far[0]) == 0  # the envelope alone rules the block out
+    assert 50 <= near[3] < 10 * 1024
+    frame = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(whole)], "vec_id long, embedding array<double>")
+    got = topk_search.top_k(frame, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect()
+    expected = []
+    for q in range(0, 4000, 50):
+        score = z @ z[q]
+        expected += [(q, k + 1, j, int(score[j])) for k, j in enumerate([j for j in np.lexsort((ids, -score)) if j != q][:5])]
+    assert [tuple(r) for r in got] == expected
+
+
+def test_topk_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("d", F.lit(1))
+    got = topk_search.top_k(frame, F.col("id") == 0, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 3 * 65536), (2, 2 * 65536), (1, 65536)]
+
+
 def brute_best_fit(lengths, capacity):
     import bisect
 
