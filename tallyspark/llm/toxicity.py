@@ -1,17 +1,22 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-Small transducers read the words of a clause as symbols: insult and threat words match, a negation
+Small transducers read the words of a clause as symbols and emit tags: an insult word matches where
+it stands, a threatening verb matches once a target word follows within a few words, a negation
 opens a short scope, a reporting verb opens a quotation up to the clause's end, and a target word
-marks the clause as addressed to somebody.  Their composition is one deterministic machine that
-sends the weight of every match to a channel (kind, negated, reported, addressed).  A document's
-score is a logistic function of its channels' totals.
+marks the clause as addressed to somebody.  Their composition is one deterministic machine.  The
+weight of a match is that of its word; negation and reported speech lessen it, and so does a clause
+that addresses nobody.  A clause's weight is the sum over its different matches.
+
+A document's score is a logistic function of its matched clauses alone: their total weight, the
+weight for the text's length, and the number of strong clauses.  None of the three may count
+against toxicity, so a negated or reported form never scores higher than the plain one.
 
 Words are matched whole or by their first letters, since the learned lexicon holds stems.  The
 lexicon and the logistic weights are fitted on a bounded sample of labelled rows
 (``sample_per_label``); every text is scored whole.
 
 Defined results: a null or empty text has no match and gets the score of a text without matches;
-if no labelled row of both kinds exists, the lexicon holds the fixed words only and the weights are
+if no labelled row of both kinds exists, the lexicon is empty, only threats match and the weights are
 their priors; repeated rows are scored alike; columns of other names are passed through.
 """
 
@@ -20,7 +25,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +35,18 @@ from pyspark.sql import types as T
 from tallyspark.llm.common import row_slices
 
 # Function words of the grammar in English, German, French and Spanish.
-NEGATIONS = "not no never without nicht kein keine nie ohne pas jamais sans nunca sin".split()
+NEGATIONS = "not no never without cannot nor isn aren wasn didn doesn nicht kein keine nie ohne pas jamais sans nunca sin".split()
 REPORTS = "said says wrote called quoted claimed sagte schrieb nannte dit appelle dijo escribe llama".split()
 TARGETS = "you your he she they him her them du dich dein ihr sie tu te vous il elle ils tú usted él ella ellos".split()
-THREATS = "kill hurt destroy beat töten verletzen tuer frapper matar golpear".split()
-
-WORD, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+THREATS = "kill hurt destroy beat stab shoot töten verletzen tuer frapper matar golpear".split()
+
+WORD, INSULT, THREAT, TARGET, NEGATION, REPORT = SYMBOLS = range(6)
+#: Tags that the grammar emits.
+INSULTED, THREATENED, NEGATED, REPORTED, ADDRESSED = (1 << k for k in range(5))
+#: How much of a match's weight is left if it is negated, if it is reported, and if its clause addresses nobody.
+NEGATED_SHARE, REPORTED_SHARE, BARE_SHARE = 0.1, 0.25, 0.8
+#: The weight of a threat.
+THREAT_WEIGHT = 5.0
 STEM_LENGTHS = range(4, 9)
 
 #: ASCII punctuation that ends a clause becomes a line break, other ASCII marks a blank.
@@ -47,39 +57,59 @@ _CLAUSES = bytes(
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer: ``step[state][symbol]`` is the next state; a state's tag is emitted with each symbol."""
+    """A deterministic transducer: reading a symbol in a state gives the next state and emits tags; a clause ends with its last state's tags."""
 
     step: tuple[tuple[int, ...], ...]
-    tag: tuple[int, ...]
+    emit: tuple[tuple[int, ...], ...]
+    last: tuple[int, ...]
 
 
-def _scope(opener: int, length: int) -> Transducer:
-    """Tag 1 for up to ``length`` symbols after an opener; without a limit if ``length`` is 0."""
-    last = length or 1
-    rows = tuple(tuple(last if symbol == opener else (state if not length else max(0, state - 1)) for symbol in range(6)) for state in range(last + 1))
-    return Transducer(rows, tuple(int(state > 0) for state in range(last + 1)))
+def _machine(states: int, step, emit, last=lambda state: 0) -> Transducer:
+    cells = lambda f: tuple(tuple(f(state, symbol) for symbol in SYMBOLS) for state in range(states))
+    return Transducer(cells(step), cells(emit), tuple(last(state) for state in range(states)))
 
 
-NEGATION_SCOPE = _scope(NEGATION, 4)
-REPORTED = _scope(REPORT, 0)
-ADDRESSED = _scope(TARGET, 0)
+#: An insult word matches where it stands.
+INSULTS = _machine(1, lambda state, symbol: 0, lambda state, symbol: INSULTED * (symbol == INSULT))
+#: A threatening verb matches with a target among the next three words; the state counts how many are left.
+THREATENING = _machine(
+    4,
+    lambda state, symbol: 3 if symbol == THREAT else 0 if symbol == TARGET else max(0, state - 1),
+    lambda state, symbol: THREATENED * (state > 0 and symbol == TARGET),
+)
+#: A negation holds for the next four words.
+NEGATION_SCOPE = _machine(5, lambda state, symbol: 4 if symbol == NEGATION else max(0, state - 1), lambda state, symbol: NEGATED * (state > 0))
+#: What follows a reporting verb is reported.
+REPORTED_SPEECH = _machine(2, lambda state, symbol: int(state or symbol == REPORT), lambda state, symbol: REPORTED * state)
+#: A clause with a target word is addressed to somebody.
+ADDRESS = _machine(2, lambda state, symbol: int(state or symbol == TARGET), lambda state, symbol: 0, lambda state: ADDRESSED * state)
 
 
 def compose(*machines: Transducer) -> Transducer:
-    """The machine that runs all of them; its tag holds theirs as bits, the first lowest."""
-    states = list(product(*(range(len(m.step)) for m in machines)))
-    number = {state: i for i, state in enumerate(states)}
-    step = tuple(tuple(number[tuple(m.step[s][symbol] for m, s in zip(machines, state, strict=True))] for symbol in range(6)) for state in states)
-    tag = tuple(sum(m.tag[s] << i for i, (m, s) in enumerate(zip(machines, state, strict=True))) for state in states)
-    return Transducer(step, tag)
-
-
-GRAMMAR = compose(NEGATION_SCOPE, REPORTED, ADDRESSED)
-CHANNELS = 16  # insult or threat, times the grammar's eight tags
-#: A word that matches again and again in a channel counts this often.
-REPEATS = 2
-#: Log odds, less twice their standard error, from which a single match is telling in a text of any length.
-STRONG = 4.0
+    """The machine that runs all of them side by side and emits the union of their tags; state 0 is their joint start."""
+    states: list[tuple[int, ...]] = [(0,) * len(machines)]
+    number = {states[0]: 0}
+    step, emit = [], []
+    for state in states:
+        row, tags = [], []
+        for symbol in SYMBOLS:
+            following = tuple(m.step[s][symbol] for m, s in zip(machines, state, strict=True))
+            if following not in number:
+                number[following] = len(states)
+                states.append(following)
+            row.append(number[following])
+            tags.append(sum(m.emit[s][symbol] for m, s in zip(machines, state, strict=True)))
+        step.append(tuple(row))
+        emit.append(tuple(tags))
+    last = tuple(sum(m.last[s] for m, s in zip(machines, state, strict=True)) for state in states)
+    return Transducer(tuple(step), tuple(emit), last)
+
+
+GRAMMAR = compose(INSULTS, THREATENING, NEGATION_SCOPE, REPORTED_SPEECH, ADDRESS)
+#: A clause of at least this weight is strong.
+STRONG = 3.0
+#: What a document's clauses come to: total weight, words, strong clauses.
+FEATURES = 3
 
 
 def _clauses(text: str | None) -> list[list[bytes]]:
@@ -94,60 +124,48 @@ class ToxicityGrammar:
     stems: dict[bytes, float]
     weights: np.ndarray
 
-    def _weight(self, word: bytes) -> float:
-        if word[:4] not in self._openings:
-            return 0.0
-        # Stems are cut by letters, as they were learned; a whole word ends with a blank.
-        letters = word.decode("utf-8", "replace")
-        found = self.stems.get(word + b" ", 0.0)
-        for n in STEM_LENGTHS:
-            if n > len(letters):
-                break
-            found = max(found, self.stems.get(letters[:n].encode(), 0.0))
-        return found
-
     def __post_init__(self) -> None:
-        words = {w.encode(): kind for kind, group in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)) for w in group}
-        object.__setattr__(self, "_function_words", words)
-        object.__setattr__(self, "_threats", {w.encode() for w in THREATS})
+        words = {w.encode(): kind for kind, group in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (THREAT, THREATS)) for w in group}
+        object.__setattr__(self, "_symbols", words)
         object.__setattr__(self, "_openings", {s.rstrip(b" ")[:4] for s in self.stems})
 
-    def channels(self, text: str | None) -> np.ndarray:
-        """Total match weight of each channel over the whole text, its words and its different strong matches."""
-        out = np.zeros(CHANNELS + 2)
+    def _unit(self, word: bytes) -> tuple[bytes, float]:
+        """The heaviest unit of the lexicon that matches a word, and its weight."""
+        best = (b"", 0.0)
+        if word[:4] in self._openings:
+            # Stems are cut by letters, as they were learned; a whole word ends with a blank.
+            letters = word.decode("utf-8", "replace")
+            for unit in (word + b" ", *(letters[:n].encode() for n in STEM_LENGTHS if n <= len(letters))):
+                best = max(best, (unit, self.stems.get(unit, 0.0)), key=lambda pair: pair[1])
+        return best
+
+    def clause_weight(self, clause: list[bytes], insults: dict[bytes, tuple[bytes, float]]) -> float:
+        """The sum over a clause's different matching units of the weight that negation and reporting leave them."""
+        found: dict[bytes, float] = {}
+        state, threat = 0, b""
+        for word in clause:
+            symbol = self._symbols.get(word, INSULT if word in insults else WORD)
+            if symbol == THREAT:
+                threat = word
+            tags = GRAMMAR.emit[state][symbol]
+            for tag, match, weight in ((INSULTED, *insults.get(word, (b"", 0.0))), (THREATENED, threat, THREAT_WEIGHT)):
+                if tags & tag:
+                    left = weight * (NEGATED_SHARE if tags & NEGATED else 1) * (REPORTED_SHARE if tags & REPORTED else 1)
+                    found[match] = max(found.get(match, 0.0), left)
+            state = GRAMMAR.step[state][symbol]
+        return sum(found.values()) * (1 if GRAMMAR.last[state] & ADDRESSED else BARE_SHARE)
+
+    def features(self, text: str | None) -> np.ndarray:
+        """Total weight of the whole text's matched clauses, its words, and its strong clauses."""
         clauses = _clauses(text)
-        out[CHANNELS] = sum(map(len, clauses))
-        matched: dict[bytes, float] = {}
-        for word in set().union(*clauses):
-            weight = max(self._weight(word), 1.0 if word in self._threats else 0.0)
-            if weight:
-                matched[word] = weight
-        if not matched:
-            return out
-        out[CHANNELS + 1] = sum(weight >= STRONG for weight in matched.values())
-        times: Counter[tuple[int, bytes]] = Counter()
-        for clause in clauses:
-            if matched.keys().isdisjoint(clause):
-                continue
-            # Being addressed holds for the clause's earlier words too.
-            addressed = any(self._function_words.get(w) == TARGET for w in clause)
-            state = 0
-            for word in clause:
-                weight = matched.get(word)
-                if weight:
-                    symbol = THREAT if word in self._threats else INSULT
-                    tag = GRAMMAR.tag[state] | 4 * addressed
-                    channel = 8 * (symbol == THREAT) + tag
-                    times[channel, word] += 1
-                    if times[channel, word] <= REPEATS:
-                        out[channel] += weight
-                else:
-                    symbol = self._function_words.get(word, WORD)
-                state = GRAMMAR.step[state][symbol]
-        return out
+        words = set().union(*clauses)
+        insults = {word: unit for word in words if word not in self._symbols and (unit := self._unit(word))[1]}
+        starts = insults.keys() | (words & {w.encode() for w in THREATS})
+        weights = [self.clause_weight(clause, insults) for clause in clauses if not starts.isdisjoint(clause)] if starts else []
+        return np.array([sum(weights), sum(map(len, clauses)), sum(w >= STRONG for w in weights)], float)
 
     def score(self, texts: Iterable[str | None]) -> np.ndarray:
-        rows = np.array([self.channels(text) for text in texts]).reshape(-1, CHANNELS + 2)
+        rows = np.array([self.features(text) for text in texts]).reshape(-1, FEATURES)
         return 1 / (1 + np.exp(-np.clip(design(rows) @ self.weights, -30, 30)))
 
     def transform(self, docs: DataFrame, *, text: str = "text", score: str = "score") -> DataFrame:
@@ -164,27 +182,27 @@ class ToxicityGrammar:
         return docs.mapInArrow(label, schema)
 
 
-def design(channels: np.ndarray) -> np.ndarray:
-    """Logistic inputs: a constant, all matches together, for the text's length and the strong kinds, then each channel."""
-    total, words, kinds = channels[:, :CHANNELS].sum(axis=1), channels[:, CHANNELS], channels[:, CHANNELS + 1]
-    dense = np.log1p(100 * total / (words + 100))
-    return np.column_stack((np.ones(len(channels)), np.log1p(total), dense, np.log1p(kinds), np.log1p(channels[:, :CHANNELS])))
+def design(features: np.ndarray) -> np.ndarray:
+    """Logistic inputs: a constant, the clauses' weight, their weight for the text's length, and the strong clauses."""
+    total, words, strong = features.T
+    return np.column_stack((np.ones(len(features)), np.log1p(total), np.log1p(100 * total / (words + 100)), np.log1p(strong)))
 
 
-#: Weights before any label is seen: a match tells more than its channel.
-PRIOR = np.array([-5.0, 1.5, 1.5, 6.5, *[0.0] * CHANNELS])
+#: Weights before any label is seen.
+PRIOR = np.array([-5.0, 1.5, 1.5, 6.5])
 
 
-def fit_weights(channels: np.ndarray, labels: np.ndarray, strength: float = 0.05, rounds: int = 30) -> np.ndarray:
-    """Newton steps for the logistic weights with a Gaussian prior around ``PRIOR``."""
-    x, w = design(channels), PRIOR.copy()
-    penalty = np.array([0.01, 20 * strength, strength, 400 * strength, *[2.0] * CHANNELS])
+def fit_weights(features: np.ndarray, labels: np.ndarray, strength: float = 0.05, rounds: int = 30) -> np.ndarray:
+    """Newton steps for the logistic weights with a Gaussian prior around ``PRIOR``; no input may lower the score."""
+    x, w = design(features), PRIOR.copy()
+    penalty = np.array([0.01, 20 * strength, strength, 400 * strength])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - labels) + penalty * (w - PRIOR)
         curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
-        w -= np.clip(step, -4, 4)
+        step = np.clip(np.linalg.solve(curve, slope), -4, 4)
+        w -= step
+        w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -198,7 +216,7 @@ def _units(text: str | None) -> set[bytes]:
     return {w + b" " for w in out} | stems
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = 4000, most_stems: int = 2000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityGrammar:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = 4000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityGrammar:
     """Fit lexicon and weights on at most ``sample_per_label`` rows of either label.
 
     ``docs`` holds the texts that may be learned from, ``labels`` the ids with their 0/1 label.
@@ -231,7 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = 4000, mos
         odds = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
         sure = (odds - 2 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))).alias("sure")
         best = units.where(F.col("pos") >= least).select("unit", "pos", odds.alias("odds"), sure).where(F.col("sure") > 0.7)
-        found = {bytes(r.unit): (r.sure, r.pos) for r in best.orderBy(F.desc("sure"), "unit").limit(most_stems).collect()}
+        # Bounded by the sample: a unit is in at least ``least`` of its rows.
+        found = {bytes(r.unit): (r.sure, r.pos) for r in best.collect()}
         for unit, (sure_of, _) in found.items():
             letters = unit.rstrip(b" ").decode()
             shorter = [found[p][0] for n in STEM_LENGTHS if n < len(letters) and (p := letters[:n].encode()) in found]
@@ -241,12 +260,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_label: int = 4000, mos
     if sizes.get(0) and sizes.get(1):
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                values = [grammar.channels(text) for text in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=["label", "channels"])
+                values = [grammar.features(text).tolist() for text in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], names=["label", "features"])
 
-        sample = rows.mapInArrow(measure, "label int, channels array<double>").collect()
-        channels = np.array([r.channels for r in sample]).reshape(-1, CHANNELS + 2)
-        grammar = ToxicityGrammar(stems, fit_weights(channels, np.array([r.label for r in sample], float)))
+        sample = rows.mapInArrow(measure, "label int, features array<double>").collect()
+        features = np.array([r.features for r in sample]).reshape(-1, FEATURES)
+        grammar = ToxicityGrammar(stems, fit_weights(features, np.array([r.label for r in sample], float)))
     rows.unpersist()
     return grammar
 

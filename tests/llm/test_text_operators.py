@@ -1,5 +1,7 @@
 """Language ID, toxicity, quality and licences: held-out accuracy, hand-made cases and odd tables."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,27 +38,49 @@ def test_language_odd(odd_docs, no_docs):
     assert model.transform(no_docs).count() == 0
 
 
-def test_grammar_composition():
-    words = {"NOT": toxicity.NEGATION, "SAYS": toxicity.REPORT, "YOU": toxicity.TARGET, "w": toxicity.WORD}
+SYMBOL_OF = {"NOT": toxicity.NEGATION, "SAYS": toxicity.REPORT, "YOU": toxicity.TARGET, "w": toxicity.WORD, "IDIOT": toxicity.INSULT, "KILL": toxicity.THREAT}
+
+
+def run_grammar(words):
+    """The machine's tags for each word, and those of the clause's end."""
+    state, tags = 0, []
+    for w in words:
+        tags.append(toxicity.GRAMMAR.emit[state][SYMBOL_OF[w]])
+        state = toxicity.GRAMMAR.step[state][SYMBOL_OF[w]]
+    return tags, toxicity.GRAMMAR.last[state]
+
+
+def brute_tags(words):
+    """The same by looking back and forth over the clause."""
+    tags = []
+    for i, w in enumerate(words):
+        verb = max((k for k in range(i) if words[k] == "KILL"), default=None)
+        threat = w == "YOU" and verb is not None and i - verb <= 3 and "YOU" not in words[verb + 1 : i]
+        tag = toxicity.INSULTED * (w == "IDIOT") + toxicity.THREATENED * threat
+        tags.append(tag + toxicity.NEGATED * ("NOT" in words[max(0, i - 4) : i]) + toxicity.REPORTED * ("SAYS" in words[:i]))
+    return tags, toxicity.ADDRESSED * ("YOU" in words)
 
-    def tag(symbols):
-        state = 0
-        for s in symbols:
-            state = toxicity.GRAMMAR.step[state][words[s]]
-        return toxicity.GRAMMAR.tag[state]
 
-    assert tag([]) == 0 and tag(["NOT"]) == 1 and tag(["NOT", "w", "w", "w"]) == 1 and tag(["NOT", "w", "w", "w", "w"]) == 0
-    assert tag(["SAYS", "w", "w", "w", "w", "w"]) == 2 and tag(["YOU", "w"]) == 4 and tag(["SAYS", "YOU", "NOT"]) == 7
+@pytest.mark.parametrize("length", range(6))
+def test_grammar_equals_brute_force(length):
+    for words in itertools.product(SYMBOL_OF, repeat=length):
+        assert run_grammar(words) == brute_tags(words)
 
 
 def test_grammar_scores_clauses():
     grammar = toxicity.ToxicityGrammar({b"idiot ": 5.0, b"moro": 5.0}, toxicity.PRIOR)
-    plain, negated, other = (grammar.channels(t) for t in ("you are an idiot. fine", "not an idiot here", "morons. You said so"))
-    assert plain[4] == 5 and plain[:16].sum() == 5
-    assert negated[1] == 5 and negated[:16].sum() == 5
-    assert other[0] == 5  # the target stands in another clause
-    scores = grammar.score(["you idiot, you moron", "a quiet day", None, ""])
-    assert scores[0] > 0.9 and max(scores[1:]) < 0.3
+    weight = lambda text: grammar.features(text)[0]
+    assert weight("you are an idiot. fine") == 5 and weight("an idiot here") == weight("an idiot, idiot here") == 4
+    assert weight("you are not an idiot") == 0.5 and weight("he said you are an idiot") == 1.25
+    assert weight("morons. You said so") == 4  # the target stands in another clause
+    assert weight("they will kill you") == 5 and weight("it kills weeds, they kill time") == 0
+    assert list(grammar.features("you moron and idiot! moron. fine")) == [14, 6, 2]
+    forms = ["you are an idiot", "an idiot", "he said you are an idiot", "you are not an idiot", "she wrote that he was never an idiot", "a quiet day"]
+    scores = grammar.score(forms)
+    assert list(scores) == sorted(scores, reverse=True) and len(set(scores)) == len(forms)
+    assert scores[1] >= 0.7 > scores[2] and max(grammar.score([None, ""])) < 0.3
+    calm = "the harbour was calm and the boats went out. " * 200
+    assert grammar.score([calm + "you are an idiot"])[0] >= 0.7 > max(grammar.score([calm + "you are not an idiot", calm + "he said you are an idiot"]))
 
 
 def test_toxicity_held_out(spark):
@@ -74,6 +98,7 @@ def test_toxicity_odd(spark, odd_docs, no_docs):
     for learn in (odd_docs, no_docs):
         rows = toxicity.scores(odd_docs, labels, learn=learn).collect()
         assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.scores(no_docs, labels, learn=odd_docs).count() == 0
 
 
 def test_quality_held_out(spark):
