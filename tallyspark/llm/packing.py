@@ -71,7 +71,7 @@ class WordCache:
     gives the token's id; otherwise the literal is ordinary text.
     """
 
-    def __init__(self, path: str, added: bool = False) -> None:
+    def __init__(self, path: str, added: bool = True) -> None:
         self.encode = encoder(path).encode_ordinary
         self.library, self.literals = library(path) if added else (None, None)
         self.known: dict[str, bytes] = {}
@@ -96,7 +96,7 @@ class WordCache:
         return b"".join(parts)
 
 
-def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, added: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece; only the first piece of a longer text may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
-def pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, added: bool = True) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = pieces(docs, path, doc_id=doc_id, text=text, capacity=capacity, end=end, added=added)
     salted = cut_lineage(cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.rand(7)), F.lit(SALTS)).cast("int")))
