@@ -20,26 +20,50 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's reliable checkpoint folder and return the written rows.
 
     The folder is the one in ``spark.checkpoint.dir``; a temporary one is set only where the
-    session names none, as in tests on one machine.
+    session names none and runs on one machine, as in tests.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-#: Ids up to this number are sent to all tasks; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Words of 64 bits in a sieve, which bounds what is sent to all tasks.
+SIEVE_WORDS = 1 << 20
+#: Bits that an id sets in its word.
+SIEVE_BITS = 4
 
 
-def matching_rows(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``rows`` semi- or anti-joined with one column of distinct ids, whose number is checked first.
+def _sieve_place(columns: list[str]) -> tuple[Column, Column]:
+    """The word and the bits of the row's id; null is an id like any other."""
+    word = F.pmod(F.xxhash64(*columns), F.lit(SIEVE_WORDS))
+    spread = F.xxhash64(*columns, F.lit(5))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(spread, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(SIEVE_BITS)]
+    return word, bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+
+
+def sieved(rows: DataFrame, ids: DataFrame, mark: str = "__maybe") -> DataFrame:
+    """``rows`` with a mark that is true for every row whose id is in ``ids`` and for few others.
 
-    A short list of ids saves the shuffle of all texts; a long one is shuffled like any other table.
+    The ids become a Bloom filter of ``SIEVE_WORDS`` words, so what all tasks receive has a fixed
+    bound at any size; with many more ids than words the filter lets more rows through.
     """
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, ids.columns, how)
+    word, bits = _sieve_place(ids.columns)
+    table = ids.select(word.alias("__word"), bits.alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__held"))
+    word, bits = _sieve_place(ids.columns)
+    placed = rows.withColumn("__word", word).join(F.broadcast(table), "__word", "left")
+    return placed.withColumn(mark, F.coalesce(F.col("__held").bitwiseAND(bits) == bits, F.lit(False))).select(*rows.columns, mark)
+
+
+def matching_rows(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` semi- or anti-joined with distinct ids; only rows that pass the ids' sieve are joined."""
+    marked = sieved(rows, ids)
+    joined = marked.where("__maybe").drop("__maybe").join(ids, ids.columns, how)
+    return joined if how == "left_semi" else joined.unionByName(marked.where("not __maybe").drop("__maybe"))
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:

@@ -34,3 +34,9 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     # In a settled star each leaf has one edge, to the smallest node, which has none to a smaller one.
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
+
+
+def named_components(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component, joined): each component named by the smallest ``rep`` of its ``nodes(node, rep)``."""
+    names = found.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("name"))
+    return found.join(names, "component").select("node", F.col("name").alias("component"), F.lit(True).alias("joined"))

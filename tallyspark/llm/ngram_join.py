@@ -8,10 +8,12 @@ bands are merged, large buckets are dealt into blocks, and every block (or pair
 its pairs on the full shingle sets.  A pair is counted in the first band it shares.  Blocks return a
 link count and a local root for each document, never the pairs themselves.
 
+The work is done on classes of texts, never on ids, so an id may repeat or be null.
+
 Defined results: a text that is null or has no word links with nothing and is its own component; a
-text of one to four words has one shingle, its whole word list; rows with the same id are one
-document of the link graph, and each gets its row of the result; a null id links only to copies;
-columns of other names are not read.
+text of one to four words has one shingle, its whole word list; every row is a document of its own,
+also if its id repeats; a component of rows without any id has a null component_id and all its
+rows are kept, since no id tells them apart; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import cut_lineage, fold_case, matching_rows, mix64, run_hashes, segments, slices
-from tallyspark.llm.components import connected_components
+from tallyspark.llm.common import cut_lineage, fold_case, mix64, run_hashes, segments, sieved, slices
+from tallyspark.llm.components import connected_components, named_components
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -87,6 +89,15 @@ def band_hashes(value: np.ndarray, bounds: np.ndarray, bands: int, rows: int) ->
     return out
 
 
+def prints(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 128-bit print of each text's shingle set, as two rows of 64 bits (bounds strictly rise)."""
+    out = np.zeros((2, len(bounds) - 1), np.uint64)
+    for k in range(2):
+        total = np.add.reduceat(mix64(value + np.uint64(0x1234567 * (k + 1))), bounds[:-1])
+        out[k] = mix64(total + np.diff(bounds).astype(np.uint64))
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, *, doc_id: str, text: str, bands: int, rows: int, words: int) -> DataFrame:
     """(doc_id, f1, f2, bands): a 128-bit print of the shingle set and the band hashes; null without words."""
 
@@ -96,35 +107,36 @@ def signatures(docs: DataFrame, *, doc_id: str, text: str, bands: int, rows: int
                 value, bounds = shingles(data, ends, words)
                 full = np.flatnonzero(np.diff(bounds))
                 n = hi - lo
-                prints = np.zeros((2, n), np.uint64)
+                both = np.zeros((2, n), np.int64)
                 hashed = np.zeros((n, bands), np.uint64)
                 if len(full):
                     cut = np.append(bounds[full], bounds[-1])
-                    for k in range(2):
-                        total = np.add.reduceat(mix64(value + np.uint64(0x1234567 * (k + 1))), cut[:-1])
-                        prints[k, full] = mix64(total + np.diff(cut).astype(np.uint64))
+                    both[:, full] = prints(value, cut)
                     hashed[full] = band_hashes(value, cut, bands, rows)
                 empty = np.ones(n, bool)
                 empty[full] = False
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(hashed.ravel().view(np.int64)))
                 none = pa.scalar(None, pa.int64())
-                columns = [pa.compute.if_else(pa.array(empty), none, pa.array(p.view(np.int64))) for p in prints]
+                columns = [pa.compute.if_else(pa.array(empty), none, pa.array(p)) for p in both]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), *columns, cells], names=["doc_id", "f1", "f2", "bands"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, F.col(text).cast("string")).mapInArrow(sign, f"doc_id {kind}, f1 long, f2 long, bands array<long>")
 
 
-def _shingle_table(docs: DataFrame, words: int) -> DataFrame:
+def _shingle_table(texts: DataFrame, words: int) -> DataFrame:
+    """(f1, f2, shingles) of each text with words: its print and its sorted shingle hashes."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, ends in slices(batch.column(1)):
+            for _, _, data, ends in slices(batch.column(0)):
                 value, bounds = shingles(data, ends, words)
-                sets = [value[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+                full = np.flatnonzero(np.diff(bounds))
+                both = prints(value, np.append(bounds[full], bounds[-1])) if len(full) else np.zeros((2, 0), np.int64)
+                sets = [value[bounds[i] : bounds[i + 1]].tobytes() for i in full]
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(sets, pa.binary())], names=["f1", "f2", "shingles"])
 
-    kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(cut, f"rep {kind}, shingles binary")
+    return texts.mapInArrow(cut, "f1 long, f2 long, shingles binary")
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -161,7 +173,7 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verify(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, block: np.ndarray, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verify(sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, block: np.ndarray, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member of a bucket (counting copies) and its local root's place.
 
     If the bucket's members come from two blocks, only pairs across them count.  A pair that shares
@@ -172,7 +184,6 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, copies: n
     hundred = round(threshold * 100)
     linked = np.rint(both).astype(np.int64) * 100 >= hundred * (size[:, None] + size[None, :] - np.rint(both).astype(np.int64))
     np.fill_diagonal(linked, False)
-    linked &= ids[:, None] != ids[None, :]
     if block.min() != block.max():
         linked &= block[:, None] != block[None, :]
     for earlier in range(band):
@@ -190,42 +201,47 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     count, rows = choose_bands(threshold, recall)
     signed = cut_lineage(signatures(docs, doc_id=doc_id, text=text, bands=count, rows=rows, words=words))
     known = signed.where("f1 is not null")
-    classes = cut_lineage(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    named = classes.where("rep is not null")
-    cells = named.select("rep", F.posexplode("bands").alias("band", "cell"))
-    mark = F.xxhash64("rep")
+    classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # The checkpoint keeps each class's number.
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+    cells = classes.select("node", F.posexplode("bands").alias("band", "cell"))
+    mark = F.xxhash64("node")
     buckets = cells.groupBy("band", "cell").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("y")).where("n > 1")
     # Buckets of different bands with the same members are verified once, in their first band.
     buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "cell")).alias("b")).select("b.band", "b.cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    members = cells.join(buckets, ["band", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int"))
+    members = cells.join(buckets, ["band", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     members = cut_lineage(members)
     # Each block meets itself and every other block of its bucket once.
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "band", "cell", "rep", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        "band", "cell", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
+    wanted = cut_lineage(classes.join(members.select("node").distinct(), "node", "left_semi"))
+    # A sieve of the candidates' ids spares the other texts; what it lets through is joined by its print.
     texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text"))
-    texts = matching_rows(texts, members.select("rep").distinct(), "left_semi")
-    sets = _shingle_table(texts, words).dropDuplicates(["rep"]).join(named.select("rep", "copies", "bands"), "rep")
+    texts = sieved(texts, wanted.select("rep").distinct()).where("__maybe").select("text")
+    sets = _shingle_table(texts, words).join(wanted.select("f1", "f2", "node", "copies", "bands"), ["f1", "f2"]).dropDuplicates(["node"]).drop("f1", "f2")
 
     def check(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table["rep"].to_numpy()
+        nodes = table["node"].to_numpy()
         hashes = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        cells_of = np.array(table["bands"].to_pylist(), np.int64).reshape(len(ids), count)
-        links, root = verify(ids, hashes, cells_of, table["copies"].to_numpy(), table["block"].to_numpy(), key[0].as_py(), threshold)
+        cells_of = np.array(table["bands"].to_pylist(), np.int64).reshape(len(nodes), count)
+        links, root = verify(hashes, cells_of, table["copies"].to_numpy(), table["block"].to_numpy(), key[0].as_py(), threshold)
         some = links > 0
-        return pa.table({"a": ids[some], "b": ids[root[some]], "links": links[some]})
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    checked = cut_lineage(dealt.join(sets, "rep").groupBy("band", "cell", "low", "high").applyInArrow(check, f"a {kind}, b {kind}, links long"))
-    components = connected_components(checked.select("a", "b")).withColumnRenamed("node", "rep")
-    links = checked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    found = classes.join(links, "rep", "left").join(components, "rep", "left").select("f1", "f2", "rep", "copies", "links", "component")
+        return pa.table({"a": nodes[some], "b": nodes[root[some]], "links": links[some]})
+
+    checked = cut_lineage(dealt.join(sets, "node").groupBy("band", "cell", "low", "high").applyInArrow(check, "a long, b long, links long"))
+    components = named_components(connected_components(checked.select("a", "b")), classes)
+    links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    found = classes.join(links, "node", "left").join(components, "node", "left")
+    component = F.when(F.col("joined"), F.col("component")).otherwise(F.col("rep")).alias("component")
+    found = found.select("f1", "f2", "rep", "copies", "links", component)
     joined = signed.select("doc_id", "f1", "f2").join(found, ["f1", "f2"], "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    lone = F.col("copies").isNull()
+    component = F.when(lone, F.col("doc_id")).otherwise(F.col("component"))
     return joined.select(
         F.col("doc_id").alias(doc_id),
-        F.coalesce("rep", "doc_id").alias("copy_id"),
+        F.when(lone, F.col("doc_id")).otherwise(F.col("rep")).alias("copy_id"),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"),
     )

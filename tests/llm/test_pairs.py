@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import gru, lattice_dedup, lm_scoring, ngram_join, packing, pieces, queries, topk_search
+from tallyspark.llm import common, gru, lattice_dedup, lm_scoring, ngram_join, packing, pieces, queries, topk_search
 from tallyspark.llm.common import remainder
 from tallyspark.llm.components import connected_components
 
@@ -85,6 +85,46 @@ def test_join_odd(odd_docs, no_docs):
     assert ngram_join.jaccard_join(no_docs).count() == 0
 
 
+def brute_rows(linked, ids):
+    """(id, links, component's smallest id, kept) of every row, whatever ids repeat; null ids sort last."""
+    root = roots(range(len(ids)), [(i, j) for i in range(len(ids)) for j in range(i) if linked(i, j)])
+    out = []
+    for i, own in enumerate(ids):
+        group = [ids[j] for j in range(len(ids)) if root[j] == root[i] and ids[j] is not None]
+        name = min(group, default=None)
+        out.append((own, sum(linked(i, j) for j in range(len(ids)) if j != i), name, name == own))
+    return Counter(out)
+
+
+def test_join_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, a + " tail"), (None, a + " end"), (None, c), (None, c + " end"), (7, None), (7, ""), (1, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("rep", F.lit("x"))
+    linked = lambda i, j: (min(i, j), max(i, j)) in links
+    links = brute_links([(i, text) for i, (_, text) in enumerate(rows)])
+    got = Counter((r.doc_id, r.n_links, r.component_id, r.kept) for r in ngram_join.jaccard_join(frame).collect())
+    assert got == brute_rows(linked, [i for i, _ in rows])
+
+
+def test_lattice_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((3, 64))
+    near = base + 0.05 * rng.standard_normal((3, 64))
+    rows = [(1, base[0]), (1, base[1]), (2, near[1]), (3, base[0]), (None, near[0]), (None, base[2]), (None, near[2]), (1, base[0])]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").withColumn("node", F.lit(1)).withColumn("id", F.lit("x"))
+    cosine = lambda x, y: float(x @ y / np.sqrt((x @ x) * (y @ y)))
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice_dedup.lattice_dedup(frame).collect())
+    assert got == brute_rows(lambda i, j: cosine(rows[i][1], rows[j][1]) >= 0.95, [i for i, _ in rows])
+
+
+def test_sieve_marks_every_id(spark, monkeypatch):
+    monkeypatch.setattr(common, "SIEVE_WORDS", 64)
+    rows, ids = spark.range(3000).withColumn("x", F.lit(1)), spark.range(0, 3000, 7)
+    assert common.matching_rows(rows, ids, "left_semi").count() == 429 and common.matching_rows(rows, ids, "left_anti").count() == 3000 - 429
+    marked = common.sieved(rows, ids).where("__maybe").count()
+    assert 429 <= marked < 3000
+
+
 def test_bands_reach_recall():
     bands, rows = ngram_join.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 160
@@ -218,7 +258,6 @@ def check_packing(rows, result):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(tokenizer(BPE))
-    model.encode_special_tokens = True
     ids = {i: np.array([*model.encode(text or "", add_special_tokens=False).ids, 0], "<u4") for i, text in rows}
     assert sum(r.length for r in result) == sum(len(ids[i]) for i, _ in rows)
     ends = Counter()
