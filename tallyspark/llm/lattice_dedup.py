@@ -8,9 +8,11 @@ at the threshold.  Equal vectors form one class and enter once.  Cells are dealt
 return a link count and a local root for each vector, never the pairs.
 
 Defined results: a vector that is null, zero or holds a null or non-finite component links with
-nothing and is its own component, kept; vectors of different lengths never link; rows with the same
-id are one node of the link graph; a null id links only to copies; columns of other names are not
-read.
+nothing and is its own component, kept; vectors of different lengths never link; every row is a
+vector of its own, also if its id repeats; a component of rows without any id has a null component_id
+and all its rows are kept; columns of other names are not read.  The dimensions of the projection
+follow the table's size, so which pairs above the threshold are missed may differ between tables;
+the recall aimed at does not.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import cut_lineage, mix64
-from tallyspark.llm.components import connected_components
+from tallyspark.llm.components import connected_components, named_components
 from tallyspark.llm.ngram_join import local_roots
 
 THRESHOLD = 0.95
@@ -112,15 +114,15 @@ def choose_tables(rows: int, threshold: float = THRESHOLD, recall: float = 0.99,
     return math.ceil(math.log(1 - recall) / math.log(1 - rate)), parts
 
 
-def verify(ids: np.ndarray, unit: np.ndarray, copies: np.ndarray, prober: np.ndarray, block: np.ndarray, home: np.ndarray, probed: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verify(nodes: np.ndarray, unit: np.ndarray, copies: np.ndarray, prober: np.ndarray, block: np.ndarray, home: np.ndarray, probed: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member of a cell (counting copies) and its local root's place.
 
     A pair counts in the first table that finds it.  If two vectors probe each other's home in one
-    table, the pair counts at the home of the larger id.
+    table, the pair counts at the home of the larger node.
     """
     close = unit @ unit.T >= threshold
     close &= ~(prober[:, None] & prober[None, :])
-    close &= ids[:, None] != ids[None, :]
+    close &= nodes[:, None] != nodes[None, :]
     if block.min() != block.max():
         close &= block[:, None] != block[None, :]
     i, j = np.nonzero(np.triu(close, 1))
@@ -128,13 +130,13 @@ def verify(ids: np.ndarray, unit: np.ndarray, copies: np.ndarray, prober: np.nda
     for a, b in ((i, j), (j, i)):
         guest = prober[a] & ~prober[b]
         mutual = (probed[b, table] == home[a, table][:, None]).any(axis=1)
-        ok &= ~(guest & mutual & (ids[a] > ids[b]))
+        ok &= ~(guest & mutual & (nodes[a] > nodes[b]))
     for earlier in range(table):
         hi, hj = home[i, earlier], home[j, earlier]
         ok &= ~((hi == hj) | (probed[i, earlier] == hj[:, None]).any(axis=1) | (probed[j, earlier] == hi[:, None]).any(axis=1))
     i, j = i[ok], j[ok]
-    links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-    linked = np.zeros((len(ids), len(ids)), bool)
+    links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
+    linked = np.zeros((len(nodes), len(nodes)), bool)
     linked[i, j] = linked[j, i] = True
     return links.astype(np.int64), local_roots(linked)
 
@@ -151,10 +153,9 @@ def lattice_dedup(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "
     print_of = [F.when(sound, F.xxhash64(F.transform(x, lambda c: c + F.lit(0.0)), F.lit(k))) for k in (1, 2)]
     known = rows.select("id", "v", print_of[0].alias("p1"), print_of[1].alias("p2"))
     classes = known.where("p1 is not null").groupBy("p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = cut_lineage(classes)
-    named = classes.where("rep is not null").select("rep", "copies", "v")
-    tables, parts = choose_tables(named.count(), threshold, recall)
-    kind = vectors.schema[vec_id].dataType.simpleString()
+    # The checkpoint keeps each class's number.
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+    tables, parts = choose_tables(classes.count(), threshold, recall)
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,40 +170,42 @@ def lattice_dedup(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "
                 home, probed = cells(unit, tables, parts)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), *(pa.array([row.tobytes() for row in m], pa.binary()) for m in (unit, home, probed)), pa.array(home.tolist(), pa.list_(pa.int64())), pa.array(probed.reshape(len(home), tables, -1).tolist(), pa.list_(pa.list_(pa.int64())))],
-                    names=["rep", "copies", "unit", "home", "probed", "homes", "probes"],
+                    names=["node", "copies", "unit", "home", "probed", "homes", "probes"],
                 )
 
-    hashed = cut_lineage(named.mapInArrow(hash_all, f"rep {kind}, copies long, unit binary, home binary, probed binary, homes array<long>, probes array<array<long>>"))
-    own = hashed.select("rep", F.posexplode("homes").alias("table", "cell"), F.lit(False).alias("prober"))
-    guests = hashed.select("rep", F.posexplode("probes").alias("table", "list")).select("rep", "table", F.explode("list").alias("cell"), F.lit(True).alias("prober"))
+    hashed = cut_lineage(classes.select("node", "copies", "v").mapInArrow(hash_all, "node long, copies long, unit binary, home binary, probed binary, homes array<long>, probes array<array<long>>"))
+    own = hashed.select("node", F.posexplode("homes").alias("table", "cell"), F.lit(False).alias("prober"))
+    guests = hashed.select("node", F.posexplode("probes").alias("table", "list")).select("node", "table", F.explode("list").alias("cell"), F.lit(True).alias("prober"))
     met = own.unionByName(guests)
     full = met.groupBy("table", "cell").agg(F.count("*").alias("n"), F.count_if(~F.col("prober")).alias("at_home")).where("n > 1 and at_home > 0")
     full = full.select("table", "cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    members = met.join(full, ["table", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int"))
+    members = met.join(full, ["table", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "table", "cell", "rep", "prober", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        "table", "cell", "node", "prober", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
 
     def check(key: tuple, data: pa.Table) -> pa.Table:
-        ids = data["rep"].to_numpy()
+        nodes = data["node"].to_numpy()
         unit = np.array([np.frombuffer(v) for v in data["unit"].to_pylist()])
         home = np.array([np.frombuffer(v, np.int64) for v in data["home"].to_pylist()])
-        probed = np.array([np.frombuffer(v, np.int64) for v in data["probed"].to_pylist()]).reshape(len(ids), tables, -1)
+        probed = np.array([np.frombuffer(v, np.int64) for v in data["probed"].to_pylist()]).reshape(len(nodes), tables, -1)
         prober = data["prober"].to_numpy(zero_copy_only=False)
-        links, root = verify(ids, unit, data["copies"].to_numpy(), prober, data["block"].to_numpy(), home, probed, key[0].as_py(), threshold)
+        links, root = verify(nodes, unit, data["copies"].to_numpy(), prober, data["block"].to_numpy(), home, probed, key[0].as_py(), threshold)
         some = links > 0
-        return pa.table({"a": ids[some], "b": ids[root[some]], "links": links[some]})
-
-    payload = hashed.select("rep", "copies", "unit", "home", "probed")
-    checked = cut_lineage(dealt.join(payload, "rep").groupBy("table", "cell", "low", "high").applyInArrow(check, f"a {kind}, b {kind}, links long"))
-    components = connected_components(checked.select("a", "b")).withColumnRenamed("node", "rep")
-    links = checked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    found = classes.drop("v").join(links, "rep", "left").join(components, "rep", "left")
+        return pa.table({"a": nodes[some], "b": nodes[root[some]], "links": links[some]})
+
+    payload = hashed.select("node", "copies", "unit", "home", "probed")
+    checked = cut_lineage(dealt.join(payload, "node").groupBy("table", "cell", "low", "high").applyInArrow(check, "a long, b long, links long"))
+    components = named_components(connected_components(checked.select("a", "b")), classes)
+    links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    found = classes.drop("v").join(links, "node", "left").join(components, "node", "left")
+    component = F.when(F.col("joined"), F.col("component")).otherwise(F.col("rep")).alias("component")
+    found = found.select("p1", "p2", "copies", "links", component)
     joined = known.select("id", "p1", "p2").join(found, ["p1", "p2"], "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("component"))
     return joined.select(
         F.col("id").alias(vec_id),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        component.eqNullSafe(F.col("id")).alias("kept"),
     )
