@@ -6,16 +6,17 @@ symbols after them are classes of rare words, which are predicted as classes onl
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
 END = 0
-HIDDEN = 32
+HIDDEN = 16
 WINDOW = 32
-#: Texts that advance together while scoring.
-LANES = 1024
+#: Streams of texts that advance together while scoring.
+LANES = 256
 Parameters = dict[str, np.ndarray]
 
 
@@ -52,177 +53,216 @@ def initial(shape: Shape, frequency: np.ndarray, seed: int = 3) -> Parameters:
     return {name: value.astype(np.float32) for name, value in out.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _inputs(p: Parameters, symbols: np.ndarray) -> np.ndarray:
+    """What the symbols of a window (steps x lanes) bring to the gates: steps x gates x lanes."""
+    steps, lanes = symbols.shape
+    rows = p["inputs"][symbols.ravel()] + p["bias"]
+    return np.ascontiguousarray(rows.reshape(steps, lanes, -1).transpose(0, 2, 1))
 
 
-def _step(p: Parameters, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state, and what the backward pass needs of this step."""
-    back = h @ p["gates"]
-    x = p["inputs"][inputs] + p["bias"]
-    both = _sigmoid(x[:, : 2 * HIDDEN] + back[:, : 2 * HIDDEN])
-    z, r = both[:, :HIDDEN], both[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * back[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, back[:, 2 * HIDDEN :]
+def _step(gates: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The next state (units x lanes), and what the backward pass needs of this step; ``x`` is overwritten."""
+    units = len(h)
+    back = gates.T @ h
+    both = x[: 2 * units]
+    both += back[: 2 * units]
+    np.negative(both, out=both)
+    np.exp(both, out=both)
+    both += 1
+    np.reciprocal(both, out=both)
+    z, r, n = both[:units], both[units:], x[2 * units :]
+    n += r * back[2 * units :]
+    np.tanh(n, out=n)
+    return n + z * (h - n), z, r, n, back[2 * units :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _by_row(states: np.ndarray) -> np.ndarray:
+    """States of steps x units x lanes as rows of units."""
+    return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, states.shape[1])
 
 
-def log_probability(p: Parameters, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target symbol after its state."""
-    word = targets < shape.words
-    kind = np.where(word, targets // shape.class_size, shape.classes + targets - shape.words)
-    rows = np.arange(len(targets))
-    out = _log_softmax(states @ p["class_weights"] + p["class_bias"])[rows, kind].astype(float)
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row and their sums; rows are shifted only if they are large."""
+    if x.size and max(x.max(), -x.min()) > 60:
+        x = x - x.max(axis=1, keepdims=True)
+    e = np.exp(x)
+    return e, e @ np.ones(x.shape[1], x.dtype)
+
+
+def _output_class(shape: Shape, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The output class of each target, an order by class, and the bounds of the word classes in it."""
+    kind = np.where(targets < shape.words, targets // shape.class_size, shape.classes + targets - shape.words)
     order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(shape.classes + 1))
+    return kind, order, np.searchsorted(kind[order], np.arange(shape.classes + 1))
+
+
+def log_probability(p: Parameters, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target symbol after its state (a row)."""
+    kind, order, bounds = _output_class(shape, targets)
+    e, total = _softmax(states @ p["class_weights"] + p["class_bias"])
+    out = np.log(e[np.arange(len(targets)), kind] / total).astype(float)
     for k in range(shape.classes):
         some = order[bounds[k] : bounds[k + 1]]
         if len(some):
-            scores = _log_softmax(states[some] @ p["word_weights"][k] + p["word_bias"][k])
-            out[some] += scores[np.arange(len(some)), targets[some] - k * shape.class_size]
+            e, total = _softmax(states[some] @ p["word_weights"][k] + p["word_bias"][k])
+            out[some] += np.log(e[np.arange(len(some)), targets[some] - k * shape.class_size] / total)
+    return out
+
+
+def streams(lengths: np.ndarray, lanes: int) -> list[list[int]]:
+    """Texts dealt to at most ``lanes`` streams of about equal length: the longest first, each to the shortest stream."""
+    heap = [(0, lane) for lane in range(max(1, min(lanes, len(lengths))))]
+    out: list[list[int]] = [[] for _ in heap]
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        length, lane = heap[0]
+        out[lane].append(i)
+        heapq.heapreplace(heap, (length + int(lengths[i]), lane))
     return out
 
 
 def text_scores(p: Parameters, shape: Shape, texts: Sequence[np.ndarray]) -> np.ndarray:
     """Natural log probability of each text's symbols and its end.
 
-    A text is read in windows; its state is carried from window to window, so the whole text counts.
+    Texts are read one after the other in streams, in windows; the state is carried from window to
+    window and starts anew with each text, so the whole text counts.
     """
     out = np.zeros(len(texts))
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    for lo in range(0, len(order), LANES):
-        lanes = order[lo : lo + LANES]
-        length = np.array([len(texts[i]) + 1 for i in lanes])
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        last = np.zeros(len(lanes), np.int64) + END
-        total = np.zeros(len(lanes))
-        for start in range(0, int(length[0]), WINDOW):
-            active = int(np.searchsorted(-length, -start, side="left"))
-            width = min(WINDOW, int(length[0]) - start)
-            symbols = np.full((width, active), END, np.int64)
-            for lane in range(active):
-                part = texts[lanes[lane]][start : start + width]
-                symbols[: len(part), lane] = part
-            states, targets, owners = [], [], []
-            h, last = h[:active], last[:active]
-            for t in range(width):
-                now = int(np.searchsorted(-length, -(start + t), side="left"))
-                h, last = h[:now], last[:now]
-                h = _step(p, last, h)[0]
-                last = symbols[t, :now]
-                states.append(h)
-                targets.append(last)
-                owners.append(np.arange(now))
-            owner = np.concatenate(owners)
-            value = log_probability(p, shape, np.concatenate(states), np.concatenate(targets))
-            total[:active] += np.bincount(owner, value, active)
-        out[lanes] = total
+    if not len(texts):
+        return out
+    lengths = np.array([len(t) + 1 for t in texts])
+    # No stream need be longer than the longest text.
+    dealt = streams(lengths, min(LANES, int(lengths.sum() // lengths.max())))
+    flat = [np.concatenate([x for i in lane for x in (texts[i], (END,))]).astype(np.int32) for lane in dealt]
+    owner = [np.repeat(lane, [len(texts[i]) + 1 for i in lane]) for lane in dealt]
+    steps = max(map(len, flat))
+    symbols, owners = np.full((steps, len(flat)), END, np.int32), np.full((steps, len(flat)), -1, np.int32)
+    for lane, (own, whose) in enumerate(zip(flat, owner, strict=True)):
+        symbols[: len(own), lane], owners[: len(own), lane] = own, whose
+    h = np.zeros((p["gates"].shape[0], len(flat)), p["gates"].dtype)
+    for start in range(0, steps, WINDOW):
+        part = slice(start, min(steps, start + WINDOW))
+        # Every target is read next; the end of a text opens the following one.
+        before = np.vstack((symbols[start - 1] if start else np.full(len(flat), END, np.int32), symbols[part.start : part.stop - 1]))
+        fresh = before == END
+        x, states = _inputs(p, before), []
+        for t in range(part.stop - part.start):
+            h = _step(p["gates"], x[t], np.where(fresh[t], h.dtype.type(0), h))[0]
+            states.append(h)
+        whose = owners[part].ravel()
+        live = whose >= 0
+        value = log_probability(p, shape, _by_row(np.array(states))[live], symbols[part].ravel()[live])
+        out += np.bincount(whose[live], value, len(texts))
     return out
 
 
-def gradients(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[Parameters, np.ndarray, float]:
+def gradients(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> tuple[Parameters, np.ndarray, float]:
     """Mean loss of a window (steps x lanes) and its gradients; ``fresh`` marks steps that start a text.
 
-    The backward pass stops at the window's start; the state after it is returned.
+    The backward pass stops at the window's start; the state after it (units x lanes) is returned.
+    Steps that ``live`` leaves out have no loss.
     """
     steps, lanes = inputs.shape
-    kept, states = [], []
+    units = len(h)
+    x, kept, states = _inputs(p, inputs), [], []
     for t in range(steps):
-        before = np.where(fresh[t][:, None], np.float32(0), h)
-        h, z, r, n, back = _step(p, inputs[t], before)
+        before = np.where(fresh[t], h.dtype.type(0), h)
+        h, z, r, n, back = _step(p["gates"], x[t], before)
         kept.append((before, z, r, n, back))
         states.append(h)
-    flat, target = np.concatenate(states), targets.ravel()
-    number = len(target)
-    word = target < shape.words
-    kind = np.where(word, target // shape.class_size, shape.classes + target - shape.words)
-    rows = np.arange(number)
-    g: Parameters = {name: np.zeros_like(value) for name, value in p.items()}
-    scores = _log_softmax(flat @ p["class_weights"] + p["class_bias"])
-    loss = -float(scores[rows, kind].sum())
-    delta = np.exp(scores)
-    delta[rows, kind] -= 1
-    delta /= number
-    g["class_weights"], g["class_bias"] = flat.T @ delta, delta.sum(axis=0)
+    rows, target = _by_row(np.array(states)), targets.ravel()
+    weight = np.full(len(target), 1 / len(target), h.dtype) if live is None else live.ravel().astype(h.dtype) / max(1, live.sum())
+    kind, order, bounds = _output_class(shape, target)
+    place = np.arange(len(target))
+    g: Parameters = {"word_weights": np.zeros_like(p["word_weights"]), "word_bias": np.zeros_like(p["word_bias"]), "inputs": np.zeros_like(p["inputs"])}
+    delta, total = _softmax(rows @ p["class_weights"] + p["class_bias"])
+    loss = -float(np.log(delta[place, kind] / total) @ weight)
+    delta *= (weight / total)[:, None]
+    delta[place, kind] -= weight
+    g["class_weights"], g["class_bias"] = rows.T @ delta, delta.sum(axis=0)
     slope = delta @ p["class_weights"].T
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(shape.classes + 1))
     for k in range(shape.classes):
         some = order[bounds[k] : bounds[k + 1]]
         if len(some):
-            scores = _log_softmax(flat[some] @ p["word_weights"][k] + p["word_bias"][k])
-            place = target[some] - k * shape.class_size
-            loss -= float(scores[np.arange(len(some)), place].sum())
-            delta = np.exp(scores)
-            delta[np.arange(len(some)), place] -= 1
-            delta /= number
-            g["word_weights"][k], g["word_bias"][k] = flat[some].T @ delta, delta.sum(axis=0)
+            own, mine = rows[some], weight[some]
+            delta, total = _softmax(own @ p["word_weights"][k] + p["word_bias"][k])
+            at = (np.arange(len(some)), target[some] - k * shape.class_size)
+            loss -= float(np.log(delta[at] / total) @ mine)
+            delta *= (mine / total)[:, None]
+            delta[at] -= mine
+            g["word_weights"][k], g["word_bias"][k] = own.T @ delta, delta.sum(axis=0)
             slope[some] += delta @ p["word_weights"][k].T
-    slope = slope.reshape(steps, lanes, HIDDEN)
+    slope = np.ascontiguousarray(slope.reshape(steps, lanes, units).transpose(0, 2, 1))
     carried = np.zeros_like(h)
-    to_gates, to_input = (np.empty((steps, lanes, 3 * HIDDEN), h.dtype) for _ in range(2))
+    to_input = np.empty((steps, 3 * units, lanes), h.dtype)
+    g["gates"] = np.zeros_like(p["gates"])
+    to_gates = np.empty((3 * units, lanes), h.dtype)
     for t in reversed(range(steps)):
         before, z, r, n, back = kept[t]
-        d = slope[t] + carried
-        dn = d * (1 - z) * (1 - n * n)
-        to_input[t, :, :HIDDEN] = d * (before - n) * z * (1 - z)
-        to_input[t, :, HIDDEN : 2 * HIDDEN] = dn * back * r * (1 - r)
-        to_input[t, :, 2 * HIDDEN :] = dn
-        to_gates[t] = to_input[t]
-        to_gates[t, :, 2 * HIDDEN :] *= r
-        carried = d * z + to_gates[t] @ p["gates"].T
-        carried[fresh[t]] = 0
-    g["gates"] = np.concatenate([k[0] for k in kept]).T @ to_gates.reshape(number, -1)
-    flat_input = to_input.reshape(number, -1)
+        d = slope[t]
+        d += carried
+        kz = 1 - z
+        dn = d * kz
+        to_input[t, :units] = (before - n) * z * dn
+        dn *= 1 - n * n
+        to_input[t, units : 2 * units] = dn * back * r * (1 - r)
+        to_input[t, 2 * units :] = dn
+        to_gates[:] = to_input[t]
+        to_gates[2 * units :] *= r
+        g["gates"] += before @ to_gates.T
+        carried = d * z
+        carried += p["gates"] @ to_gates
+        carried *= ~fresh[t]
+    flat_input = _by_row(to_input)
     g["bias"] = flat_input.sum(axis=0)
     symbols = inputs.ravel()
     by_symbol = np.argsort(symbols, kind="stable")
     ranked = symbols[by_symbol]
     firsts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     g["inputs"][ranked[firsts]] = np.add.reduceat(flat_input[by_symbol], firsts, axis=0)
-    return g, h, loss / number
+    return g, h, loss
 
 
-def train(p: Parameters, shape: Shape, texts: Sequence[np.ndarray], *, rate: float = 0.004, lanes: int = 48, epochs: int = 1, seed: int = 1) -> tuple[Parameters, int]:
-    """Truncated backpropagation with Adam over all texts; the parameters and the symbols seen."""
+def train(p: Parameters, shape: Shape, texts: Sequence[np.ndarray], *, rate: float = 0.004, lanes: int = 48, seed: int = 1) -> tuple[Parameters, int]:
+    """One pass of truncated backpropagation with Adam over all texts; the parameters and the symbols seen.
+
+    The texts form one stream that is cut into lanes; the last lane is filled up with steps without loss.
+    """
     p = {name: value.copy() for name, value in p.items()}
-    random = np.random.default_rng(seed)
-    mean = {name: np.zeros_like(value) for name, value in p.items()}
-    square = {name: np.zeros_like(value) for name, value in p.items()}
-    step, seen = 0, 0
-    for _ in range(epochs):
-        order = random.permutation(len(texts))
-        # Every text is END, its symbols; its targets are the symbols and END.
-        whole = [np.concatenate(([END], texts[i])) for i in order]
-        if not whole:
-            break
-        stream = np.concatenate(whole)
-        goal = np.concatenate([np.append(x[1:], END) for x in whole])
-        first = np.zeros(len(stream), bool)
-        first[np.cumsum([0, *map(len, whole[:-1])])] = True
-        width = max(1, min(lanes, len(stream) // WINDOW))
-        length = len(stream) // width
-        inputs, targets, fresh = (x[: width * length].reshape(width, length).T for x in (stream, goal, first))
-        h = np.zeros((width, HIDDEN), np.float32)
-        windows = -(-length // WINDOW)
-        for w in range(windows):
-            part = slice(w * WINDOW, (w + 1) * WINDOW)
-            g, h, _ = gradients(p, shape, inputs[part], targets[part], fresh[part], h)
-            size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            scale = min(1.0, 1.0 / max(size, 1e-9))
-            step += 1
-            pace = rate * min(1.0, step / 20) * (1 - 0.8 * w / windows)
-            for name, value in g.items():
-                value *= scale
-                mean[name] += 0.1 * (value - mean[name])
-                square[name] += 0.01 * (value * value - square[name])
-                p[name] -= pace * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-7)
-            seen += inputs[part].size
-    return p, seen
+    if not len(texts):
+        return p, 0
+    order = np.random.default_rng(seed).permutation(len(texts))
+    # Every text is END, its symbols; its targets are the symbols and END.
+    goal = np.concatenate([x for i in order for x in (texts[i], (END,))]).astype(np.int32)
+    number = len(goal)
+    width = max(1, min(lanes, number // WINDOW))
+    length = -(-number // width)
+    goal = np.concatenate((goal, np.full(width * length - number, END, np.int32)))
+    before = np.concatenate(([END], goal[:-1]))
+    inputs, targets, fresh, live = (x.reshape(width, length).T for x in (before, goal, before == END, np.arange(len(goal)) < number))
+    mean, square = ({name: np.zeros_like(value) for name, value in p.items()} for _ in range(2))
+    h = np.zeros((p["gates"].shape[0], width), np.float32)
+    windows = -(-length // WINDOW)
+    for w in range(windows):
+        part = slice(w * WINDOW, (w + 1) * WINDOW)
+        g, h, _ = gradients(p, shape, inputs[part], targets[part], fresh[part], h, live[part])
+        size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
+        step = w + 1
+        pace = np.float32(rate * min(1.0, step / 20) * (1 - 0.8 * w / windows) / (1 - 0.9**step))
+        root = np.float32(1 / np.sqrt(1 - 0.99**step))
+        for name, value in g.items():
+            value *= scale
+            mean[name] *= np.float32(0.9)
+            mean[name] += np.float32(0.1) * value
+            value *= value
+            square[name] *= np.float32(0.99)
+            value *= np.float32(0.01)
+            square[name] += value
+            np.sqrt(square[name], out=value)
+            value *= root
+            value += np.float32(1e-7)
+            p[name] -= pace * mean[name] / value
+    return p, number
 
 
 def pack(p: Parameters) -> bytes:

@@ -32,8 +32,10 @@ from tallyspark.llm.common import cut_lineage, row_slices
 COMMON_SHARE = 1 / 500_000
 #: Longer tokens are never common, which bounds the size of the common tokens too.
 COMMON_BYTES = 64
-WORDS, CLASS_SIZE = 992, 31
+WORDS, CLASS_SIZE = 480, 24
 END_TOKEN = b""
+#: Tokens of a shard that one task trains on, and of a block that it scores at once.
+SHARD_TOKENS, BLOCK_TOKENS = 700_000, 2_000_000
 #: Distinct tokens that a task counts before it hands them on.
 HELD = 200_000
 
@@ -120,37 +122,61 @@ def shape_of(known: Statistics) -> gru.Shape:
     return gru.Shape(len(known.words), CLASS_SIZE, RARE)
 
 
-def symbol_ids(words: list[bytes], place: dict[bytes, int]) -> np.ndarray:
-    """Model symbols of the tokens: words by their place, rare classes after them."""
-    size, get = len(place), place.get
-    return np.array([i if (i := get(w)) is not None else size + rare_class(w) for w in words], np.int32)
+def read_symbols(rows: DataFrame, known: Statistics) -> DataFrame:
+    """The rows' symbols, sums over their common tokens, and their other tokens with how often each occurs.
 
+    ``inside`` is what the common tokens' frequencies in their rare classes add to the log10 score.
+    """
+    words = {token: i for i, token in enumerate(known.words)}
+    place = {token: i for i, token in enumerate(known.common)}
+    times = np.array(list(known.common.values()), np.int64)
+    symbol_of = np.array([words.get(token, len(words) + rare_class(token)) for token in known.common], np.int32)
+    rare_log = np.log10(np.maximum(known.rare_total, 0) + known.rare_kinds + 1)
+
+    def read(value: str | None) -> tuple[bytes, list[tuple[bytes, int]], int, int, float, float]:
+        found = tokens(value)
+        number = np.array([place.get(w, -1) for w in found], np.int64)
+        strange = [found[i] for i in np.flatnonzero(number < 0).tolist()]
+        symbols = symbol_of[number]
+        symbols[number < 0] = [len(words) + rare_class(w) for w in strange]
+        held = np.append(number[number >= 0], place[END_TOKEN])
+        logs = np.log10(times[held] + 1.0)
+        rare = symbols[symbols >= len(words)] - len(words)
+        inside = float(logs[symbol_of[held] >= len(words)].sum() - rare_log[rare].sum())
+        return symbols.astype(np.uint16).tobytes(), list(Counter(strange).items()), len(found) + 1, int((times[held] > 0).sum()), float(logs.sum()), inside
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in row_slices(whole)):
+            symbols, strange, *sums = zip(*map(read, batch.column(3).to_pylist()), strict=True)
+            offsets = pa.array(np.cumsum([0, *map(len, strange)]).astype(np.int32))
+            token = pa.array([w for row in strange for w, _ in row], pa.binary())
+            times_of = pa.array([n for row in strange for _, n in row], pa.int64())
+            columns = [pa.array(symbols, pa.binary()), pa.ListArray.from_arrays(offsets, token), pa.ListArray.from_arrays(offsets, times_of)]
+            columns += [pa.array(x, kind) for x, kind in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=names)
+
+    names = ["key", "doc_id", "learn", "symbols", "tokens", "times", "n_tokens", "n_seen", "log_sum", "inside"]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"key long, doc_id {kind}, learn boolean, symbols binary, tokens array<binary>, times array<long>, n_tokens long, n_seen long, log_sum double, inside double"
+    return rows.select("key", "doc_id", "learn", "text").mapInArrow(convert, schema)
 
-def train(docs: DataFrame, learn: Column, known: Statistics, *, doc_id: str = "doc_id", text: str = "text", rounds: int = 4, shard_documents: int = 2000) -> gru.Parameters:
-    """Parameters averaged over shards of all training documents.
 
-    Every document is dealt to one round and to one shard of about ``shard_documents`` in it, so the
-    number of shards grows with the table and each document is passed over once.
+def train(rows: DataFrame, known: Statistics, *, rounds: int = 4, shard_tokens: int = SHARD_TOKENS) -> gru.Parameters:
+    """Parameters averaged over shards of all training rows of ``read_symbols``.
+
+    Every row is dealt to one round and to one shard of about ``shard_tokens`` in it, so the number of
+    shards grows with the table and each row is passed over once.
     """
     shape = shape_of(known)
-    place = {token: i for i, token in enumerate(known.words)}
     frequency = np.concatenate(([float(known.common.get(token, 0)) for token in known.words], known.rare_total))
     parameters = gru.initial(shape, np.maximum(frequency, 0))
-    number = docs.where(learn).count()
-    if not number:
+    if not known.total:
         return parameters
-    shards = max(1, round(number / (rounds * shard_documents)))
-
-    def to_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in row_slices(whole)):
-            rows = [symbol_ids(tokens(value), place).astype(np.uint16).tobytes() for value in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["turn", "shard", "symbols"])
-
-    # The text counts too, so that rows of one id do not all meet in one shard.
-    turn_of = F.pmod(F.xxhash64(doc_id, text, F.lit(17)), F.lit(rounds)).cast("int")
-    shard_of = F.pmod(F.xxhash64(doc_id, text, F.lit(23)), F.lit(shards)).cast("int")
-    dealt = docs.where(learn).select(turn_of.alias("turn"), shard_of.alias("shard"), F.col(text).cast("string"))
-    dealt = cut_lineage(dealt.mapInArrow(to_symbols, "turn int, shard int, symbols binary"))
+    shards = max(1, round(known.total / (rounds * shard_tokens)))
+    # Rows are dealt by their own key, so that copies do not all meet in one shard.
+    turn_of = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(rounds)).cast("int")
+    shard_of = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(shards)).cast("int")
+    dealt = rows.where("learn").select(turn_of.alias("turn"), shard_of.alias("shard"), "symbols")
 
     def average(_: tuple, table: pa.Table) -> pa.Table:
         weight = table["weight"].to_numpy().astype(float)
@@ -159,8 +185,8 @@ def train(docs: DataFrame, learn: Column, known: Statistics, *, doc_id: str = "d
 
     def learner(start: gru.Parameters, turn: int):
         def learn_shard(key: tuple, table: pa.Table) -> pa.Table:
-            texts = [np.frombuffer(x, np.uint16).astype(np.int32) for x in sorted(table["symbols"].to_pylist())]
-            learned, seen = gru.train(start, shape, texts, rate=0.006 if turn == 0 else 0.003, lanes=192, seed=100 * turn + key[0].as_py())
+            texts = [np.frombuffer(x, np.uint16) for x in sorted(table["symbols"].to_pylist())]
+            learned, seen = gru.train(start, shape, texts, rate=0.008 if turn == 0 else 0.004, lanes=192, seed=100 * turn + key[0].as_py())
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weight": pa.array([seen]), "parameters": pa.array([gru.pack(learned)], pa.binary())})
 
         return learn_shard
@@ -179,70 +205,46 @@ def train(docs: DataFrame, learn: Column, known: Statistics, *, doc_id: str = "d
     return parameters
 
 
+def _blocks(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most ``most`` tokens, or of one longer row."""
+    ends, start = np.cumsum(lengths), 0
+    while start < len(lengths):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield start, stop
+        start = stop
+
+
 def lm_scores(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), learn.alias("learn"))
+    # Rows get a key of their own, so repeated and null ids stay apart.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), learn.alias("learn"), F.monotonically_increasing_id().alias("key"))
     counts = cut_lineage(token_counts(rows, F.col("learn"), text="text"))
     known = statistics(counts)
     shape = shape_of(known)
-    parameters = train(rows, F.col("learn"), known)
-    words = {token: i for i, token in enumerate(known.words)}
-    place = {token: i for i, token in enumerate(known.common)}
-    times = np.array(list(known.common.values()), np.int64)
-    symbol_of = np.array([words.get(token, shape.words + rare_class(token)) for token in known.common], np.int32)
-    rare_log = np.log10(np.maximum(known.rare_total, 0) + known.rare_kinds + 1)
-
-    def read(value: str | None) -> tuple[np.ndarray, list[bytes], tuple[int, int, float, float]]:
-        """Symbols, uncommon tokens, and sums over the common ones: tokens, known, log counts, and the rare classes' part of the score."""
-        found = tokens(value)
-        number = np.array([place.get(w, -1) for w in found], np.int64)
-        strange = [found[i] for i in np.flatnonzero(number < 0).tolist()]
-        symbols = symbol_of[number]
-        symbols[number < 0] = [shape.words + rare_class(w) for w in strange]
-        held = np.append(number[number >= 0], place[END_TOKEN])
-        logs = np.log10(times[held] + 1.0)
-        rare = symbols[symbols >= shape.words] - shape.words
-        inside = float(logs[symbol_of[held] >= shape.words].sum() - rare_log[rare].sum())
-        return symbols, strange, (len(found) + 1, int((times[held] > 0).sum()), float(logs.sum()), inside)
+    read = cut_lineage(read_symbols(rows, known))
+    parameters = train(read, known)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, len(whole), 2 * gru.LANES):
-                batch = whole.slice(lo, 2 * gru.LANES)
-                read_rows = [read(value) for value in batch.column(1).to_pylist()]
-                sums = np.array([row[2] for row in read_rows]).reshape(-1, 4)
-                value = gru.text_scores(parameters, shape, [row[0] for row in read_rows]) / math.log(10) + sums[:, 3]
-                keys = batch.column(2)
-                # The row of a document carries a token with a blank, which no text has.
-                own = [b" %d" % key for key in keys.to_pylist()]
-                columns = [pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64)), pa.array(sums[:, 2]), pa.array(value)]
-                yield pa.RecordBatch.from_arrays([keys, batch.column(0), pa.array(own, pa.binary()), *columns], names=names)
-                strange = [w for row in read_rows for w in row[1]]
-                n = len(strange)
-                at = pa.array(np.repeat(np.arange(len(read_rows)), [len(row[1]) for row in read_rows]))
-                nothing = [pa.nulls(n, column.type) for column in columns]
-                yield pa.RecordBatch.from_arrays([keys.take(at), pa.nulls(n, batch.column(0).type), pa.array(strange, pa.binary()), *nothing], names=names)
-
-    names = ["key", "doc_id", "token", "n_tokens", "n_seen", "log_sum", "value"]
+        for batch in batches:
+            texts = [np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]
+            blocks = _blocks(np.array([len(x) + 1 for x in texts], np.int64), BLOCK_TOKENS)
+            value = np.concatenate([np.zeros(0), *(gru.text_scores(parameters, shape, texts[lo:hi]) for lo, hi in blocks)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value / math.log(10)), *batch.columns[2:]], names=["key", "value", "doc_id", "n_tokens", "n_seen", "log_sum", "inside"])
+
     kind = docs.schema[doc_id].dataType.simpleString()
-    # Rows get a key of their own, so repeated and null ids stay apart.
-    keyed = rows.select("doc_id", "text", F.monotonically_increasing_id().alias("key"))
-    parts = keyed.mapInArrow(score, f"key long, doc_id {kind}, token binary, n_tokens long, n_seen long, log_sum double, value double")
-    looked = parts.join(counts.where("learned > 0").select("token", "learned"), "token", "left")
-    summed = looked.groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.coalesce(F.sum("n_seen"), F.lit(0)) + F.count("learned")).alias("n_known"),
-        (F.coalesce(F.sum("log_sum"), F.lit(0.0))).alias("log_sum"),
-        F.coalesce(F.sum(F.log10(F.col("learned") + 1)), F.lit(0.0)).alias("others"),
-        F.sum("value").alias("value"),
-    )
+    scored = read.select("key", "symbols", "doc_id", "n_tokens", "n_seen", "log_sum", "inside")
+    scored = scored.mapInArrow(score, f"key long, value double, doc_id {kind}, n_tokens long, n_seen long, log_sum double, inside double")
+    strange = read.select("key", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("key", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
+    looked = strange.join(counts.where("learned > 0").select("token", "learned"), "token")
+    others = looked.groupBy("key").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("learned") + 1)).alias("others"))
+    summed = scored.join(others, "key", "left")
     size = math.log10(known.total + known.kinds + 1)
+    rest = F.coalesce("others", F.lit(0.0))
     return summed.select(
         F.col("doc_id").alias(doc_id),
         "n_tokens",
-        "n_known",
+        (F.col("n_seen") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(known.total).cast("long").alias("train_tokens"),
-        (F.col("log_sum") + F.col("others") - F.col("n_tokens") * size).alias("base_score"),
-        (F.col("value") + F.col("others")).alias("score"),
+        (F.col("log_sum") + rest - F.col("n_tokens") * size).alias("base_score"),
+        (F.col("value") + F.col("inside") + rest).alias("score"),
     )

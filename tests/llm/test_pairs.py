@@ -342,19 +342,20 @@ def test_gradients():
     rng = np.random.default_rng(5)
     inputs, targets = rng.integers(0, 8, (2, 4, 3))
     fresh = rng.random((4, 3)) < 0.3
-    h = rng.standard_normal((3, gru.HIDDEN))
-    g, _, _ = gru.gradients(p, shape, inputs, targets, fresh, h)
+    h = rng.standard_normal((gru.HIDDEN, 3))
+    live = rng.random((4, 3)) < 0.8
+    g, _, _ = gru.gradients(p, shape, inputs, targets, fresh, h, live)
     for name in p:
         for at in rng.integers(0, p[name].size, 6):
             sides = []
             for step in (1e-5, -1e-5):
                 q = {k: v.copy() for k, v in p.items()}
                 q[name].ravel()[at] += step
-                sides.append(gru.gradients(q, shape, inputs, targets, fresh, h)[2])
+                sides.append(gru.gradients(q, shape, inputs, targets, fresh, h, live)[2])
             assert math.isclose(g[name].ravel()[at], (sides[0] - sides[1]) / 2e-5, rel_tol=1e-3, abs_tol=1e-6), name
 
 
-def test_model_sums_to_one_and_carries_state():
+def test_model_sums_to_one_and_carries_state(monkeypatch):
     shape = gru.Shape(5, 3, 2)
     p = gru.initial(shape, np.arange(1.0, 8.0))
     p["gates"] *= 3
@@ -362,13 +363,26 @@ def test_model_sums_to_one_and_carries_state():
     total = sum(np.exp(gru.log_probability(p, shape, states, np.full(4, s))) for s in range(7))
     assert np.allclose(total, 1, atol=1e-3)
     text = np.random.default_rng(7).integers(1, 7, 3 * gru.WINDOW + 5)
-    h, last, expected = np.zeros((1, gru.HIDDEN), np.float32), np.array([0]), 0.0
+    h, last, expected = np.zeros((gru.HIDDEN, 1), np.float32), 0, 0.0
     for symbol in [*text, 0]:
-        h = gru._step(p, last, h)[0]
-        expected += gru.log_probability(p, shape, h, np.array([symbol]))[0]
-        last = np.array([symbol])
-    scores = gru.text_scores(p, shape, [text[:3], text, text[:0]])
-    assert math.isclose(scores[1], expected, rel_tol=1e-5)
+        h = gru._step(p["gates"], gru._inputs(p, np.array([[last]]))[0], h)[0]
+        expected += gru.log_probability(p, shape, h.T, np.array([symbol]))[0]
+        last = symbol
+    for lanes in (1, 2, 256):
+        monkeypatch.setattr(gru, "LANES", lanes)
+        scores = gru.text_scores(p, shape, [text[:3], text, text[:0], text])
+        assert math.isclose(scores[1], expected, rel_tol=1e-5) and math.isclose(scores[3], expected, rel_tol=1e-5)
+        assert math.isclose(scores[2], gru.text_scores(p, shape, [text[:0]])[0], rel_tol=1e-5)
+
+
+def test_training_counts_every_symbol():
+    shape = gru.Shape(5, 3, 2)
+    start = gru.initial(shape, np.ones(7))
+    # The last symbols of the stream are the only ones of their kind.
+    texts = [np.array([1, 2] * 40), np.array([1, 2] * 40), np.array([4])]
+    for seed in range(4):
+        learned, seen = gru.train(start, shape, texts, lanes=5, seed=seed)
+        assert seen == 164 and learned["inputs"][4].tolist() != start["inputs"][4].tolist()
 
 
 def test_lm_scores(spark):
