@@ -81,12 +81,23 @@ def _by_row(states: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, states.shape[1])
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of each row and their sums; rows are shifted only if they are large."""
-    if x.size and max(x.max(), -x.min()) > 60:
-        x = x - x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    return e, e @ np.ones(x.shape[1], x.dtype)
+def _large(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether a product with states, which lie between -1 and 1, can be too large for an exponential."""
+    return bool((np.abs(weights).sum(axis=-2) + np.abs(bias)).max() > 80)
+
+
+def _softmax(x: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row, in the place of the row, and their sums; large rows are shifted."""
+    if large:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
+
+
+def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = states @ weights
+    out += bias
+    return out
 
 
 def _output_class(shape: Shape, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,12 +110,13 @@ def _output_class(shape: Shape, targets: np.ndarray) -> tuple[np.ndarray, np.nda
 def log_probability(p: Parameters, shape: Shape, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target symbol after its state (a row)."""
     kind, order, bounds = _output_class(shape, targets)
-    e, total = _softmax(states @ p["class_weights"] + p["class_bias"])
+    large = _large(p["class_weights"], p["class_bias"]), _large(p["word_weights"], p["word_bias"])
+    e, total = _softmax(_logits(states, p["class_weights"], p["class_bias"]), large[0])
     out = np.log(e[np.arange(len(targets)), kind] / total).astype(float)
     for k in range(shape.classes):
         some = order[bounds[k] : bounds[k + 1]]
         if len(some):
-            e, total = _softmax(states[some] @ p["word_weights"][k] + p["word_bias"][k])
+            e, total = _softmax(_logits(states[some], p["word_weights"][k], p["word_bias"][k]), large[1])
             out[some] += np.log(e[np.arange(len(some)), targets[some] - k * shape.class_size] / total)
     return out
 
@@ -173,8 +185,9 @@ def gradients(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.ndarr
     weight = np.full(len(target), 1 / len(target), h.dtype) if live is None else live.ravel().astype(h.dtype) / max(1, live.sum())
     kind, order, bounds = _output_class(shape, target)
     place = np.arange(len(target))
-    g: Parameters = {"word_weights": np.zeros_like(p["word_weights"]), "word_bias": np.zeros_like(p["word_bias"]), "inputs": np.zeros_like(p["inputs"])}
-    delta, total = _softmax(rows @ p["class_weights"] + p["class_bias"])
+    g: Parameters = {"word_weights": np.zeros_like(p["word_weights"]), "word_bias": np.zeros_like(p["word_bias"])}
+    large = _large(p["class_weights"], p["class_bias"]), _large(p["word_weights"], p["word_bias"])
+    delta, total = _softmax(_logits(rows, p["class_weights"], p["class_bias"]), large[0])
     loss = -float(np.log(delta[place, kind] / total) @ weight)
     delta *= (weight / total)[:, None]
     delta[place, kind] -= weight
@@ -184,7 +197,7 @@ def gradients(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.ndarr
         some = order[bounds[k] : bounds[k + 1]]
         if len(some):
             own, mine = rows[some], weight[some]
-            delta, total = _softmax(own @ p["word_weights"][k] + p["word_bias"][k])
+            delta, total = _softmax(_logits(own, p["word_weights"][k], p["word_bias"][k]), large[1])
             at = (np.arange(len(some)), target[some] - k * shape.class_size)
             loss -= float(np.log(delta[at] / total) @ mine)
             delta *= (mine / total)[:, None]
@@ -212,13 +225,10 @@ def gradients(p: Parameters, shape: Shape, inputs: np.ndarray, targets: np.ndarr
         carried = d * z
         carried += p["gates"] @ to_gates
         carried *= ~fresh[t]
-    flat_input = _by_row(to_input)
-    g["bias"] = flat_input.sum(axis=0)
+    by_gate = np.ascontiguousarray(to_input.transpose(1, 0, 2)).reshape(3 * units, -1)
+    g["bias"] = by_gate.sum(axis=1)
     symbols = inputs.ravel()
-    by_symbol = np.argsort(symbols, kind="stable")
-    ranked = symbols[by_symbol]
-    firsts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    g["inputs"][ranked[firsts]] = np.add.reduceat(flat_input[by_symbol], firsts, axis=0)
+    g["inputs"] = np.ascontiguousarray(np.array([np.bincount(symbols, row, len(p["inputs"])) for row in by_gate]).T.astype(h.dtype))
     return g, h, loss
 
 

@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import gru
-from tallyspark.llm.common import cut_lineage, row_slices
+from tallyspark.llm.common import cut_lineage, row_slices, sum_by
 
 #: Tokens with at least this share of all tokens are common; there are at most its inverse of them.
 COMMON_SHARE = 1 / 500_000
@@ -37,22 +38,25 @@ END_TOKEN = b""
 #: Tokens of a shard that one task trains on, and of a block that it scores at once.
 SHARD_TOKENS, BLOCK_TOKENS = 700_000, 2_000_000
 #: Distinct tokens that a task counts before it hands them on.
-HELD = 200_000
-
-_LAST = [0] * 256
-for _byte in b"abcdefghijklmnopqrstuvwxyz":
-    _LAST[_byte] = 1
-for _byte in b"0123456789":
-    _LAST[_byte] = 2
-for _byte in b".,;:!?":
-    _LAST[_byte] = 3
-_LENGTH = [0, 0, 0, 0, 1, 1, 1, 2, 2, 2, 2, 2, 3]
+HELD = 400_000
+
+_LAST = np.zeros(256, np.int64)
+_LAST[97:123], _LAST[48:58], _LAST[list(b".,;:!?")] = 1, 2, 3
+_LENGTH = np.array([0, 0, 0, 0, 1, 1, 1, 2, 2, 2, 2, 2, 3])
 RARE = 32
 
 
-def rare_class(token: bytes) -> int:
-    """A class of rare tokens by their letters, last character and length."""
-    return (0 if token.isascii() else 16) + 4 * _LAST[token[-1]] + _LENGTH[min(len(token), 12)] if token else 0
+def rare_classes(words: list[bytes]) -> np.ndarray:
+    """A class for each rare token by its letters, last character and length; an empty token is of class 0."""
+    size = np.array([len(w) for w in words], np.int64)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    full = np.flatnonzero(size)
+    out = np.zeros(len(words), np.int64)
+    if len(full):
+        ends = np.cumsum(size[full])
+        foreign = np.maximum.reduceat(data, ends - size[full]) >= 128
+        out[full] = 16 * foreign + 4 * _LAST[data[ends - 1]] + _LENGTH[np.minimum(size[full], 12)]
+    return out
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -81,8 +85,9 @@ def token_counts(docs: DataFrame, learn: Column, *, text: str = "text") -> DataF
         def give(total: Counter[bytes], learned: bool) -> pa.RecordBatch:
             n = pa.array(list(total.values()), pa.int64())
             none = pa.array([0] * len(total), pa.int64())
-            kinds = pa.array([rare_class(token) for token in total], pa.int32())
-            batch = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), kinds, n if learned else none, n], names=["token", "kind", "learned", "seen"])
+            found = list(total)
+            kinds = pa.array(rare_classes(found).astype(np.int32))
+            batch = pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), kinds, n if learned else none, n], names=["token", "kind", "learned", "seen"])
             total.clear()
             return batch
 
@@ -111,10 +116,10 @@ def statistics(counts: DataFrame) -> Statistics:
     rare_total, rare_kinds = np.zeros(RARE), np.zeros(RARE)
     for row in counts.where("learned > 0").groupBy("kind").agg(F.sum("learned").alias("n"), F.count("*").alias("k")).collect():
         rare_total[row.kind], rare_kinds[row.kind] = row.n, row.k
-    for token in words:
+    for token, kind in zip(words, rare_classes(list(words)).tolist(), strict=True):
         if common.get(token):
-            rare_total[rare_class(token)] -= common[token]
-            rare_kinds[rare_class(token)] -= 1
+            rare_total[kind] -= common[token]
+            rare_kinds[kind] -= 1
     return Statistics(sums.total or 0, sums.kinds, common, words, rare_total, rare_kinds)
 
 
@@ -123,41 +128,47 @@ def shape_of(known: Statistics) -> gru.Shape:
 
 
 def read_symbols(rows: DataFrame, known: Statistics) -> DataFrame:
-    """The rows' symbols, sums over their common tokens, and their other tokens with how often each occurs.
+    """The rows' symbols, sums over their common tokens, and their other tokens.
 
     ``inside`` is what the common tokens' frequencies in their rare classes add to the log10 score.
     """
+    common, size = list(known.common), len(known.words)
     words = {token: i for i, token in enumerate(known.words)}
-    place = {token: i for i, token in enumerate(known.common)}
+    place = {token: i for i, token in enumerate(common)}
     times = np.array(list(known.common.values()), np.int64)
-    symbol_of = np.array([words.get(token, len(words) + rare_class(token)) for token in known.common], np.int32)
+    symbol_of = size + rare_classes(common)
+    symbol_of[[place[w] for w in known.words if w in place]] = [words[w] for w in known.words if w in place]
     rare_log = np.log10(np.maximum(known.rare_total, 0) + known.rare_kinds + 1)
-
-    def read(value: str | None) -> tuple[bytes, list[tuple[bytes, int]], int, int, float, float]:
-        found = tokens(value)
-        number = np.array([place.get(w, -1) for w in found], np.int64)
-        strange = [found[i] for i in np.flatnonzero(number < 0).tolist()]
-        symbols = symbol_of[number]
-        symbols[number < 0] = [len(words) + rare_class(w) for w in strange]
-        held = np.append(number[number >= 0], place[END_TOKEN])
-        logs = np.log10(times[held] + 1.0)
-        rare = symbols[symbols >= len(words)] - len(words)
-        inside = float(logs[symbol_of[held] >= len(words)].sum() - rare_log[rare].sum())
-        return symbols.astype(np.uint16).tobytes(), list(Counter(strange).items()), len(found) + 1, int((times[held] > 0).sum()), float(logs.sum()), inside
+    logs = np.log10(times + 1.0)
+    # What a common token adds to each sum, and what a rare symbol takes from the last one.
+    adds = np.column_stack((times > 0, logs, np.where(symbol_of >= size, logs, 0)))
+    takes = np.concatenate((np.zeros(size), rare_log))
+    end = adds[place[END_TOKEN]]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in row_slices(whole)):
-            symbols, strange, *sums = zip(*map(read, batch.column(3).to_pylist()), strict=True)
-            offsets = pa.array(np.cumsum([0, *map(len, strange)]).astype(np.int32))
-            token = pa.array([w for row in strange for w, _ in row], pa.binary())
-            times_of = pa.array([n for row in strange for _, n in row], pa.int64())
-            columns = [pa.array(symbols, pa.binary()), pa.ListArray.from_arrays(offsets, token), pa.ListArray.from_arrays(offsets, times_of)]
-            columns += [pa.array(x, kind) for x, kind in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            found = [tokens(value) for value in batch.column(3).to_pylist()]
+            bounds = np.cumsum([0, *map(len, found)])
+            flat = list(chain.from_iterable(found))
+            number = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
+            foreign = number < 0
+            strange = list(compress(flat, foreign.tolist()))
+            symbols = symbol_of[number]
+            symbols[foreign] = size + rare_classes(strange)
+            values = adds[number]
+            values[foreign] = 0
+            values[:, 2] -= takes[symbols]
+            sums = sum_by(values, bounds) + end
+            sums[:, 2] -= takes[gru.END]
+            held = np.concatenate(([0], np.cumsum(foreign)))[bounds].astype(np.int32)
+            data = pa.py_buffer(symbols.astype(np.uint16).tobytes())
+            columns = [pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer((2 * bounds).astype(np.int32)), data]), pa.ListArray.from_arrays(pa.array(held), pa.array(strange, pa.binary()))]
+            columns += [pa.array(np.diff(bounds) + 1), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=names)
 
-    names = ["key", "doc_id", "learn", "symbols", "tokens", "times", "n_tokens", "n_seen", "log_sum", "inside"]
+    names = ["key", "doc_id", "learn", "symbols", "tokens", "n_tokens", "n_seen", "log_sum", "inside"]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"key long, doc_id {kind}, learn boolean, symbols binary, tokens array<binary>, times array<long>, n_tokens long, n_seen long, log_sum double, inside double"
+    schema = f"key long, doc_id {kind}, learn boolean, symbols binary, tokens array<binary>, n_tokens long, n_seen long, log_sum double, inside double"
     return rows.select("key", "doc_id", "learn", "text").mapInArrow(convert, schema)
 
 
@@ -234,9 +245,9 @@ def lm_scores(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: s
     kind = docs.schema[doc_id].dataType.simpleString()
     scored = read.select("key", "symbols", "doc_id", "n_tokens", "n_seen", "log_sum", "inside")
     scored = scored.mapInArrow(score, f"key long, value double, doc_id {kind}, n_tokens long, n_seen long, log_sum double, inside double")
-    strange = read.select("key", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("key", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
+    strange = read.select("key", F.explode("tokens").alias("token"))
     looked = strange.join(counts.where("learned > 0").select("token", "learned"), "token")
-    others = looked.groupBy("key").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("learned") + 1)).alias("others"))
+    others = looked.groupBy("key").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("learned") + 1)).alias("others"))
     summed = scored.join(others, "key", "left")
     size = math.log10(known.total + known.kinds + 1)
     rest = F.coalesce("others", F.lit(0.0))
