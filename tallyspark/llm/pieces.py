@@ -12,7 +12,8 @@ Scores are the file's; if the file holds merge ranks (whole numbers), a piece of
 log probability of Zipf's law, log(1 / ((r + 1) * H)).
 
 Defined results: a null text gives null; an empty text gives no pieces; a marker character in the
-text decodes as a blank, as in the original format; invalid ids are refused; repeated rows are
+text decodes as a blank, as in the original format; ids that are null, negative or beyond the
+vocabulary are refused; repeated rows are
 encoded alike; columns of other names are passed through.
 """
 
@@ -32,8 +33,8 @@ MARK = "▁"
 UNKNOWN_COST = 10.0
 #: Words in each of the two generations that a task remembers.
 REMEMBERED = 250_000
-#: Words searched together.
-TOGETHER = 4096
+#: Words searched together, and the places of all of them, which bounds a search's memory.
+TOGETHER, PLACES = 4096, 2_000_000
 
 
 class DoubleArrayTrie:
@@ -80,7 +81,7 @@ class DoubleArrayTrie:
             check[at + steps] = place
             todo.extend((tree[node][c], at + c) for c in children)
         last = int(np.flatnonzero(used).max()) + 257
-        self.base, self.check, self.leaf = base[:last], check[:last], leaf[:last]
+        self.base, self.check, self.leaf = base[:last].astype(np.int64), check[:last].astype(np.int64), leaf[:last]
 
 
 @dataclass(frozen=True)
@@ -116,73 +117,86 @@ class PieceModel:
                 byte_ids[int(piece[3:5], 16)] = i
         usable = [(piece.encode(), i) for i, piece in enumerate(pieces) if not special[i] and piece]
         apart = all(MARK not in piece[1:] or not piece.strip(MARK) for i, piece in enumerate(pieces) if not special[i])
-        return cls(tuple(pieces), value.astype(np.float32), byte_ids, DoubleArrayTrie(usable), max(map(len, (k for k, _ in usable))), apart)
-
-    def viterbi(self, words: list[bytes]) -> list[list[int]]:
-        """The best segmentation of each word of UTF-8 bytes."""
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        out: list[list[int]] = [[] for _ in words]
-        for lo in range(0, len(order), TOGETHER):
-            some = order[lo : lo + TOGETHER]
-            # Words of very different lengths are searched apart.
-            while some:
-                top = max(2 * len(words[some[0]]), 24)
-                part = [i for i in some if len(words[i]) <= top]
-                some = some[len(part) :]
-                for i, ids in zip(part, self._search([words[i] for i in part]), strict=True):
-                    out[i] = ids
+        return cls(tuple(pieces), value, byte_ids, DoubleArrayTrie(usable), max(map(len, (k for k, _ in usable))), apart)
+
+    def viterbi(self, words: list[bytes]) -> list[bytes]:
+        """The best segmentation of each word of UTF-8 bytes, as little-endian 32-bit ids."""
+        size = np.array([len(word) for word in words], np.int64)
+        order = np.argsort(size, kind="stable")
+        out: list[bytes] = [b""] * len(words)
+        lo = 0
+        while lo < len(order):
+            # Words of very different lengths are searched apart, and long ones few at a time.
+            longest = size[order[lo : lo + TOGETHER]]
+            fits = (longest <= max(2 * longest[0], 24)) & ((longest + 1) * np.arange(1, len(longest) + 1) <= PLACES)
+            hi = lo + max(1, int(fits.sum()))
+            some = order[lo:hi].tolist()
+            for i, ids in zip(some, self._search([words[i] for i in some]), strict=True):
+                out[i] = ids
+            lo = hi
         return out
 
-    def _search(self, words: list[bytes]) -> list[list[int]]:
-        n, width = len(words), max(map(len, words))
-        text = np.zeros((width + 1, n), np.int32)
-        for i, word in enumerate(words):
-            text[: len(word), i] = np.frombuffer(word, np.uint8)
+    def _search(self, words: list[bytes]) -> list[bytes]:
+        n = len(words)
         length = np.array([len(word) for word in words])
-        best = np.full((width + 1, n), -np.inf, np.float32)
+        width = int(length.max())
+        padded = np.frombuffer(b"".join(word.ljust(width + 1, b"\0") for word in words), np.uint8)
+        text = np.ascontiguousarray(padded.reshape(n, width + 1).T).astype(np.int64)
+        best = np.full((width + 1, n), -np.inf)
         best[0] = 0
         came, piece = np.zeros((width + 1, n), np.int32), np.full((width + 1, n), -1, np.int32)
-        lead = text[:, :]
-        size = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
-        unknown = np.float32(self.scores.min() - UNKNOWN_COST)
+        # The bytes of the character that begins here.
+        letter = (1 + (text >= 0xC0) + (text >= 0xE0) + (text >= 0xF0)).astype(np.int8)
+        opens = (text & 0xC0) != 0x80
+        unknown = self.scores.min() - UNKNOWN_COST
         base, check, leaf = self.trie.base, self.trie.check, self.trie.leaf
         for start in range(width):
-            rows = np.flatnonzero((start < length) & np.isfinite(best[start]) & ((text[start] & 0xC0) != 0x80))
+            rows = np.flatnonzero(opens[start] & (start < length))
             if not len(rows):
                 continue
-            node = np.zeros(len(rows), np.int64)
             covered = np.zeros(n, bool)
-            here = rows
+            here, node = rows, np.zeros(len(rows), np.int64)
             for stop in range(start + 1, min(width, start + self.longest) + 1):
                 following = base[node] + text[stop - 1, here]
-                ok = (check[following] == node) & (stop <= length[here]) & ((base[node] > 0) | (node == 0))
-                here, node = here[ok], following[ok].astype(np.int64)
+                ok = (check[following] == node) & (stop <= length[here])
+                here, node = here[ok], following[ok]
                 if not len(here):
                     break
                 found = leaf[node]
                 full = found >= 0
                 at, ids = here[full], found[full]
-                covered[at[stop - start == size[start, at]]] = True
+                if stop - start <= 4:
+                    covered[at[letter[start, at] == stop - start]] = True
                 score = best[start, at] + self.scores[ids]
                 better = score > best[stop, at]
                 at = at[better]
                 best[stop, at], came[stop, at], piece[stop, at] = score[better], start, ids[better]
             bare = rows[~covered[rows]]
-            stop = np.minimum(start + size[start, bare], length[bare])
+            stop = np.minimum(letter[start, bare] + np.int64(start), length[bare])
             score = best[start, bare] + unknown
             better = score > best[stop, bare]
             bare, stop = bare[better], stop[better]
             best[stop, bare], came[stop, bare], piece[stop, bare] = score[better], start, -1
-        out = []
-        for i, word in enumerate(words):
-            ids: list[int] = []
-            at = len(word)
-            while at:
-                start, found = int(came[at, i]), int(piece[at, i])
-                ids[:0] = [found] if found >= 0 else self.byte_ids[list(word[start:at])].tolist()
-                at = start
-            out.append(ids)
-        return out
+        # All words are followed back to their starts together.
+        word, at = np.arange(n), length
+        word, at = word[at > 0], at[at > 0]
+        owners, starts, chosen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        while len(word):
+            start, found = came[at, word].astype(np.int64), piece[at, word]
+            bare = found < 0
+            owners.append(word[~bare])
+            starts.append(start[~bare])
+            chosen.append(found[~bare])
+            for w, first, last in zip(word[bare].tolist(), start[bare].tolist(), at[bare].tolist(), strict=True):
+                owners.append(np.full(last - first, w))
+                starts.append(np.arange(first, last))
+                chosen.append(self.byte_ids[text[first:last, w]])
+            word, at = word[start > 0], start[start > 0]
+        owner, first, ids = np.concatenate(owners), np.concatenate(starts), np.concatenate(chosen).astype("<i4")
+        order = np.lexsort((first, owner))
+        whole = ids[order].tobytes()
+        ends = (4 * np.searchsorted(owner[order], np.arange(n + 1))).tolist()
+        return [whole[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
     def decode_table(self) -> list[bytes]:
         """What each id adds to a decoded text."""
@@ -219,7 +233,7 @@ class Encoder:
         self.known.update((word, self.older[word]) for word in again)
         fresh = list(missing - again)
         for word, ids in zip(fresh, self.model.viterbi([w.encode("utf-8", "replace") for w in fresh]), strict=True):
-            self.known[word] = np.array(ids, "<i4").tobytes()
+            self.known[word] = ids
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in chunks]
 
@@ -261,8 +275,8 @@ def decode(rows: DataFrame, model: PieceModel, *, ids: str = "ids", text: str =
                     if found is None:
                         out.append(None)
                         continue
-                    if found and (min(found) < 0 or None in found):
-                        raise ValueError("an id is negative or null")
+                    if None in found or found and not 0 <= min(found) <= max(found) < len(table):
+                        raise ValueError("an id is null, negative or beyond the vocabulary")
                     joined = b"".join(map(table.__getitem__, found))
                     out.append((joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)

@@ -310,6 +310,37 @@ def test_pieces_equal_library(docs):
         assert library.decode(own) == text
 
 
+def best_score(model, word):
+    """The largest total score of a word's segmentations, by the plain recursion over its bytes."""
+    known = {piece.encode(): model.scores[i] for i, piece in enumerate(model.pieces) if i not in set(model.byte_ids.tolist())}
+    best = [0.0] + [-math.inf] * len(word)
+    for start in range(len(word)):
+        if word[start] & 0xC0 != 0x80:
+            for stop in range(start + 1, min(len(word), start + model.longest) + 1):
+                if word[start:stop] in known:
+                    best[stop] = max(best[stop], best[start] + known[word[start:stop]])
+    return best[-1]
+
+
+def test_long_unspaced_words_are_exact(spark, monkeypatch):
+    model = pieces.PieceModel.load(tokenizer("piece_bpe_32k.model"))
+    rng = np.random.default_rng(10)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in (20_000, 3000, 3000, 40)]
+    for places in (pieces.PLACES, 5000):
+        monkeypatch.setattr(pieces, "PLACES", places)
+        for word, ids in zip(words, pieces.Encoder(model).encode(words), strict=True):
+            own = np.frombuffer(ids, "<i4")
+            assert math.isclose(model.scores[own].sum(), best_score(model, ("▁" + word).encode()), rel_tol=1e-12)
+            assert "".join(model.pieces[i] for i in own) == "▁" + word
+
+
+@pytest.mark.parametrize("ids", [[32_000_000], [-1], [None, 5]])
+def test_decode_refuses_invalid_ids(spark, ids):
+    model = pieces.PieceModel.build(["<unk>", "▁a", "b"], [0.0, -1.5, -2.5], [True, False, False])
+    with pytest.raises(Exception, match="beyond the vocabulary"):
+        pieces.decode(spark.createDataFrame([(ids,)], "ids array<int>"), model).collect()
+
+
 def test_trie_holds_its_keys():
     rng = np.random.default_rng(4)
     keys = {bytes(rng.integers(97, 101, rng.integers(1, 7)).tolist()): i for i in range(300)}
