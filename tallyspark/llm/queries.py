@@ -35,39 +35,47 @@ def _words_sql(text: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w <> '')"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 LICENSE_SQL = f"""
 WITH files AS (
   SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' || CAST(doc_id AS VARCHAR) AS path, text
   FROM documents
-), templates(licence, sentence) AS (
-  VALUES {", ".join("('" + name + "', '" + sentence + "')" for name, sentence in licenses.TEMPLATES)}
-), terms AS (
-  SELECT licence, token, count(*) AS ttf FROM (SELECT licence, unnest({_words_sql("sentence")}) AS token FROM templates) GROUP BY licence, token
+), templates(template, licence, sentence) AS (
+  VALUES {", ".join(f"({i}, {_quoted(name)}, {_quoted(sentence)})" for i, (name, sentence) in enumerate(licenses.TEMPLATES))}
 ), held AS (
-  SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_words_sql("text")})) AS token FROM files)
-  WHERE token IN (SELECT token FROM terms) GROUP BY token
+  SELECT token, ln((1.0 + (SELECT count(*) FROM files)) / (1 + count(*))) + 1 AS idf FROM (SELECT unnest(list_distinct({_words_sql("text")})) AS token FROM files) GROUP BY token
+), terms AS (
+  SELECT template, licence, token, count(*) AS ttf FROM (SELECT template, licence, unnest({_words_sql("sentence")}) AS token FROM templates) GROUP BY template, licence, token
 ), weights AS (
-  SELECT licence, token, ttf, ln((1.0 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf FROM terms LEFT JOIN held USING (token)
+  SELECT template, licence, token, ttf, coalesce(idf, ln(1.0 + (SELECT count(*) FROM files)) + 1) AS idf FROM terms LEFT JOIN held USING (token)
 ), lengths AS (
-  SELECT licence, sqrt(sum(pow(ttf * idf, 2))) AS length FROM weights GROUP BY licence
-), lines AS (
-  SELECT path, len({_words_sql("text")}) AS size, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files
+  SELECT template, sqrt(sum(pow(ttf * idf, 2))) AS length FROM weights GROUP BY template
+), split AS (
+  SELECT path, len({_words_sql("text")}) AS size, string_split(text, chr(10)) AS lines, regexp_split_to_array(text, '\n[^a-zA-Z0-9\n]*\n') AS paragraphs FROM files WHERE text IS NOT NULL
+), units AS (
+  SELECT path, size, 0 AS kind, unnest(lines) AS content, generate_subscripts(lines, 1) AS place FROM split
+  UNION ALL SELECT path, size, 1, lines[i] || ' ' || lines[i + 1], i FROM split, unnest(range(1, len(lines))) t(i)
+  UNION ALL SELECT path, size, 2, unnest(paragraphs), generate_subscripts(paragraphs, 1) FROM split
 ), tokens AS (
-  SELECT path, size, line, len({_words_sql("content")}) AS long, unnest({_words_sql("content")}) AS token FROM lines
+  SELECT path, size, kind, place, unnest({_words_sql("content")}) AS token FROM units
 ), counted AS (
-  SELECT path, size, line, long, token, count(*) AS tf, any_value(idf) AS idf
-  FROM tokens JOIN (SELECT DISTINCT token, idf FROM weights) USING (token) GROUP BY path, size, line, long, token
+  SELECT path, size, kind, place, token, count(*) AS tf, any_value(idf) AS idf FROM tokens JOIN held USING (token) GROUP BY path, size, kind, place, token
 ), owned AS (
-  SELECT path, line, sqrt(sum(pow(tf * idf, 2))) AS own FROM counted GROUP BY path, line
+  SELECT path, size, kind, place, sqrt(sum(pow(tf * idf, 2))) AS own FROM counted GROUP BY path, size, kind, place
 ), matched AS (
-  SELECT path, size, line, long, licence, round(sum(tf * ttf * weights.idf * weights.idf) / (any_value(own) * any_value(length)), {licenses.DIGITS}) AS score
-  FROM counted JOIN weights USING (token) JOIN owned USING (path, line) JOIN lengths USING (licence)
-  GROUP BY path, size, line, long, licence
+  SELECT path, size, kind, place, licence, sum(tf) AS long, round(sum(tf * ttf * weights.idf * weights.idf) / (any_value(own) * any_value(length)), {licenses.DIGITS}) AS score
+  FROM counted JOIN weights USING (token) JOIN owned USING (path, size, kind, place) JOIN lengths USING (template)
+  GROUP BY path, size, kind, place, template, licence HAVING count(*) >= {licenses.LEAST_SHARED}
 ), best AS (
-  SELECT path, size, line, long, licence, score FROM matched WHERE score >= {licenses.THRESHOLD}
-  QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY score DESC, licence) = 1
+  SELECT * FROM matched WHERE score >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY path, size, kind, place ORDER BY score DESC, licence, long DESC) = 1
 ), own AS (
-  SELECT path, arg_min(licence, row(-score, licence)) AS licence, max(score) AS score, 2 * sum(long) >= any_value(size) AS whole FROM best GROUP BY path
+  SELECT path, arg_min(licence, row(-score, licence)) AS licence, max(score) AS score,
+    2 * greatest(coalesce(sum(CASE WHEN kind = 0 THEN long END), 0), coalesce(sum(CASE WHEN kind = 2 THEN long END), 0)) >= any_value(size) AS whole
+  FROM best GROUP BY path
 ), holders AS (
   SELECT regexp_replace(path, '/[^/]*$', '') AS holder, path, licence, score FROM own WHERE whole
   QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, path) = 1

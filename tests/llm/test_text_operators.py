@@ -164,11 +164,42 @@ def test_license_counts_unrelated_words(spark, docs):
     assert [found[path] for path, _ in rows] == [None, None, "MIT", None]
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_license_files_and_wrapped_headers(spark, docs):
+    rows = [
+        ("/p/LICENSE", MIT_FILE), ("/p/src/a.py", "print(1)"), ("/q/b.py", "# Licensed under the Apache\n# License, Version 2.0\nimport os\n"),
+        ("/r/c.py", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport os\n"),
+        ("/s/staff.txt", "All staff reserved seats; rights holders objected to many other completely unrelated matters during a long meeting"), ("/t/big.txt", "word " * 200_000 + "\nMIT License\n" + "word " * 1000),
+        ("/u/one.txt", "license"), ("/v/spdx.c", "// SPDX-License-Identifier: Apache-2.0\nint x;"),
+    ]
+    files = docs.select(F.concat(F.lit("/d/"), "doc_id").alias("path"), "text").unionByName(spark.createDataFrame(rows, "path string, text string"))
+    files = files.selectExpr("*", "1 as h", "2 as own_licence", "3 as folder", "4 as row", "5 as score", "6 as `dotted.name`")
+    out = licenses.inherit(files, licenses.scan(files))
+    assert out.columns == ["path", "text", "h", "own_licence", "folder", "row", "dotted.name", "licence", "score", "origin", "licence_path"]
+    got = {r.path: (r.licence, r.origin) for r in out.collect()}
+    assert [got[path] for path, _ in rows] == [("MIT", "header"), ("MIT", "inherited"), ("Apache-2.0", "header"), ("GPL-3.0", "header"), (None, "none"), ("MIT", "header"), (None, "none"), ("Apache-2.0", "header")]
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
 def test_license_anchors_are_safe(spark, docs, threshold):
-    weights = licenses.template_weights(spark, docs, "text", licenses.TEMPLATES).collect()
+    weights = licenses.template_weights(spark, docs, "text", licenses.TEMPLATES, docs.count()).collect()
     anchors = set(licenses.anchors(weights, threshold))
-    for licence in {w.licence for w in weights}:
-        own = [w for w in weights if w.licence == licence]
+    for template in {w.template for w in weights}:
+        own = [w for w in weights if w.template == template]
         light = sum((w.tf * w.idf) ** 2 for w in own if w.token not in anchors) ** 0.5
         assert light / own[0].length < threshold
