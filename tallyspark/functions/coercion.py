@@ -2,6 +2,10 @@
 
 Each returns a struct with the value and a reason; exactly one of them is null, but for a blank
 currency, which has neither.
+
+Dates and amounts are read in steps, each of which names what the later ones need.  ``parse_date`` and
+``parse_amount`` join the steps into one expression; ``read_column`` lays them out as columns of a
+table, so that whole-stage code reads every cell once.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.model import AMOUNT
@@ -33,11 +37,36 @@ NUMERIC = "^([0-9]{1,2})[-/. ]([0-9]{1,2})[-/. ]([0-9]{2}|[0-9]{4})$"
 TIME_TAIL = "(?i)[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?(\\.[0-9]+)?\\s*(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 
 
+Fields = dict[str, Column]
+Step = Callable[[Fields], Fields]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _joined(fields: Fields, steps: list[Step]) -> Column:
+    """The last step's ``result`` as one expression."""
+    if not steps:
+        return fields["result"]
+    whole = {**fields, **steps[0](fields)}
+    if len(steps) == 1:
+        return whole["result"]
+    return let(F.struct(*(column.alias(name) for name, column in whole.items())), lambda row: _joined({name: row[name] for name in whole}, steps[1:]))
+
+
+def read_column(rows: DataFrame, raw: Column, steps: list[Step], result: str) -> DataFrame:
+    """``rows`` with the steps' result as the column ``result``; what a step names is a column in between."""
+    kept = [*(c for c in rows.columns if c != result), result]
+    fields: Fields = {"raw": raw}
+    for step in steps:
+        new = step(fields)
+        rows = rows.withColumns({f"__{result}_{name}": column for name, column in new.items()})
+        fields |= {name: F.col(f"__{result}_{name}") for name in new}
+    return rows.withColumn(result, fields["result"]).select(*kept)
+
+
 def strip(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -71,72 +100,79 @@ def _quoted(shown: Column, *rest: Column | str) -> Column:
     return F.concat(F.lit('"'), shown, F.lit('"'), *(part if isinstance(part, Column) else F.lit(part) for part in rest))
 
 
-def _real_date(year: Column, month: Column, day: Column, shown: Column) -> Column:
-    """The date, or that the month or the day does not exist."""
+def _pad(number: Column, width: int) -> Column:
+    return F.lpad(number.cast("string"), width, "0")
 
-    def pad(number: Column, width: int) -> Column:
-        return F.lpad(number.cast("string"), width, "0")
 
-    def known(p: Column) -> Column:
-        days = F.dayofmonth(F.last_day(F.try_to_date(F.concat_ws("-", pad(p["y"], 4), pad(p["m"], 2), F.lit("01")))))
-        return F.struct(p["y"].alias("y"), p["m"].alias("m"), p["d"].alias("d"), days.alias("days"))
+def date_steps(order: Column | None = None) -> list[Step]:
+    """Steps that read a date; ``order`` (dmy or mdy) is asked only where the text reads both ways."""
+    order = F.lit(None).cast("string") if order is None else order
+    layouts = [YEAR_FIRST, COMPACT, DAY_NAMED, NAMED_DAY, NUMERIC]
+    months = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
+
+    def text(p: Fields) -> Fields:
+        shown = F.coalesce(strip(p["raw"]), F.lit(""))
+        return {"shown": shown, "s": _without_time(shown)}
 
-    def told(p: Column) -> Column:
-        bad_month, bad_day = ~p["m"].between(1, 12), ~p["d"].between(1, p["days"])
-        reason = F.when(bad_month, _quoted(shown, " has month ", p["m"].cast("string"), ", which does not exist")).when(
-            bad_day, _quoted(shown, " is not a real date — ", _month_name(p["m"]), " ", p["y"].cast("string"), " has ", p["days"].cast("string"), " days")
+    def layout(p: Fields) -> Fields:
+        s = p["s"]
+        compact = s.rlike(COMPACT) & _number(s, COMPACT, 1).between(1900, 2100)
+        found = [s.rlike(YEAR_FIRST), compact, s.rlike(DAY_NAMED), s.rlike(NAMED_DAY), s.rlike(NUMERIC)]
+        return {"kind": reduce(lambda chain, pair: chain.when(pair[1], pair[0]), list(enumerate(found))[1:], F.when(found[0], 0)).otherwise(-1)}
+
+    def parts(p: Fields) -> Fields:
+        def part(i: int) -> Column:
+            cases = [(p["kind"] == k, _group(p["s"], pattern, i)) for k, pattern in enumerate(layouts)]
+            return reduce(lambda chain, case: chain.when(*case), cases[1:], F.when(*cases[0]))
+
+        return {"one": part(1), "two": part(2), "three": part(3)}
+
+    def numbers(p: Fields) -> Fields:
+        one, two, three = (p[name].try_cast("int") for name in ("one", "two", "three"))
+        word = F.when(p["kind"] == 2, p["two"]).when(p["kind"] == 3, p["one"])
+        return {"a": one, "b": two, "word": word, "named": F.element_at(months, F.lower(word)), "y": F.when(p["kind"].isin(0, 1), one).otherwise(_full_year(three)), "last": three}
+
+    def choice(p: Fields) -> Fields:
+        a, b, kind = p["a"], p["b"], p["kind"]
+        day_first = (a > 12) | ((b <= 12) & (a != b) & F.coalesce(order == "dmy", F.lit(False)))
+        month_first = (b > 12) | (a == b) | F.coalesce(order == "mdy", F.lit(False))
+        numeric = kind == 4
+        return {
+            "m": F.when(kind.isin(0, 1), b).when(kind.isin(2, 3), p["named"]).when(numeric & day_first, b).when(numeric & month_first, a),
+            "d": F.when(kind.isin(0, 1), p["last"]).when(kind == 2, a).when(kind == 3, b).when(numeric & day_first, a).when(numeric & month_first, b),
+            "open": numeric & ~day_first & ~month_first,
+        }
+
+    def length(p: Fields) -> Fields:
+        return {"days": F.dayofmonth(F.last_day(F.try_to_date(F.concat_ws("-", _pad(p["y"], 4), _pad(p["m"], 2), F.lit("01")))))}
+
+    def told(p: Fields) -> Fields:
+        shown, a, b, y, m = p["shown"], p["a"], p["b"], p["y"], p["m"]
+        both_ways = _quoted(
+            shown, " is ambiguous: ", a.cast("string"), " ", _month_name(b), " ", y.cast("string"), " if the file is day-first, ", b.cast("string"), " ", _month_name(a), " ", y.cast("string"),
+            ' if it is month-first — set dateOrder to "dmy" or "mdy"',
+        )
+        reason = (
+            F.when(shown == "", F.lit("the date is blank"))
+            .when(p["kind"] == -1, _quoted(shown, " is not a date format this importer recognises"))
+            .when(p["word"].isNotNull() & p["named"].isNull(), _quoted(shown, ' does not name a month I recognise ("', p["word"], '")'))
+            .when((p["kind"] == 4) & (a > 12) & (b > 12), _quoted(shown, " has no valid month: neither ", a.cast("string"), " nor ", b.cast("string"), " can be one"))
+            .when(p["open"], both_ways)
+            .when(~m.between(1, 12), _quoted(shown, " has month ", m.cast("string"), ", which does not exist"))
+            .when(~p["d"].between(1, p["days"]), _quoted(shown, " is not a real date — ", _month_name(m), " ", y.cast("string"), " has ", p["days"].cast("string"), " days"))
         )
-        date = F.try_to_date(F.concat_ws("-", pad(p["y"], 4), pad(p["m"], 2), pad(p["d"], 2)))
-        return _result(F.when(~bad_month & ~bad_day, date), reason, "date")
+        return {"reason": reason}
 
-    return let(let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), known), told)
+    def valued(p: Fields) -> Fields:
+        date = F.try_to_date(F.concat_ws("-", _pad(p["y"], 4), _pad(p["m"], 2), _pad(p["d"], 2)))
+        return {"result": _result(F.when(p["reason"].isNull(), date), p["reason"], "date")}
+
+    return [text, layout, parts, numbers, choice, length, told, valued]
 
 
 def parse_date(raw: Column, order: Column | None = None) -> Column:
     """A date, or a reason.  ``order`` (dmy or mdy) is asked only where the text reads both ways."""
-    order = F.lit(None).cast("string") if order is None else order
-    months = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
-
-    def failed(reason: Column) -> Column:
-        return _result(F.lit(None), reason, "date")
-
-    def named(s: Column, shown: Column, pattern: str, day: int, name: int) -> Column:
-        def dated(word: Column) -> Column:
-            month = F.element_at(months, F.lower(word))
-            good = _real_date(_full_year(_number(s, pattern, 3)), month, _number(s, pattern, day), shown)
-            return F.when(month.isNull(), failed(_quoted(shown, ' does not name a month I recognise ("', word, '")'))).otherwise(good)
-
-        return let(_group(s, pattern, name), dated)
-
-    def numeric(s: Column, shown: Column) -> Column:
-        def ordered(p: Column) -> Column:
-            a, b, y = p["a"], p["b"], p["y"]
-            both_ways = _quoted(
-                shown, " is ambiguous: ", a.cast("string"), " ", _month_name(b), " ", y.cast("string"), " if the file is day-first, ", b.cast("string"), " ", _month_name(a), " ", y.cast("string"),
-                ' if it is month-first — set dateOrder to "dmy" or "mdy"',
-            )
-            day_first = (a > 12) | ((b <= 12) & (a != b) & F.coalesce(order == "dmy", F.lit(False)))
-            month_first = (b > 12) | (a == b) | F.coalesce(order == "mdy", F.lit(False))
-            return (
-                F.when((a > 12) & (b > 12), failed(_quoted(shown, " has no valid month: neither ", a.cast("string"), " nor ", b.cast("string"), " can be one")))
-                .when(day_first | month_first, _real_date(y, F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b), shown))
-                .otherwise(failed(both_ways))
-            )
-
-        return let(F.struct(_number(s, NUMERIC, 1).alias("a"), _number(s, NUMERIC, 2).alias("b"), _full_year(_number(s, NUMERIC, 3)).alias("y")), ordered)
-
-    def read(s: Column, shown: Column) -> Column:
-        return (
-            F.when(F.coalesce(shown, F.lit("")) == "", failed(F.lit("the date is blank")))
-            .when(s.rlike(YEAR_FIRST), _real_date(*(_number(s, YEAR_FIRST, i) for i in (1, 2, 3)), shown))
-            .when(s.rlike(COMPACT) & _number(s, COMPACT, 1).between(1900, 2100), _real_date(*(_number(s, COMPACT, i) for i in (1, 2, 3)), shown))
-            .when(s.rlike(DAY_NAMED), named(s, shown, DAY_NAMED, 1, 2))
-            .when(s.rlike(NAMED_DAY), named(s, shown, NAMED_DAY, 2, 1))
-            .when(s.rlike(NUMERIC), numeric(s, shown))
-            .otherwise(failed(_quoted(shown, " is not a date format this importer recognises")))
-        )
-
-    return let(strip(raw), lambda shown: let(_without_time(shown), lambda s: read(s, shown)))
+    return _joined({"raw": raw}, date_steps(order))
 
 
 def is_ambiguous_date(raw: Column) -> Column:
@@ -170,40 +206,43 @@ def decimal_comma(votes: Column) -> Column:
     return (F.count_if(votes == 1) > 1) & (F.count_if(votes == -1) == 0)
 
 
-def parse_amount(raw: Column, comma: Column | None = None) -> Column:
-    """(value, currency, reason): an amount with the currency that its cell names."""
+def amount_steps(comma: Column | None = None) -> list[Step]:
+    """Steps that read an amount; ``comma`` says that its column writes decimal commas."""
     comma = F.lit(False) if comma is None else F.coalesce(comma, F.lit(False))
     coded = f"(^|[{SPACE}])([A-Za-z]{{3}})(?=$|[{SPACE}])"
     signs = "[" + "".join(CURRENCY_SYMBOLS).replace("$", "\\$") + "]"
 
-    def inside(shown: Column) -> Column:
+    def inside(p: Fields) -> Fields:
         """The cell without brackets, which make it negative."""
+        shown = F.coalesce(strip(p["raw"]), F.lit(""))
         bracketed = shown.rlike("^\\(.*\\)$")
-        return F.struct(shown.alias("shown"), bracketed.alias("minus"), F.when(bracketed, strip(F.regexp_extract(shown, "^\\((.*)\\)$", 1))).otherwise(shown).alias("s"))
+        return {"shown": shown, "minus": bracketed, "s": F.when(bracketed, strip(F.regexp_extract(shown, "^\\((.*)\\)$", 1))).otherwise(shown)}
 
-    def without_currency(p: Column) -> Column:
+    def without_symbol(p: Fields) -> Fields:
         sign = reduce(lambda found, pair: F.when(p["s"].contains(pair[0]), pair[1]).otherwise(found), CURRENCY_SYMBOLS.items(), F.lit(None).cast("string"))
-        bare = F.regexp_replace(p["s"], signs, "")
-        code = F.nullif(F.regexp_extract(bare, coded, 2), F.lit(""))
+        return {"sign": sign, "bare": F.regexp_replace(p["s"], signs, "")}
+
+    def without_code(p: Fields) -> Fields:
+        code = F.nullif(F.regexp_extract(p["bare"], coded, 2), F.lit(""))
         # Only the first code is taken out.
-        rest = strip(F.regexp_replace(bare, f"^(.*?){coded}", "$1 "))
-        return F.struct(p["shown"].alias("shown"), p["minus"].alias("minus"), F.coalesce(F.upper(code), sign).alias("currency"), rest.alias("s"))
+        return {"currency": F.coalesce(F.upper(code), p["sign"]), "plain": strip(F.regexp_replace(p["bare"], f"^(.*?){coded}", "$1 "))}
 
-    def without_tag(p: Column) -> Column:
-        s = p["s"]
+    def without_tag(p: Fields) -> Fields:
+        s = p["plain"]
         tag = F.upper(F.coalesce(F.nullif(F.regexp_extract(s, "(?i)^(CR|DR)\\b", 1), F.lit("")), F.nullif(F.regexp_extract(s, "(?i)(CR|DR)$", 1), F.lit(""))))
         rest = strip(F.regexp_replace(F.regexp_replace(s, f"(?i)^(CR|DR)[{SPACE}]*", ""), f"(?i)[{SPACE}]*(CR|DR)$", ""))
-        return F.struct(p["shown"].alias("shown"), (p["minus"] != F.coalesce(tag == "CR", F.lit(False))).alias("minus"), p["currency"].alias("currency"), F.when(tag.isNotNull(), rest).otherwise(s).alias("s"))
+        return {"credit": F.coalesce(tag == "CR", F.lit(False)), "untagged": F.when(tag.isNotNull(), rest).otherwise(s)}
 
-    def without_sign(p: Column, place: str) -> Column:
-        flipped = p["s"].rlike("^-" if place == "front" else "-$")
-        rest = F.regexp_replace(p["s"], "^[+-]" if place == "front" else "[+-]$", "")
-        rest = strip(rest) if place == "front" else F.regexp_replace(rest, f"[{SPACE}]", "")
-        return F.struct(p["shown"].alias("shown"), (p["minus"] != flipped).alias("minus"), p["currency"].alias("currency"), rest.alias("s"))
+    def without_lead(p: Fields) -> Fields:
+        return {"led": p["untagged"].rlike("^-"), "unled": strip(F.regexp_replace(p["untagged"], "^[+-]", ""))}
 
-    def split(p: Column) -> Column:
+    def without_trail(p: Fields) -> Fields:
+        digits = F.regexp_replace(F.regexp_replace(p["unled"], "[+-]$", ""), f"[{SPACE}]", "")
+        return {"negative": (p["minus"] != p["credit"]) != (p["led"] != p["unled"].rlike("-$")), "digits": digits}
+
+    def split(p: Fields) -> Fields:
         """How many digits stand behind the decimal mark; null if all marks group."""
-        s = p["s"]
+        s = p["digits"]
         commas, dots = (F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit(""))) for mark in (",", "."))
         after_comma, after_dot = (F.length(F.substring_index(s, mark, -1)) for mark in (",", "."))
         decimals = (
@@ -211,28 +250,34 @@ def parse_amount(raw: Column, comma: Column | None = None) -> Column:
             .when((commas == 1) & (dots == 0) & ((after_comma != 3) | comma), after_comma)
             .when((commas == 0) & (dots == 1) & (after_dot != 3), after_dot)
         )
-        good = s.rlike("^[0-9.,]*[0-9][0-9.,]*$")
-        return F.struct(p["shown"].alias("shown"), p["minus"].alias("minus"), p["currency"].alias("currency"), good.alias("good"), F.regexp_replace(s, "[.,]", "").alias("plain"), decimals.alias("decimals"))
+        return {"good": s.rlike("^[0-9.,]*[0-9][0-9.,]*$"), "figures": F.regexp_replace(s, "[.,]", ""), "decimals": decimals}
 
-    def valued(p: Column) -> Column:
-        whole = F.when(p["decimals"].isNull(), p["plain"]).otherwise(F.left(p["plain"], F.length(p["plain"]) - p["decimals"]))
-        fraction = F.when(p["decimals"].isNull(), "").otherwise(F.right(p["plain"], p["decimals"]))
-        text = F.concat(F.lit("0"), whole, F.lit("."), fraction, F.lit("0"))
+    def valued(p: Fields) -> Fields:
+        whole = F.when(p["decimals"].isNull(), p["figures"]).otherwise(F.left(p["figures"], F.length(p["figures"]) - p["decimals"]))
+        fraction = F.when(p["decimals"].isNull(), "").otherwise(F.right(p["figures"], p["decimals"]))
+        written = F.concat(F.lit("0"), whole, F.lit("."), fraction, F.lit("0"))
         # Read with more digits than are kept, so that rounding is half up and an overflow shows.
-        size = F.round(text.try_cast("decimal(38,12)"), 4).try_cast(AMOUNT)
-        value = F.when(p["good"], F.when(p["minus"], -size).otherwise(size).cast(AMOUNT))
-        return F.struct(p["shown"].alias("shown"), p["currency"].alias("currency"), p["good"].alias("good"), value.alias("value"))
+        return {"size": F.when(p["good"], F.round(written.try_cast("decimal(38,12)"), 4).try_cast(AMOUNT))}
 
-    def told(p: Column) -> Column:
+    def told(p: Fields) -> Fields:
         reason = (
-            F.when(F.coalesce(p["shown"], F.lit("")) == "", F.lit("the amount is blank"))
+            F.when(p["shown"] == "", F.lit("the amount is blank"))
             .when(~p["good"], _quoted(p["shown"], " is not a number"))
-            .when(p["value"].isNull(), _quoted(p["shown"], " is larger than a ledger can hold"))
+            .when(p["size"].isNull(), _quoted(p["shown"], " is larger than a ledger can hold"))
         )
-        return F.struct(F.when(reason.isNull(), p["value"]).alias("value"), F.when(reason.isNull(), p["currency"]).alias("currency"), reason.alias("reason"))
+        return {"reason": reason}
+
+    def result(p: Fields) -> Fields:
+        fine = p["reason"].isNull()
+        value = F.when(p["negative"], -p["size"]).otherwise(p["size"]).cast(AMOUNT)
+        return {"result": F.struct(F.when(fine, value).alias("value"), F.when(fine, p["currency"]).alias("currency"), p["reason"].alias("reason"))}
+
+    return [inside, without_symbol, without_code, without_tag, without_lead, without_trail, split, valued, told, result]
 
-    stages = [inside, without_currency, without_tag, lambda p: without_sign(p, "front"), lambda p: without_sign(p, "back"), split, valued, told]
-    return reduce(let, stages, strip(raw))
+
+def parse_amount(raw: Column, comma: Column | None = None) -> Column:
+    """(value, currency, reason): an amount with the currency that its cell names."""
+    return _joined({"raw": raw}, amount_steps(comma))
 
 
 def coerce_currency(raw: Column) -> Column:

@@ -109,7 +109,9 @@ def coerced(body: DataFrame, options: ImportOptions) -> DataFrame:
     """Records of good shape with their cells read; ``problems`` lists all that is wrong with a row."""
     raw = body.select("file_id", "line", "header", "at", "comma", *(_cell(f).alias(f) for f in FIELDS))
     order = F.lit(options.date_order).cast("string")
-    read = raw.withColumns({"date": c.parse_date(F.col("invoiceDate"), order), "money": c.parse_amount(F.col("amount"), F.col("comma")), "code": c.coerce_currency(F.col("currency"))})
+    read = c.read_column(raw, F.col("invoiceDate"), c.date_steps(order), "date")
+    read = c.read_column(read, F.col("amount"), c.amount_steps(F.col("comma")), "money")
+    read = read.withColumn("code", c.coerce_currency(F.col("currency")))
 
     def problem(name: str, value: Column, reason: Column) -> Column:
         named = F.get("header", F.col(f"at.{name}"))
