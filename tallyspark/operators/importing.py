@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import coercion as c
 from tallyspark.model import INVOICE
 from tallyspark.operators.mapping import FIELDS, REQUIRED, suggest_mapping, unmapped_columns
 from tallyspark.sources.csv_files import read_records
+from tallyspark.sources.tables import written_once
 
 SHOWN = 80
 ERROR = ["file_id", "row", "column", "value", "reason"]
+PROBLEM = "struct<row:int,column:string,value:string,reason:string>"
 DEFAULT_CURRENCY = "GBP"
 
+# What an import says about what it could not read.
+TOLD = {
+    "utf-16": 'this file is not UTF-8: every letter is padded with a NUL byte, which is what UTF-16 looks like read as UTF-8 — Excel writes it when you save as "Unicode Text". Export it again as CSV UTF-8 and the column names will come back.',
+    "lost byte": "this file is not UTF-8: line {line} has a byte the decoder could not read, so a character is missing and any supplier name around it is no longer the name your system holds. Export it again as CSV UTF-8.",
+    "empty": "the file has no rows, so there is nothing to map or import",
+    "unclosed": "a quoted value opened on line {line} and never closed, {what}. Close the quote or take it out, and import again.",
+    "swallowed": "so the {n} lines after it were read as part of this row rather than as invoices",
+    "swallowed rest": "so the rest of the file was read as part of this row",
+    "missing": "{field} has no column: {why}. Confirm the mapping and import again.",
+    "contradicted": 'this import was told the file is {said}, but "{value}" on line {line} cannot be{more}. The rest of the column would still be read {said}, so the ledger would carry both conventions and most of its dates would be out by months. Check which way round the export writes them and import again.',
+    "nor": ", and nor can {n} other date{s} in this column",
+    "shape": "this row has {n} values but the header has {of}, so the columns no longer line up",
+    "no supplier": "the supplier name is blank",
+    "no number": "the invoice number is blank",
+    "no currency column": "; with no currency column, rows fall back to any symbol in the amount and then to GBP — pass defaultCurrency to change that",
+}
+
+
+def told(name: str, **values: Column | str) -> Column:
+    """A sentence of ``TOLD`` with its places filled in."""
+    parts = re.split(r"\{(\w+)\}", TOLD[name])
+    filled = [F.lit(part) if i % 2 == 0 else values[part].cast("string") if isinstance(values[part], Column) else F.lit(values[part]) for i, part in enumerate(parts)]
+    return F.concat(*filled)
+
 
 @dataclass(frozen=True)
 class ImportOptions:
@@ -30,13 +57,15 @@ class ImportOptions:
 
 @dataclass(frozen=True)
 class ImportResult:
-    """Invoices (``ledger_id`` is the file), column mapping, unclaimed columns, errors and records."""
+    """Invoices (``ledger_id`` is the file), column mapping, unclaimed columns, errors, records, and
+    (file_id, ambiguous): files with dates that read both ways and no order given."""
 
     invoices: DataFrame
     mapping: DataFrame
     unmapped: DataFrame
     errors: DataFrame
     records: DataFrame
+    ambiguous: DataFrame
 
 
 def cut(text: Column, most: int = SHOWN) -> Column:
@@ -47,6 +76,10 @@ def _error(rows: DataFrame, row: Column, column: Column, value: Column, reason:
     return rows.select("file_id", row.cast("int").alias("row"), column.alias("column"), value.alias("value"), reason.alias("reason"))
 
 
+def _problem(row: Column, column: Column, value: Column, reason: Column) -> Column:
+    return F.struct(row.cast("int").alias("row"), column.alias("column"), value.alias("value"), reason.alias("reason"))
+
+
 def encoding_faults(files: DataFrame) -> DataFrame:
     """An error for each file with a NUL or a lost byte; the first one counts."""
     text = F.col("content")
@@ -57,32 +90,21 @@ def encoding_faults(files: DataFrame) -> DataFrame:
     begun = F.element_at(F.split(before, "\r|\n"), -1)
     around = F.substring(text, F.col("at") - F.length(begun), F.lit(200))
     shown = cut(F.regexp_replace(F.regexp_replace(around, "[\r\n][\\s\\S]*$", ""), "[\u0000�]", "?"))
-    reason = F.when(
-        nul > 0,
-        'this file is not UTF-8: every letter is padded with a NUL byte, which is what UTF-16 looks like read as UTF-8 — Excel writes it when you save as "Unicode Text". Export it again as CSV UTF-8 and the column names will come back.',
-    ).otherwise(
-        F.concat(
-            F.lit("this file is not UTF-8: line "), line.cast("string"),
-            F.lit(" has a byte the decoder could not read, so a character is missing and any supplier name around it is no longer the name your system holds. Export it again as CSV UTF-8."),
-        )
-    )
-    return _error(files.withColumn("at", at).where("at > 0"), line, F.lit("(file)"), shown, reason)
+    return _error(files.withColumn("at", at).where("at > 0"), line, F.lit("(file)"), shown, F.when(nul > 0, told("utf-16")).otherwise(told("lost byte", line=line)))
 
 
-def unclosed_quotes(records: DataFrame) -> DataFrame:
-    """An error for each record whose quote never closes, with the number of lines that it swallowed."""
+def unclosed_quote() -> Column:
+    """What is wrong with a record whose quote never closes, with the number of lines that it swallowed."""
     last = F.element_at("cells", -1)
     swallowed = F.length(last) - F.length(F.replace(last, F.lit("\n"), F.lit("")))
-    what = F.when(swallowed > 0, F.concat(F.lit("so the "), swallowed.cast("string"), F.lit(" lines after it were read as part of this row rather than as invoices"))).otherwise("so the rest of the file was read as part of this row")
-    reason = F.concat(F.lit("a quoted value opened on line "), F.col("unterminated_quote").cast("string"), F.lit(" and never closed, "), what, F.lit(". Close the quote or take it out, and import again."))
-    return _error(records.where("unterminated_quote is not null"), F.col("unterminated_quote"), F.lit("(row)"), cut(F.array_join("cells", ",")), reason)
+    what = F.when(swallowed > 0, told("swallowed", n=swallowed)).otherwise(told("swallowed rest"))
+    return _problem(F.col("unterminated_quote"), F.lit("(row)"), cut(F.array_join("cells", ",")), told("unclosed", line=F.col("unterminated_quote"), what=what))
 
 
 def missing_fields(headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """One error for each required field without a column."""
     lacking = mapping.where(F.col("column").isNull() & F.col("field").isin(REQUIRED)).select("file_id", "field", F.col("reason").alias("why"))
-    reason = F.concat(F.col("field"), F.lit(" has no column: "), F.col("why"), F.lit(". Confirm the mapping and import again."))
-    return _error(lacking.join(headers, "file_id"), F.col("line"), F.col("field"), cut(F.array_join("cells", ",")), reason)
+    return _error(lacking.join(headers, "file_id"), F.col("line"), F.col("field"), cut(F.array_join("cells", ",")), told("missing", field=F.col("field"), why=F.col("why")))
 
 
 def _cell(name: str) -> Column:
@@ -90,86 +112,90 @@ def _cell(name: str) -> Column:
     return c.strip(F.coalesce(F.get("cells", F.col(f"at.{name}")), F.lit("")))
 
 
-def contradicted_order(body: DataFrame, order: str) -> DataFrame:
-    """An error for each file with a date that cannot be read in the order that was given."""
-    said = "day-first" if order == "dmy" else "month-first"
-    date = _cell("invoiceDate")
-    against = body.where(F.col("unterminated_quote").isNull() & (c.forced_order(date) != order))
-    first = against.groupBy("file_id").agg(F.min(F.struct("line", date.alias("value"), F.get("header", F.col("at.invoiceDate")).alias("named"))).alias("f"), (F.count("*") - 1).alias("others"))
-    n = F.col("others")
-    more = F.when(n > 0, F.concat(F.lit(", and nor can "), n.cast("string"), F.lit(" other date"), F.when(n == 1, "").otherwise("s"), F.lit(" in this column"))).otherwise("")
-    reason = F.concat(
-        F.lit(f'this import was told the file is {said}, but "'), F.col("f.value"), F.lit('" on line '), F.col("f.line").cast("string"), F.lit(" cannot be"), more,
-        F.lit(f". The rest of the column would still be read {said}, so the ledger would carry both conventions and most of its dates would be out by months. Check which way round the export writes them and import again."),
-    )
-    return _error(first, F.col("f.line"), F.coalesce(F.when(F.col("f.named") != "", F.col("f.named")), F.lit("invoiceDate")), F.col("f.value"), reason)
+def file_facts(body: DataFrame, order: str | None) -> DataFrame:
+    """(file_id, comma, against, others) of each file: whether its amounts have decimal commas, and the
+    first date, and how many others, that cannot be read in the order that was given."""
+    readable = body.where("unterminated_quote is null").select("file_id", "line", _cell("invoiceDate").alias("date"), c.comma_votes(_cell("amount")).alias("vote"))
+    wrong = (c.forced_order(F.col("date")) != order) if order else F.lit(False)
+    first = F.min(F.when(wrong, F.struct("line", F.col("date").alias("value"))))
+    return readable.groupBy("file_id").agg(c.decimal_comma(F.col("vote")).alias("comma"), first.alias("against"), (F.count_if(wrong) - 1).alias("others"))
+
+
+def contradicted_order(files: DataFrame, order: str) -> DataFrame:
+    """An error for each file of ``files(file_id, header, at, against, others)`` whose dates contradict the order."""
+    said, n = "day-first" if order == "dmy" else "month-first", F.col("others")
+    more = F.when(n > 0, told("nor", n=n, s=F.when(n == 1, "").otherwise("s"))).otherwise("")
+    named = F.get("header", F.col("at.invoiceDate"))
+    reason = told("contradicted", said=said, value=F.col("against.value"), line=F.col("against.line"), more=more)
+    return _error(files.where("against is not null"), F.col("against.line"), F.when(named != "", named).otherwise("invoiceDate"), F.col("against.value"), reason)
 
 
 def coerced(body: DataFrame, options: ImportOptions) -> DataFrame:
-    """Records of good shape with their cells read; ``problems`` lists all that is wrong with a row."""
-    raw = body.select("file_id", "line", "header", "at", "comma", *(_cell(f).alias(f) for f in FIELDS))
-    order = F.lit(options.date_order).cast("string")
-    read = c.read_column(raw, F.col("invoiceDate"), c.date_steps(order), "date")
-    read = c.read_column(read, F.col("amount"), c.amount_steps(F.col("comma")), "money")
-    read = read.withColumn("code", c.coerce_currency(F.col("currency")))
+    """Records with their cells read; ``problems`` lists all that is wrong with a record.
+
+    ``body`` has the columns of records, their file's ``header``, the places ``at`` of the fields, and
+    ``comma``.  A record whose quote never closes, or with a wrong number of cells, has that one problem.
+    """
+    # One empty cell too many at the end is a trailing comma.
+    spare = (F.size("cells") == F.size("header") + 1) & (F.element_at("cells", -1) == "")
+    trimmed = F.when(spare, F.slice("cells", F.lit(1), F.size("header"))).otherwise(F.col("cells"))
+    rows = body.withColumn("whole", F.col("cells")).withColumn("cells", trimmed)
+    rows = rows.select("file_id", "line", "unterminated_quote", "header", "at", "comma", "cells", "whole", *(_cell(f).alias(f) for f in FIELDS))
+    rows = c.read_column(rows, F.col("invoiceDate"), c.date_steps(F.lit(options.date_order).cast("string")), "date")
+    rows = c.read_column(rows, F.col("amount"), c.amount_steps(F.col("comma")), "money")
+    rows = rows.withColumn("code", c.coerce_currency(F.col("currency")))
 
     def problem(name: str, value: Column, reason: Column) -> Column:
         named = F.get("header", F.col(f"at.{name}"))
-        row = F.struct(F.coalesce(F.when(named != "", named), F.lit(name)).alias("column"), value.alias("value"), F.concat(F.lit(f"{name}: "), reason).alias("reason"))
+        row = _problem(F.col("line"), F.coalesce(F.when(named != "", named), F.lit(name)), value, F.concat(F.lit(f"{name}: "), reason))
         return F.when(reason.isNotNull(), row)
 
-    blank = lambda name, text: F.when(F.col(name) == "", text)
-    problems = F.array_compact(
+    blank = lambda name, sentence: F.when(F.col(name) == "", told(sentence))
+    found = F.array_compact(
         F.array(
-            problem("vendorName", F.lit(""), blank("vendorName", "the supplier name is blank")),
-            problem("invoiceNumber", F.lit(""), blank("invoiceNumber", "the invoice number is blank")),
+            problem("vendorName", F.lit(""), blank("vendorName", "no supplier")),
+            problem("invoiceNumber", F.lit(""), blank("invoiceNumber", "no number")),
             problem("invoiceDate", F.col("invoiceDate"), F.col("date.reason")),
             problem("amount", F.col("amount"), F.col("money.reason")),
             problem("currency", F.col("currency"), F.col("code.reason")),
         )
     )
-    return read.withColumn("problems", problems)
+    n, of = F.size("cells"), F.size("header")
+    shape = _problem(F.col("line"), F.lit("(row)"), cut(F.array_join("whole", ",")), told("shape", n=n, of=of))
+    problems = F.when(F.col("unterminated_quote").isNotNull(), F.array(unclosed_quote())).when(n != of, F.array(shape)).otherwise(found)
+    ambiguous = F.col("unterminated_quote").isNull() & (n == of) & F.lit(options.date_order is None) & c.is_ambiguous_date(F.col("invoiceDate"))
+    return rows.withColumn("problems", problems.cast(f"array<{PROBLEM}>")).withColumn("ambiguous", ambiguous)
 
 
-def shape_errors(body: DataFrame) -> DataFrame:
-    """An error for each record that has more or fewer cells than the header."""
-    reason = F.concat(F.lit("this row has "), F.size("cells").cast("string"), F.lit(" values but the header has "), F.size("header").cast("string"), F.lit(", so the columns no longer line up"))
-    return _error(body, F.col("line"), F.lit("(row)"), cut(F.array_join("whole", ",")), reason)
+def _places(mapping: DataFrame) -> DataFrame:
+    """(file_id, at): the places of each file's fields, for files that have all the required ones."""
+    at = mapping.groupBy("file_id").agg(F.struct(*(F.max(F.when(F.col("field") == f, F.col("column"))).alias(f) for f in FIELDS)).alias("at"))
+    return at.where(reduce(lambda a, b: a & b, (F.col(f"at.{f}").isNotNull() for f in REQUIRED)))
 
 
 def import_records(records: DataFrame, options: ImportOptions = ImportOptions(), refused: DataFrame | None = None) -> ImportResult:
-    """Invoices and errors of ``records``; files in ``refused(file_id, ...)`` are left out."""
+    """Invoices and errors of ``records``; of files in ``refused(file_id, ...)`` nothing is read.
+
+    The coerced records are written once: invoices and errors read the same rows.
+    """
     every = records
     if refused is not None:
         records = records.join(refused.select("file_id").distinct(), "file_id", "left_anti")
     headers = records.where("idx = 0")
-    broken = unclosed_quotes(headers)
-    headers = headers.where("unterminated_quote is null")
-    mapping = suggest_mapping(headers.select("file_id", "cells"), options.mapping)
+    broken = headers.where("unterminated_quote is not null").select("file_id", unclosed_quote().alias("p")).select("file_id", "p.*")
+    headers = headers.where("unterminated_quote is null").select("file_id", "line", "cells")
+    mapping = written_once(suggest_mapping(headers, options.mapping))
+    files = headers.select("file_id", F.col("cells").alias("header")).join(_places(mapping), "file_id")
+    body = records.where("idx > 0")
+    facts = written_once(files.join(file_facts(body.join(files, "file_id"), options.date_order), "file_id", "left"))
     lacking = missing_fields(headers, mapping)
-    # One row for each file: where its fields are.
-    at = mapping.groupBy("file_id").agg(F.struct(*(F.max(F.when(F.col("field") == f, F.col("column"))).alias(f) for f in FIELDS)).alias("at"))
-    complete = reduce(lambda a, b: a & b, (F.col(f"at.{f}").isNotNull() for f in REQUIRED))
-    facts = headers.select("file_id", F.col("cells").alias("header")).join(at.where(complete), "file_id")
-    body = records.where("idx > 0").join(facts, "file_id")
-    errors = [broken, lacking]
-    if options.date_order:
-        against = contradicted_order(body, options.date_order)
-        errors.append(against)
-        body = body.join(against.select("file_id"), "file_id", "left_anti")
-    errors.append(unclosed_quotes(body))
-    body = body.where("unterminated_quote is null")
-    commas = body.groupBy("file_id").agg(c.decimal_comma(c.comma_votes(_cell("amount"))).alias("comma"))
-    # One empty cell too many at the end is a trailing comma.
-    spare = (F.size("cells") == F.size("header") + 1) & (F.element_at("cells", -1) == "")
-    body = body.join(commas, "file_id").withColumn("whole", F.col("cells")).withColumn("cells", F.when(spare, F.slice("cells", F.lit(1), F.size("header"))).otherwise(F.col("cells")))
-    fits = F.size("cells") == F.size("header")
-    errors.append(shape_errors(body.where(~fits)))
-    rows = coerced(body.where(fits), options)
-    errors.append(rows.select("file_id", F.explode("problems").alias("p"), "line").select("file_id", F.col("line").alias("row"), "p.column", "p.value", "p.reason"))
-    good = rows.where(F.size("problems") == 0)
+    against = contradicted_order(facts, options.date_order) if options.date_order else None
+    read = written_once(coerced(body.join(facts.where("against is null").drop("against", "others"), "file_id"), options))
+    told_rows = read.select("file_id", F.explode("problems").alias("p")).select("file_id", "p.*")
+    whole_files = [broken, lacking] + ([against] if against is not None else [])
+    errors = reduce(DataFrame.unionByName, [*whole_files, told_rows]).select(*ERROR)
     fallback = F.lit(options.default_currency or DEFAULT_CURRENCY)
-    invoices = good.select(
+    invoices = read.where(F.size("problems") == 0).select(
         F.col("file_id").alias("ledger_id"),
         F.col("line").cast("long").alias("seq"),
         F.concat(F.lit("row-"), F.col("line").cast("string")).alias("id"),
@@ -181,37 +207,36 @@ def import_records(records: DataFrame, options: ImportOptions = ImportOptions(),
         F.when(F.col("reference") != "", F.col("reference")).alias("reference"),
         c.bank_digits(F.col("bankLast4")).alias("bank_last4"),
     )
+    ambiguous = read.where("ambiguous").groupBy("file_id").agg(F.count("*").alias("ambiguous"))
+    unmapped = unmapped_columns(headers, mapping)
     if not options.default_currency:
-        note = "; with no currency column, rows fall back to any symbol in the amount and then to GBP — pass defaultCurrency to change that"
-        told = F.when((F.col("field") == "currency") & F.col("column").isNull(), F.concat("reason", F.lit(note))).otherwise(F.col("reason"))
+        noted = F.when((F.col("field") == "currency") & F.col("column").isNull(), F.concat("reason", told("no currency column"))).otherwise(F.col("reason"))
         # Files that stop before their rows keep the plain reason.
-        stopped = reduce(DataFrame.unionByName, errors[: 2 + bool(options.date_order)]).select("file_id", F.lit(True).alias("stopped")).distinct()
-        mapping = mapping.join(stopped, "file_id", "left").withColumn("reason", F.when(F.col("stopped"), F.col("reason")).otherwise(told)).drop("stopped")
-    return ImportResult(invoices.select([f.name for f in INVOICE.fields]), mapping, unmapped_columns(headers, mapping), reduce(DataFrame.unionByName, errors).select(*ERROR), every)
+        stopped = reduce(DataFrame.unionByName, whole_files).select("file_id", F.lit(True).alias("stopped")).distinct()
+        mapping = mapping.join(stopped, "file_id", "left").withColumn("reason", F.when(F.col("stopped"), F.col("reason")).otherwise(noted)).drop("stopped")
+    # Files of which no header was read have no column for any field.
+    without = [broken.select("file_id")] + ([refused.select("file_id").distinct()] if refused is not None else [])
+    nothing = [F.struct(F.lit(f).alias("field"), F.lit(f"no column in this header row resembles {f}").alias("reason")) for f in FIELDS]
+    bare = reduce(DataFrame.unionByName, without).select("file_id", F.explode(F.array(*nothing)).alias("m"))
+    bare = bare.select("file_id", "m.field", F.lit(None).cast("int").alias("column"), F.lit(None).cast("string").alias("header"), F.lit(0.0).alias("confidence"), "m.reason")
+    return ImportResult(invoices.select([f.name for f in INVOICE.fields]), mapping.unionByName(bare), unmapped, errors, every, ambiguous)
 
 
 def import_files(files: DataFrame, options: ImportOptions = ImportOptions()) -> ImportResult:
     """Import ``files(file_id, content)``; each file becomes a ledger."""
     faults = encoding_faults(files)
-    # Headers, column facts and rows each read the records; ``result.records.unpersist()`` frees them.
-    records = read_records(files).persist()
-    empty = files.join(records.where("idx = 0"), "file_id", "left_anti").join(faults, "file_id", "left_anti")
-    nothing = _error(empty, F.lit(0), F.lit("(file)"), F.lit(""), F.lit("the file has no rows, so there is nothing to map or import"))
-    result = import_records(records, options, faults)
-    errors = result.errors.unionByName(faults.select(*ERROR)).unionByName(nothing.select(*ERROR))
-    return ImportResult(result.invoices, result.mapping, result.unmapped, errors, result.records)
-
-
-def ambiguous_files(body: DataFrame) -> DataFrame:
-    """(file_id, ambiguous): files with dates that read both ways, and how many; ``body`` as in ``coerced``."""
-    return body.where(c.is_ambiguous_date(F.col("invoiceDate"))).groupBy("file_id").agg(F.count("*").alias("ambiguous"))
+    records = written_once(read_records(files))
+    empty = files.select("file_id").join(records.where("idx = 0"), "file_id", "left_anti").join(faults, "file_id", "left_anti")
+    nothing = _error(empty, F.lit(0), F.lit("(file)"), F.lit(""), told("empty"))
+    refused = written_once(faults.unionByName(nothing))
+    result = import_records(records, options, refused)
+    return replace(result, errors=result.errors.unionByName(refused.select(*ERROR)))
 
 
 def gate_ambiguous(result: ImportResult) -> tuple[ImportResult, DataFrame]:
-    """The result without files that reported ambiguous dates, and these files with their number."""
-    ambiguous = result.errors.where(F.col("reason").startswith("invoiceDate: ") & F.col("reason").contains(" is ambiguous: ")).groupBy("file_id").agg(F.count("*").alias("ambiguous"))
-    kept = result.invoices.join(ambiguous.select(F.col("file_id").alias("ledger_id")), "ledger_id", "left_anti")
-    return ImportResult(kept, result.mapping, result.unmapped, result.errors, result.records), ambiguous
+    """The result without invoices of files with ambiguous dates, and these files with their number."""
+    kept = result.invoices.join(result.ambiguous.select(F.col("file_id").alias("ledger_id")), "ledger_id", "left_anti")
+    return replace(result, invoices=kept), result.ambiguous
 
 
 def import_summary(result: ImportResult) -> DataFrame:
@@ -235,8 +260,6 @@ def unaccounted(result: ImportResult) -> DataFrame:
 
 def preview(result: ImportResult, records: int = 5, errors: int = 12) -> tuple[DataFrame, DataFrame]:
     """The first records and the first errors of each file."""
-    from pyspark.sql import Window
-
     first = result.records.where(F.col("idx").between(1, records))
     nth = F.row_number().over(Window.partitionBy("file_id").orderBy("row", "column", "reason"))
     return first, result.errors.withColumn("nth", nth).where(F.col("nth") <= errors)

@@ -14,6 +14,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written_once(rows: DataFrame) -> DataFrame:
+    """``rows`` for several readers: written to the checkpoint folder if the session has one, else cached.
+
+    The written rows have no history, so plans that read them stay short; Spark removes the files with
+    the last reference.  A cached frame stays until the session's cache is cleared.
+    """
+    context = rows.sparkSession.sparkContext
+    folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return rows.checkpoint(eager=True) if context.getCheckpointDir() else rows.persist()
+
+
 def projected_invoices(spark: SparkSession, sf_dir: str, ledger_id: str = "ap") -> DataFrame:
     """Line items as supplier invoices, and a fortnightly contract for each supplier."""
     suppliers = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
