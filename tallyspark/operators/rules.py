@@ -170,10 +170,18 @@ def bank_detail_changes(rows: DataFrame, options: Options = Options()) -> DataFr
     moved = ranked.select(*key, F.posexplode("accounts").alias("place", "one"), "accounts").where("place > 0")
     moved = moved.select(*key, F.col("one.account").alias("account"), F.col("one.first").alias("first"), F.array_join(F.transform(F.slice("accounts", F.lit(1), F.col("place")), lambda a: a["account"]), ", ").alias("earlier"))
     own = paid.join(moved.select(*key, "account"), [*key, "account"]).groupBy(*key, "account").agg(F.array_sort(F.collect_list("at")).alias("rows"), F.sum("amount").alias("total"))
-    starts = moved.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("first.at").alias("at"), "account"))).alias("starts"))
-    # Of the rows before an account's first, the last one.
-    passed = paid.join(starts, key).select(*key, "at", F.explode(F.filter("starts", lambda s: s["at"] > F.col("at"))).alias("next"))
-    prior = passed.groupBy(*key, F.col("next.account").alias("account")).agg(F.max("at").alias("prior"))
+    # The row before an account's first: one of an earlier row of that day, else the last of an earlier day.
+    # Rows shrink to each day's last before days are put in order; only the days of first rows keep their rows.
+    begun = moved.select(*key, "account", F.col("first.at").alias("start"), F.col("first.at.undated").alias("undated"), F.col("first.at.day").alias("day"))
+    dated = paid.join(moved.select(*key).distinct(), key, "left_semi").select(*key, "at", F.col("at.undated").alias("undated"), F.col("at.day").alias("day"))
+    days = dated.groupBy(*key, "undated", "day").agg(F.max("at").alias("last"))
+    earlier_days = Window.partitionBy(*key).orderBy("undated", "day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("eve", F.max("last").over(earlier_days)).drop("last")
+    alike = lambda other: [F.col(f"b.{c}") == F.col(f"{other}.{c}") for c in key] + [F.col(f"b.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in ("undated", "day")]
+    eves = begun.alias("b").join(days.alias("d"), alike("d"), "left").select(*(f"b.{c}" for c in (*key, "account", "start")), "b.undated", "b.day", "d.eve")
+    within = eves.alias("b").join(dated.alias("p"), alike("p"), "left").where("p.at < b.start or b.eve is not null")
+    earlier = F.when(F.col("p.at") < F.col("b.start"), F.col("p.at"))
+    prior = within.groupBy(*(F.col(f"b.{c}").alias(c) for c in (*key, "account"))).agg(F.coalesce(F.max(earlier), F.max("b.eve")).alias("prior"))
     found = moved.join(own, [*key, "account"]).join(prior, [*key, "account"])
     n = F.size("rows")
     more = F.concat(F.lit(" "), n.cast("string"), F.lit(" invoices totalling "), money_text(F.col("total"), F.col("first.currency")), F.lit(" have gone to the new account since."))

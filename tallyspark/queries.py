@@ -101,12 +101,13 @@ SPELLING = f"""anchored AS (
 
 TRANSPOSED = f"""coins AS (
   SELECT *, CAST(CAST(round(amount * 100) AS BIGINT) AS VARCHAR) AS c FROM paid
+), turned AS (
+  SELECT *, unnest(list_transform(list_filter(range(1, length(c)), lambda i: substr(c, i, 1) <> substr(c, i + 1, 1)),
+    lambda i: substr(c, 1, i - 1) || substr(c, i + 1, 1) || substr(c, i, 1) || substr(c, i + 2))) AS swapped FROM coins
 ), swaps AS (
   SELECT a.ledger_id, a.id AS id1, b.id AS id2, a.vendor_name, a.amount AS amount1, b.amount AS amount2, a.currency AS currency1, b.currency AS currency2
-  FROM coins a JOIN coins b ON a.ledger_id = b.ledger_id AND a.vendor_norm = b.vendor_norm AND a.cur = b.cur AND length(a.c) = length(b.c) AND a.c <> b.c
-    AND (a.invoice_date, a.id) < (b.invoice_date, b.id) AND date_diff('day', a.invoice_date, b.invoice_date) <= 21
-    AND len(list_filter(range(1, length(a.c)), lambda i: substr(a.c, 1, i - 1) = substr(b.c, 1, i - 1) AND substr(a.c, i, 1) = substr(b.c, i + 1, 1)
-      AND substr(a.c, i + 1, 1) = substr(b.c, i, 1) AND substr(a.c, i + 2) = substr(b.c, i + 2))) = 1
+  FROM turned a JOIN coins b ON a.ledger_id = b.ledger_id AND a.vendor_norm = b.vendor_norm AND a.cur = b.cur AND a.swapped = b.c
+  WHERE (a.invoice_date, a.id) < (b.invoice_date, b.id) AND date_diff('day', a.invoice_date, b.invoice_date) <= 21
 ), transposed AS ({_finding("amount-transposition", "medium", "least(amount1, amount2)", "[id1, id2]", f"vendor_name || ' has two invoices days apart for ' || {_money('amount1', 'currency1')} || ' and ' || {_money('amount2', 'currency2')} || ' — the same digits in a different order, which is how a mistyped amount usually looks.'", "swaps")})"""
 
 CREDIT = f"""unused AS (
@@ -170,7 +171,7 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue's first fifty findings of each ledger, with label."""
+    """A report of the queue's first fifty findings of each ledger, with label; ``review_queue_all`` is the whole queue."""
     queue = combine.labelled(combine.queued(detect(projected_invoices(spark, sf_dir))).where("queue_rank <= 50"))
     return queue.select("ledger_id", "queue_rank", "finding_key", "label", F.col("amount_at_stake").cast("double").alias("amount_at_stake"))
 
@@ -207,6 +208,19 @@ def vendor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vendor_name", F.round(m.vendor_similarity(F.col("a"), F.col("b")), 6).alias("similarity"), m.differs_only_by_branch(F.col("a"), F.col("b")).alias("branch_only"))
 
 
+def transposed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's price against the price with its last two whole digits exchanged."""
+    from tallyspark.functions import matching as m
+    from tallyspark.sources.tables import read_table
+
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    text = cents.cast("string")
+    n = F.length(text)
+    turned = F.concat(F.left(text, n - 4), F.substring(text, n - 2, F.lit(1)), F.substring(text, n - 3, F.lit(1)), F.right(text, F.lit(2))).cast("decimal(18,4)") / 100
+    parts = read_table(spark, sf_dir, "part")
+    return parts.select("p_partkey", m.is_transposition(F.col("p_retailprice").cast("decimal(18,4)"), turned.cast("decimal(18,4)")).alias("transposed"))
+
+
 def supplier_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cadence of each supplier's bills of one amount and currency."""
     from tallyspark.functions import matching as m
@@ -236,6 +250,10 @@ SELECT vendor_name, round(1 - levenshtein(a, b) / greatest(length(a), length(b))
         f"""WITH {NORMAL_SQL}, {REKEYED}, g AS ({_PACED})
 SELECT vendor_norm, cur, CAST(amount AS DOUBLE) AS amount, CASE WHEN n >= 3 AND pace >= 5 AND held * 10 >= (n - 1) * 7 THEN pace END AS cadence FROM g""",
     ),
+    "transposed_prices": (
+        transposed_prices,
+        "SELECT p_partkey, CAST(floor(p_retailprice / 10) AS BIGINT) % 10 <> CAST(floor(p_retailprice) AS BIGINT) % 10 AS transposed FROM part",
+    ),
     "rule_exact_duplicate": (_rule(rules.exact_duplicates), f"WITH {NORMAL_SQL}, {EXACT} {_FOUND} exact"),
     "rule_rekeyed_duplicate": (_rule(rules.rekeyed_duplicates), f"WITH {NORMAL_SQL}, {REKEYED} {_FOUND} rekeyed"),
     "rule_vendor_spelling_duplicate": (_rule(rules.vendor_spelling_duplicates), f"WITH {NORMAL_SQL}, {SPELLING} {_FOUND} spelling"),

@@ -15,7 +15,7 @@ QUERIES = {**queries.queries(), **queries_files.queries()}
 @pytest.fixture(scope="module")
 def tables():
     connection = duckdb.connect()
-    for name in ("lineitem", "supplier"):
+    for name in ("lineitem", "supplier", "part", "orders", "customer"):
         connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return connection
 
