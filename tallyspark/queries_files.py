@@ -22,7 +22,7 @@ HEADERS = [
 SUPPLIER = "CAST(CASE WHEN starts_with(id, 'CT-') THEN split_part(id, '-', 2) ELSE split_part(id, '-', 4) END AS INTEGER)"
 
 
-def _supplier(id_: Column) -> Column:
+def supplier_of(id_: Column) -> Column:
     return F.when(id_.startswith("CT-"), F.get(F.split(id_, "-"), F.lit(1))).otherwise(F.get(F.split(id_, "-"), F.lit(3))).cast("int")
 
 
@@ -32,7 +32,7 @@ def _layout(supplier: Column, *forms: Column) -> Column:
 
 def supplier_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, content): each supplier's invoices as an export, by date; amounts of 45 are unreadable."""
-    rows = projected_invoices(spark, sf_dir).withColumn("s", _supplier(F.col("id")))
+    rows = projected_invoices(spark, sf_dir).withColumn("s", supplier_of(F.col("id")))
     size = F.format_number(F.abs("amount"), 2)
     plain = F.concat(F.when(F.col("amount") < 0, "-").otherwise(""), F.regexp_replace(size, ",", ""))
     bracketed = F.when(F.col("amount") < 0, F.concat(F.lit("("), size, F.lit(")"))).otherwise(size)

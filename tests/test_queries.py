@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from tallyspark import queries, queries_files
+from tallyspark import queries, queries_damage, queries_files
 
 SF = "/root/testdata/sf0.001"
-SQL = {**queries.oracle_sql(), **queries_files.oracle_sql()}
-QUERIES = {**queries.queries(), **queries_files.queries()}
+SQL = {**queries.oracle_sql(), **queries_files.oracle_sql(), **queries_damage.oracle_sql()}
+QUERIES = {**queries.queries(), **queries_files.queries(), **queries_damage.queries()}
 
 
 @pytest.fixture(scope="module")
