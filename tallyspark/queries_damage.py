@@ -158,7 +158,6 @@ def live_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SQL ----------------------------------------------------------------------------------------
 
-_NAMES = "['supplier-' || s]"
 _LINES = f"""{INVOICES_SQL}, placed AS (
   SELECT *, {SUPPLIER} AS s, {SUPPLIER} % {KINDS} AS kind, 'supplier-' || {SUPPLIER} AS file_id, 1 + row_number() OVER (PARTITION BY {SUPPLIER} ORDER BY invoice_date, id) AS line FROM inv
 ), sized AS (
@@ -182,7 +181,7 @@ def _said(name: str, **values: str) -> str:
     return text
 
 
-_BAD_ROW = f"kind = 5 AND line % 5 = 2"
+_BAD_ROW = "kind = 5 AND line % 5 = 2"
 _DAMAGED_ERRORS = f"""WITH {_FILES}
 SELECT file_id, 1 AS row, '(file)' AS "column", {_cut("'" + HEADER.replace("Supplier", "Suppl?ier", 1) + "'")} AS value, {_said("utf-16")} AS reason FROM one WHERE kind = 0
 UNION ALL SELECT file_id, 3, '(file)', {_cut("'Caf?,' || full_line")}, {_said("lost byte", line="'3'")} FROM texts WHERE kind = 1 AND line = 3
@@ -217,8 +216,37 @@ _CONTRADICTED = f"""WITH {_DAY_FIRST}, t AS (
   {_said("contradicted", said="'month-first'", value="value", line="first", more="CASE WHEN others > 0 THEN " + _said("nor", n="others", s="CASE others WHEN 1 THEN '' ELSE 's' END") + " ELSE '' END")} AS reason, CASE WHEN first IS NULL THEN n ELSE 0 END AS rows_read FROM t"""
 _GATE = f"""WITH {_DAY_FIRST}, t AS (SELECT file_id, count(CASE WHEN d <= 12 AND d <> m THEN 1 END) AS ambiguous, count(CASE WHEN d > 12 OR d = m THEN 1 END) AS readable FROM placed GROUP BY file_id)
 SELECT file_id, ambiguous, readable, CASE WHEN ambiguous > 0 THEN 0 ELSE readable END AS kept FROM t"""
-# What is said of the fields of each of HEADERS, worked out by hand from the scores of the phrases.
-_REASONS: list[tuple[int, str, str | None, float, bool, str]] = []
+# Header, confidence, whether it is low, and reason of each field under each of HEADERS.
+_REASONS = [
+    (0, 'vendorName', 'Vendor', 0.99, False, '"Vendor" is exactly the known vendorName header "vendor"'),
+    (0, 'invoiceNumber', 'Invoice No', 1.0, False, '"Invoice No" is exactly the known invoiceNumber header "invoice no"'),
+    (0, 'invoiceDate', 'Invoice Date', 0.86, False, '"Invoice Date" is exactly the known invoiceDate header "invoice date"; "Doc Date" scored almost as well (0.99) and may be the right column instead'),
+    (0, 'amount', 'Amount', 0.99, False, '"Amount" is exactly the known amount header "amount"'),
+    (0, 'currency', 'Currency', 1.0, False, '"Currency" is exactly the known currency header "currency"'),
+    (0, 'reference', 'Reference', 1.0, False, '"Reference" is exactly the known reference header "reference"'),
+    (0, 'bankLast4', None, 0.0, False, 'no column in this header row resembles bankLast4'),
+    (1, 'vendorName', 'Vendor', 0.99, False, '"Vendor" is exactly the known vendorName header "vendor"'),
+    (1, 'invoiceNumber', 'Invoice Reference', 0.81, False, '"Invoice Reference" contains "invoice"; reference matched this column more closely, but reference is optional and an import with no invoiceNumber cannot run at all'),
+    (1, 'invoiceDate', 'Doc Date', 0.99, False, '"Doc Date" is exactly the known invoiceDate header "doc date"'),
+    (1, 'amount', 'Net', 0.97, False, '"Net" is exactly the known amount header "net"'),
+    (1, 'currency', None, 0.0, False, 'no column in this header row resembles currency'),
+    (1, 'reference', None, 0.0, False, 'reference has no column of its own: "Invoice Reference" was the best evidence for it, but invoiceNumber is required and had no other candidate, so the column went there'),
+    (1, 'bankLast4', None, 0.0, False, 'no column in this header row resembles bankLast4'),
+    (2, 'vendorName', 'Vendor', 0.99, False, '"Vendor" is exactly the known vendorName header "vendor"'),
+    (2, 'invoiceNumber', 'Invoice Reference', 0.81, False, '"Invoice Reference" contains "invoice"; reference matched this column more closely, but reference is optional and an import with no invoiceNumber cannot run at all'),
+    (2, 'invoiceDate', 'Doc Date', 0.99, False, '"Doc Date" is exactly the known invoiceDate header "doc date"'),
+    (2, 'amount', 'Net', 0.97, False, '"Net" is exactly the known amount header "net"'),
+    (2, 'currency', None, 0.0, False, 'no column in this header row resembles currency'),
+    (2, 'reference', 'Payment Details', 0.59, True, '"Payment Details" contains "details"; "Invoice Reference" scored almost as well (0.82) and may be the right column instead'),
+    (2, 'bankLast4', None, 0.0, False, 'no column in this header row resembles bankLast4'),
+    (3, 'vendorName', 'Supplier Name', 1.0, False, '"Supplier Name" is exactly the known vendorName header "supplier name"'),
+    (3, 'invoiceNumber', 'Invoice No', 1.0, False, '"Invoice No" is exactly the known invoiceNumber header "invoice no"'),
+    (3, 'invoiceDate', None, 0.0, False, 'invoiceDate has no column of its own: "Invoice No" scored 0.47 for it, but is a stronger match for invoiceNumber'),
+    (3, 'amount', 'Net Amount', 1.0, False, '"Net Amount" is exactly the known amount header "net amount"'),
+    (3, 'currency', None, 0.0, False, 'no column in this header row resembles currency'),
+    (3, 'reference', None, 0.0, False, 'reference has no column of its own: "Invoice No" scored 0.45 for it, but is a stronger match for invoiceNumber'),
+    (3, 'bankLast4', None, 0.0, False, 'no column in this header row resembles bankLast4'),
+]
 _CHOICES = [
     ("invoiceDate", [0, 2, 2, None], [1.0, 1.0, 1.0, 0.0], ['you chose "Doc Date" for invoiceDate'] * 3 + ['you mapped invoiceDate to "doc  DATE", which this header row does not have']),
     ("amount", [2, 2, 2, 2], [1.0] * 4, [f'you chose "{name}" for amount' for name in ("Amount", "Doc Date", "Doc Date", "Net Amount")]),
@@ -236,8 +264,14 @@ _OVERRIDES = (
     + ", ".join(f"({k}, '{field}', {_value(columns[k])}, CAST({sure[k]} AS DOUBLE), {_value(reasons[k])})" for field, columns, sure, reasons in _CHOICES for k in range(len(HEADERS)))
     + f") SELECT 'supplier-' || s_suppkey AS file_id, field, CAST(\"column\" AS INTEGER) AS \"column\", confidence, reason FROM supplier JOIN c ON k = s_suppkey % {len(HEADERS)}"
 )
+_MAPPING_REASONS = (
+    "WITH c(k, field, header, confidence, low, reason) AS (VALUES "
+    + ", ".join(f"({k}, '{field}', {_value(header)}, CAST({sure} AS DOUBLE), {low}, {_value(reason)})" for k, field, header, sure, low, reason in _REASONS)
+    + f") SELECT 'supplier-' || s_suppkey AS file_id, field, header, confidence, low, reason FROM supplier JOIN c ON k = s_suppkey % {len(HEADERS)}"
+)
 
 QUERIES: dict[str, tuple[Query, str]] = {
+    "mapping_reasons": (mapping_reasons, _MAPPING_REASONS),
     "damaged_errors": (damaged_errors, _DAMAGED_ERRORS),
     "damaged_invoices": (damaged_invoices, _DAMAGED_INVOICES),
     "damaged_summary": (damaged_summary, _DAMAGED_SUMMARY),
@@ -256,7 +290,7 @@ SELECT CAST(k AS VARCHAR) AS id, namespace, count(o_orderkey) AS events FROM lef
 
 
 def queries() -> dict[str, Query]:
-    return {**{name: query for name, (query, _) in QUERIES.items()}, "mapping_reasons": mapping_reasons}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
