@@ -80,17 +80,11 @@ def _problem(row: Column, column: Column, value: Column, reason: Column) -> Colu
     return F.struct(row.cast("int").alias("row"), column.alias("column"), value.alias("value"), reason.alias("reason"))
 
 
-def encoding_faults(files: DataFrame) -> DataFrame:
-    """An error for each file with a NUL or a lost byte; the first one counts."""
-    text = F.col("content")
-    nul, lost = F.instr(text, "\u0000"), F.instr(text, "�")
-    at = F.when(nul == 0, lost).when(lost == 0, nul).otherwise(F.least(nul, lost))
-    before = F.left(text, at - 1)
-    line = F.size(F.split(before, "\r\n|\r|\n"))
-    begun = F.element_at(F.split(before, "\r|\n"), -1)
-    around = F.substring(text, F.col("at") - F.length(begun), F.lit(200))
-    shown = cut(F.regexp_replace(F.regexp_replace(around, "[\r\n][\\s\\S]*$", ""), "[\u0000�]", "?"))
-    return _error(files.withColumn("at", at).where("at > 0"), line, F.lit("(file)"), shown, F.when(nul > 0, told("utf-16")).otherwise(told("lost byte", line=line)))
+def refused_files(records: DataFrame) -> DataFrame:
+    """An error for each file that could not be read: wrongly encoded, or empty."""
+    kind, line = F.get("cells", F.lit(0)), F.col("line")
+    reason = F.when(kind == "utf-16", told("utf-16")).when(kind == "lost byte", told("lost byte", line=line)).otherwise(told("empty"))
+    return _error(records.where("idx = -1"), line, F.lit("(file)"), cut(F.get("cells", F.lit(1))), reason)
 
 
 def unclosed_quote() -> Column:
@@ -173,14 +167,12 @@ def _places(mapping: DataFrame) -> DataFrame:
     return at.where(reduce(lambda a, b: a & b, (F.col(f"at.{f}").isNotNull() for f in REQUIRED)))
 
 
-def import_records(records: DataFrame, options: ImportOptions = ImportOptions(), refused: DataFrame | None = None) -> ImportResult:
-    """Invoices and errors of ``records``; of files in ``refused(file_id, ...)`` nothing is read.
+def import_records(records: DataFrame, options: ImportOptions = ImportOptions()) -> ImportResult:
+    """Invoices and errors of the ``records`` of ``read_records``.
 
     The coerced records are written once: invoices and errors read the same rows.
     """
-    every = records
-    if refused is not None:
-        records = records.join(refused.select("file_id").distinct(), "file_id", "left_anti")
+    refused = refused_files(records)
     headers = records.where("idx = 0")
     broken = headers.where("unterminated_quote is not null").select("file_id", unclosed_quote().alias("p")).select("file_id", "p.*")
     headers = headers.where("unterminated_quote is null").select("file_id", "line", "cells")
@@ -192,7 +184,7 @@ def import_records(records: DataFrame, options: ImportOptions = ImportOptions(),
     against = contradicted_order(facts, options.date_order) if options.date_order else None
     read = written_once(coerced(body.join(facts.where("against is null").drop("against", "others"), "file_id"), options))
     told_rows = read.select("file_id", F.explode("problems").alias("p")).select("file_id", "p.*")
-    whole_files = [broken, lacking] + ([against] if against is not None else [])
+    whole_files = [refused, broken, lacking] + ([against] if against is not None else [])
     errors = reduce(DataFrame.unionByName, [*whole_files, told_rows]).select(*ERROR)
     fallback = F.lit(options.default_currency or DEFAULT_CURRENCY)
     invoices = read.where(F.size("problems") == 0).select(
@@ -215,22 +207,16 @@ def import_records(records: DataFrame, options: ImportOptions = ImportOptions(),
         stopped = reduce(DataFrame.unionByName, whole_files).select("file_id", F.lit(True).alias("stopped")).distinct()
         mapping = mapping.join(stopped, "file_id", "left").withColumn("reason", F.when(F.col("stopped"), F.col("reason")).otherwise(noted)).drop("stopped")
     # Files of which no header was read have no column for any field.
-    without = [broken.select("file_id")] + ([refused.select("file_id").distinct()] if refused is not None else [])
+    without = [broken.select("file_id"), refused.select("file_id")]
     nothing = [F.struct(F.lit(f).alias("field"), F.lit(f"no column in this header row resembles {f}").alias("reason")) for f in FIELDS]
     bare = reduce(DataFrame.unionByName, without).select("file_id", F.explode(F.array(*nothing)).alias("m"))
     bare = bare.select("file_id", "m.field", F.lit(None).cast("int").alias("column"), F.lit(None).cast("string").alias("header"), F.lit(0.0).alias("confidence"), "m.reason")
-    return ImportResult(invoices.select([f.name for f in INVOICE.fields]), mapping.unionByName(bare), unmapped, errors, every, ambiguous)
+    return ImportResult(invoices.select([f.name for f in INVOICE.fields]), mapping.unionByName(bare), unmapped, errors, records, ambiguous)
 
 
 def import_files(files: DataFrame, options: ImportOptions = ImportOptions()) -> ImportResult:
-    """Import ``files(file_id, content)``; each file becomes a ledger."""
-    faults = encoding_faults(files)
-    records = written_once(read_records(files))
-    empty = files.select("file_id").join(records.where("idx = 0"), "file_id", "left_anti").join(faults, "file_id", "left_anti")
-    nothing = _error(empty, F.lit(0), F.lit("(file)"), F.lit(""), told("empty"))
-    refused = written_once(faults.unionByName(nothing))
-    result = import_records(records, options, refused)
-    return replace(result, errors=result.errors.unionByName(refused.select(*ERROR)))
+    """Import ``files(file_id, content)``; each file becomes a ledger.  The files are read once."""
+    return import_records(written_once(read_records(files)), options)
 
 
 def gate_ambiguous(result: ImportResult) -> tuple[ImportResult, DataFrame]:

@@ -163,8 +163,10 @@ _LINES = f"""{INVOICES_SQL}, placed AS (
 ), sized AS (
   SELECT *, count(*) OVER (PARTITION BY s) AS n, CAST(CAST(amount AS DECIMAL(18, 2)) AS VARCHAR) AS written,
     vendor_name || ',' || invoice_number || ',' || CAST(invoice_date AS VARCHAR) AS short, coalesce(bank_last4, '') AS bank FROM placed
-), texts AS (
+), lined AS (
   SELECT *, short || ',' || written || ',' || currency || ',,' || bank AS full_line FROM sized
+), texts AS (
+  SELECT *, lead(full_line) OVER (PARTITION BY s ORDER BY line) AS next_line FROM lined
 )"""
 _FILES = f"{_LINES}, one AS (SELECT file_id, kind, any_value(n) AS n, string_agg(short, chr(10) ORDER BY line) FILTER (line <= 3) AS begun FROM texts GROUP BY file_id, kind)"
 
@@ -184,7 +186,7 @@ def _said(name: str, **values: str) -> str:
 _BAD_ROW = "kind = 5 AND line % 5 = 2"
 _DAMAGED_ERRORS = f"""WITH {_FILES}
 SELECT file_id, 1 AS row, '(file)' AS "column", {_cut("'" + HEADER.replace("Supplier", "Suppl?ier", 1) + "'")} AS value, {_said("utf-16")} AS reason FROM one WHERE kind = 0
-UNION ALL SELECT file_id, 3, '(file)', {_cut("'Caf?,' || full_line")}, {_said("lost byte", line="'3'")} FROM texts WHERE kind = 1 AND line = 3
+UNION ALL SELECT file_id, 3, '(file)', {_cut("'Caf?,' || full_line || chr(10) || coalesce(next_line, '') || chr(10)")}, {_said("lost byte", line="'3'")} FROM texts WHERE kind = 1 AND line = 3
 UNION ALL SELECT file_id, 0, '(file)', '', {_said("empty")} FROM one WHERE kind = 2
 UNION ALL SELECT file_id, 1, '(row)', {_cut("'Supplier Name,Invoice No' || chr(10) || begun || chr(10)")}, {_said("unclosed", line="'1'", what=_said("swallowed", n="(n + 1)"))} FROM one WHERE kind = 3
 UNION ALL SELECT file_id, 1, 'amount', '{NO_AMOUNT}', {_said("missing", field="'amount'", why="'no column in this header row resembles amount'")} FROM one WHERE kind = 4

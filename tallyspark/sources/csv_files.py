@@ -57,13 +57,32 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("file_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def file_fault(text: str) -> tuple[int, str, str] | None:
+    """(line, kind, text from that line's start) of the first NUL or lost byte, or of a file without records."""
+    bad = re.search("[\0\ufffd]", text)
+    if bad is None:
+        return None if next(split_records(text), None) else (0, "empty", "")
+    before = text[: bad.start()]
+    begun = max(before.rfind("\n"), before.rfind("\r")) + 1
+    return len(re.split("\r\n|\r|\n", before)), "utf-16" if "\0" in text else "lost byte", re.sub("[\0\ufffd]", "?", text[begun : begun + 200])
+
+
 def read_records(files: DataFrame) -> DataFrame:
-    """The records of each file of ``files(file_id, content)``, numbered from 0: the header."""
+    """The records of each file of ``files(file_id, content)``, numbered from 0: the header.
+
+    A file that cannot be read has one row instead, numbered -1, whose cells are the kind of its fault
+    and the text where it lies.
+    """
+
+    def rows_of(file_id: str, text: str) -> list[tuple]:
+        if fault := file_fault(text):
+            return [(file_id, -1, fault[0], list(fault[1:]), None)]
+        return [(file_id, i, line, cells, quote) for i, (line, cells, quote) in enumerate(split_records(text))]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
-                rows = [(file_id, i, line, cells, quote) for i, (line, cells, quote) in enumerate(split_records(content or ""))]
+                rows = rows_of(file_id, content or "")
                 for lo in range(0, len(rows), 20_000):
                     part = pd.DataFrame(rows[lo : lo + 20_000], columns=["file_id", "idx", "line", "cells", "unterminated_quote"])
                     yield part.astype({"unterminated_quote": "Int32"})
