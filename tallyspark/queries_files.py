@@ -80,9 +80,9 @@ def import_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well each different header reads as the invoice date, over all exports."""
+    """How well each different header reads as each field, over all exports."""
     heads = supplier_exports(spark, sf_dir).select(F.explode(F.split(F.split_part("content", F.lit("\n"), F.lit(1)), ",")).alias("header"))
-    return mapping.header_scores(heads).where("field = 'invoiceDate' and score >= 0.5").select("header", F.round("score", 6).alias("score"))
+    return mapping.header_scores(heads).select("header", "field", F.round("score", 6).alias("score"))
 
 
 def ledger_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,8 @@ _IDS = "unnest(string_split(invoice_ids, '|')) AS id, unnest(range(len(string_sp
 _RANK = "row_number() OVER (PARTITION BY ledger_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, amount_at_stake DESC, list_position(['exact-duplicate', 'rekeyed-duplicate', 'vendor-spelling-duplicate', 'amount-transposition', 'unapplied-credit', 'bank-detail-change', 'round-number-outlier'], rule_id), finding_key)"
 _FLAGS = f"flags AS (SELECT id, arg_max(rule_id, q) AS flagged_by FROM (SELECT rule_id, q, unnest(string_split(invoice_ids, '|')) AS id FROM (SELECT *, {_RANK} AS q FROM found)) GROUP BY id)"
 _MONTHS = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
-_SCORES = "('Invoice Date', 1.0), ('Doc Date', 0.99), ('Posting Date', 0.985)"
+_PHRASES = ", ".join(f"('{field}', '{phrase}', {place})" for field, known in mapping.PHRASES.items() for place, phrase in enumerate(known))
+_AGAINST = ", ".join(f"('{field}', '{token}', {weight})" for field, token, weight, _ in mapping.PENALTIES)
 
 QUERIES: dict[str, tuple[Query, str]] = {
     "import_invoices": (import_invoices, f"WITH {_LINES} SELECT file_id AS ledger_id, 'row-' || line AS id, vendor_name, invoice_number, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(amount AS DOUBLE) AS amount, currency, bank_last4 FROM placed WHERE amount <> 45"),
@@ -236,7 +237,18 @@ SELECT file_id, rows_read, rows_skipped, file_id || ' — ' || rows_read || ' ro
     ),
     "import_reconciliation": (import_reconciliation, f"WITH {_LINES} SELECT file_id, count(*) AS records, 0 AS unaccounted FROM placed GROUP BY file_id"),
     "import_preview": (import_preview, f"WITH {_LINES}, t AS ({_WRITTEN}) SELECT file_id, CAST(line AS INTEGER) AS line, vendor_name || '|' || invoice_number || '|' || day || '|' || CASE WHEN amount = 45 THEN 'n/a' ELSE written END || '|' || currency || '||' || coalesce(bank_last4, '') AS cells FROM t WHERE line <= 6"),
-    "header_scores": (header_scores, f"WITH h(header, score) AS (VALUES {_SCORES}), used AS (SELECT DISTINCT s_suppkey % 3 AS layout FROM supplier) SELECT header, CAST(score AS DOUBLE) AS score FROM h JOIN used ON layout = CASE header WHEN 'Invoice Date' THEN 0 WHEN 'Doc Date' THEN 1 ELSE 2 END"),
+    "header_scores": (
+        header_scores,
+        f"""WITH c AS ({_COLUMNS}), k(field, phrase, place) AS (VALUES {_PHRASES}), p(field, token, weight) AS (VALUES {_AGAINST}),
+h AS (SELECT DISTINCT header, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) AS norm FROM c JOIN supplier ON layout = s_suppkey % 3),
+m AS (SELECT header, norm, field, phrase, place, string_split(norm, ' ') AS hay, string_split(phrase, ' ') AS needle FROM h, k),
+s AS (SELECT *, len(list_intersect(needle, hay)) / len(needle) AS shared, 1 - levenshtein(norm, phrase) / greatest(length(norm), length(phrase)) AS fuzzy FROM m),
+o AS (SELECT *, CASE WHEN shared > 0 THEN 0.3 + 0.35 * shared ELSE 0 END AS overlap FROM s),
+r AS (SELECT *, CASE WHEN norm = phrase THEN 1 WHEN contains(' ' || norm || ' ', ' ' || phrase || ' ') THEN 0.7 + 0.25 * (len(needle) / len(hay)) WHEN fuzzy > 0.75 AND fuzzy * 0.7 > overlap THEN fuzzy * 0.7 ELSE overlap END AS raw FROM o),
+a AS (SELECT header, phrase, m.field, sum(weight) AS weight FROM m JOIN p ON p.field = m.field AND list_contains(hay, token) AND NOT list_contains(needle, token) GROUP BY ALL)
+SELECT header, r.field, round(greatest(max(CASE WHEN raw > 0 THEN raw - 0.005 * least(place, 10) - coalesce(a.weight, 0) ELSE 0 END), 0)::DOUBLE, 6) AS score
+FROM r LEFT JOIN a USING (header, phrase, field) GROUP BY header, r.field""",
+    ),
     "ledger_csv": (ledger_csv, f"WITH {INVOICES_SQL} SELECT id, vendor_name || ',' || invoice_number || ',' || invoice_date || ',' || format('{{:.2f}}', CAST(amount AS DOUBLE)) || ',' || currency || ',,' || coalesce(bank_last4, '') AS line FROM inv"),
     "parse_dates": (parse_dates, f"WITH {INVOICES_SQL} SELECT id, CAST(invoice_date AS VARCHAR) AS first, CAST(invoice_date AS VARCHAR) AS last, 5 AS texts FROM inv"),
     "ambiguous_dates": (
