@@ -6,7 +6,8 @@ Expectation-maximisation estimates the proportions, and the set of languages is
 penalised likelihood among the nested sets of the largest proportions.
 
 Defined results: a text that is null or has no letter gives ``und`` with score 0; a table without
-any training label gives ``und`` for every row; equal proportions go to the label that sorts first;
+any training label gives ``und`` for every row; a text may hold any number of the languages; equal
+proportions go to the label that sorts first;
 repeated rows are scored alike; columns of other names are passed through.
 """
 
@@ -63,7 +64,6 @@ class LanguageMixture:
     rounds: int = 6
     set_rounds: int = 4
     penalty: float = 1.0
-    largest_set: int = 4
 
     @classmethod
     def fit(cls, docs: DataFrame, *, text: str = "text", label: str = "lang", smoothing: float = 0.5) -> LanguageMixture:
@@ -130,10 +130,14 @@ class LanguageMixture:
         share, _ = improve(even, self.rounds)
         rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
         best, best_value = np.zeros_like(share), np.full(len(full), -np.inf)
-        for size in range(1, min(self.largest_set, len(self.languages)) + 1):
+        for size in range(1, len(self.languages) + 1):
+            charge = self.penalty * size * np.log(number + 1.0)
+            # No word is likelier than 1, so a set of this size or a larger one is worth -charge at most.
+            if (-charge <= best_value).all():
+                break
             start = np.where(rank < size, np.maximum(share, 1e-6), 0)
             kept, value = improve(start / start.sum(axis=1, keepdims=True), self.set_rounds if size > 1 else 0)
-            value -= self.penalty * size * np.log(number + 1.0)
+            value -= charge
             better = value > best_value
             best[better], best_value[better] = kept[better], value[better]
         out[full] = best

@@ -28,6 +28,16 @@ def test_language_mixture(docs):
     assert 0.3 < share[model.languages.index("de")] < 0.7 and 0.3 < share[model.languages.index("fr")] < 0.7
 
 
+def test_language_mixture_of_many(spark):
+    letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst", "ff": "uvwx"}
+    words = {lang: ["".join(w) for w in itertools.permutations(own, 3)] for lang, own in letters.items()}
+    model = language_id.LanguageMixture.fit(spark.createDataFrame([(" ".join(w), lang) for lang, w in words.items()], "text string, lang string"))
+    for number in range(1, 7):
+        data = " ".join(w for lang in sorted(words)[:number] for w in words[lang]).encode()
+        share = model.proportions(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+        assert np.allclose(share[:number], 1 / number, atol=0.02) and not share[number:].any()
+
+
 def test_language_odd(odd_docs, no_docs):
     model = language_id.LanguageMixture.fit(odd_docs)
     rows = model.transform(odd_docs.drop("score").withColumn("lang_pred", F.lit(1))).collect()
