@@ -1,6 +1,9 @@
 """Language ID, toxicity, quality and licences: held-out accuracy, hand-made cases and odd tables."""
 
 import itertools
+import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -28,6 +31,66 @@ def test_language_mixture(docs):
     assert 0.3 < share[model.languages.index("de")] < 0.7 and 0.3 < share[model.languages.index("fr")] < 0.7
 
 
+def brute_language(texts, learned):
+    """(prediction, score) of each text by plain counting and plain EM, one word at a time."""
+    fold = {**{chr(c): chr(c + 32) for c in range(65, 91)}, **{chr(c): chr(c + 32) for c in range(0xC0, 0xDF) if c != 0xD7}}
+
+    def words(text):
+        raw = "".join(fold.get(c, c) for c in text).encode()
+        return re.findall(rb"[A-Za-z\x80-\xff]+", raw)
+
+    def grams(word):
+        padded = b" " * (language_id.ORDER - 1) + word
+        values = [int.from_bytes(padded[i : i + language_id.ORDER], "big") for i in range(len(word))]
+        return [(v * 2654435761 % 2**32) >> (32 - language_id.BUCKET_BITS) for v in values]
+
+    counts = {}
+    for text, lang in learned:
+        own = counts.setdefault(lang, Counter())
+        own.update(g for w in words(text or "") for g in grams(w))
+    kinds, buckets = sorted(counts), 1 << language_id.BUCKET_BITS
+    logs = {k: (lambda c, total: lambda g: math.log((c[g] + 0.5) / total))(counts[k], sum(counts[k].values()) + 0.5 * buckets) for k in kinds}
+
+    def em(likely, share, rounds):
+        for _ in range(rounds):
+            new = [0.0] * len(kinds)
+            for row in likely:
+                joint = [p * s for p, s in zip(row, share, strict=True)]
+                for k, j in enumerate(joint):
+                    new[k] += j / sum(joint) / len(likely)
+            share = new
+        return share, sum(math.log(max(sum(p * s for p, s in zip(row, share, strict=True)), 1e-300)) for row in likely)
+
+    out = []
+    for text in texts:
+        scores = [[sum(logs[k](g) for g in grams(w)) for k in kinds] for w in words(text or "")]
+        if not scores or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        likely = [[math.exp(max(s - max(row), -60)) for s in row] for row in scores]
+        share, _ = em(likely, [1 / len(kinds)] * len(kinds), 6)
+        order = sorted(range(len(kinds)), key=lambda k: -share[k])
+        best = None
+        for size in range(1, len(kinds) + 1):
+            start = [max(share[k], 1e-6) if k in order[:size] else 0.0 for k in range(len(kinds))]
+            kept, value = em(likely, [s / sum(start) for s in start], 4 if size > 1 else 0)
+            value -= size * math.log(len(likely) + 1)
+            if best is None or value > best[0]:
+                best = value, kept
+        top = max(range(len(kinds)), key=lambda k: best[1][k])
+        out.append((kinds[top], best[1][top]))
+    return out
+
+
+def test_language_equals_brute_force(docs):
+    some = docs.where("doc_id < 60 and length(text) < 6000").unionByName(docs.sparkSession.createDataFrame([(900, None, None), (901, "", None), (902, "12 ÷ 3", "en"), (903, "ÉTÉ Straße das ist the end", None)], "doc_id long, text string, lang string"))
+    rows = some.orderBy("doc_id").collect()
+    want = brute_language([r.text for r in rows], [(r.text, r.lang) for r in rows if r.lang])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.LanguageMixture.fit(some).transform(some).collect()}
+    for row, (lang, score) in zip(rows, want, strict=True):
+        assert got[row.doc_id][0] == lang and math.isclose(got[row.doc_id][1], score, abs_tol=1e-3), (row.doc_id, got[row.doc_id], lang, score)
+
+
 def test_language_mixture_of_many(spark):
     letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst", "ff": "uvwx"}
     words = {lang: ["".join(w) for w in itertools.permutations(own, 3)] for lang, own in letters.items()}
