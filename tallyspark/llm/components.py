@@ -12,8 +12,10 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges(a, b)``; component is the smallest node reachable.
 
     Every node ends as the leaf of a star around its component's smallest node.  Each round writes
-    its edges to the checkpoint folder; only a row count and a checksum reach the driver.  Self
-    loops and rows with a null are left out, so a node without other edges has no row.
+    its edges and each node's smallest neighbour to the checkpoint folder, so that a hub's rows reach
+    the join in shuffled parts of their own, which Spark may split; only a row count and a checksum
+    reach the driver.  Self loops and rows with a null are left out, so a node without other edges
+    has no row.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current, before = cut_lineage(pairs), None
@@ -23,9 +25,9 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
             break
         before = seen
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(nearest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        nearest = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut_lineage(both.join(nearest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).where("a <> b")
         small = small.unionByName(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
         current = cut_lineage(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
