@@ -170,3 +170,50 @@ def sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if full.any():
         out[full] = np.add.reduceat(values, bounds[:-1][full], axis=0)
     return out
+
+
+def bounded_slices(column: pa.Array, cuts: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each piece, bytes, offsets) for slices of about ``most`` bytes; a longer text is cut into pieces.
+
+    Cuts lie behind bytes for which the table ``cuts`` is true, so nothing that lies between two such
+    bytes is parted; a longer stretch without one stays whole.
+    """
+    for lo, hi, data, ends in slices(column, most):
+        if hi - lo > 1 or len(data) <= most:
+            yield np.arange(lo, hi), data, ends
+            continue
+        allowed, start = np.flatnonzero(cuts[data]) + 1, 0
+        while start < len(data):
+            last = np.searchsorted(allowed, start + most, side="right") - 1
+            stop = int(allowed[last]) if last >= 0 and allowed[last] > start else int(allowed[last + 1]) if last + 1 < len(allowed) else len(data)
+            if len(data) - start <= most:
+                stop = len(data)
+            yield np.array([lo]), data[start:stop], np.array([0, stop - start])
+            start = stop
+
+
+def run_strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The bytes of each run, which neither overlap nor run backwards, as an Arrow array of strings."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    place = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[place])))
+
+
+class RollingHash:
+    """64-bit hashes of any runs of a byte array, from the prefix sums of one polynomial."""
+
+    _powers = _inverses = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray) -> None:
+        if len(self._powers) <= len(data):
+            size = 1 << (len(data) + 1).bit_length()
+            for name, base in (("_powers", _BASE), ("_inverses", pow(_BASE, -1, 1 << 64))):
+                table = np.full(size, base, np.uint64)
+                table[0] = 1
+                setattr(RollingHash, name, np.multiply.accumulate(table))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[: len(data)], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[stops] - self.sums[starts]) * self._inverses[starts] + (stops - starts).astype(np.uint64))

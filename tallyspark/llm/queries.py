@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, lattice_dedup, licenses, lm_scoring, ngram_join, packing, pieces, quality, topk_search, toxicity
+from tallyspark.llm import language_id, lattice_dedup, licenses, lm_scoring, ngram_join, packing, pieces, quality, spelling, topk_search, toxicity
 from tallyspark.llm.common import read_table, remainder
 
 #: A score of at least this predicts label 1.
@@ -160,8 +160,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_toxicity, op3_license_scan, op4_sentencepiece, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing]
+    found = [op1_language_id, op2_toxicity, op3_license_scan, op4_sentencepiece, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing, op12_spelling_variants]
     return {f.__name__: f for f in found}
 
 
