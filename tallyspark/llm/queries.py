@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import language_id, lattice_dedup, licenses, lm_scoring, ngram_join, packing, pieces, quality, spelling, topk_search, toxicity
+from tallyspark.llm import collocations, language_id, lattice_dedup, licenses, lm_scoring, ngram_join, packing, pieces, quality, spelling, topk_search, toxicity
 from tallyspark.llm.common import read_table, remainder
 
 #: A score of at least this predicts label 1.
@@ -91,6 +91,42 @@ FROM files LEFT JOIN own USING (path) LEFT JOIN near ON folder = regexp_replace(
 """
 
 
+COLLOCATION_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS words FROM pieces
+), grams AS (
+  SELECT lang, size, words[i : i + size - 1] AS words
+  FROM split, unnest(range(1, {collocations.MOST_WORDS + 1})) s(size), unnest(range(1, len(words) - size + 2)) t(i)
+), counted AS MATERIALIZED (
+  SELECT lang, size, words, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {collocations.LEAST_COUNT}
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang
+), candidates AS MATERIALIZED (
+  SELECT lang, size, words, f AS a FROM counted WHERE size > 1
+), cuts AS (
+  SELECT c.lang, c.size, c.words, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN counted x ON x.lang = c.lang AND x.words = c.words[1 : k] JOIN counted y ON y.lang = c.lang AND y.words = c.words[k + 1 : c.size]
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, words[i : i + part - 1] AS words, max(a) AS longer
+  FROM candidates, unnest(range(2, size)) p(part), unnest(range(1, size - part + 2)) t(i)
+  GROUP BY ALL
+), kept AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score
+  FROM scored LEFT JOIN inside USING (lang, words) WHERE longer IS NULL OR 100 * longer < {collocations.ABSORBED} * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= {collocations.TOP}
+"""
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -164,10 +200,14 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_toxicity, op3_license_scan, op4_sentencepiece, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing, op12_spelling_variants]
+    found = [op1_language_id, op2_toxicity, op3_license_scan, op4_sentencepiece, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing, op12_spelling_variants, op13_phrase_collocations]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": LICENSE_SQL, "op6_topk_search": TOP_K_SQL}
+    return {"op3_license_scan": LICENSE_SQL, "op6_topk_search": TOP_K_SQL, "op13_phrase_collocations": COLLOCATION_SQL}
