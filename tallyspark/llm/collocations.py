@@ -24,16 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _FOLD, RollingHash, bounded_slices, cut_lineage, mix64, run_strings, segments
-from tallyspark.llm.hat_trie import HatTrie, row_hash
+from tallyspark.llm.common import _FOLD, RollingHash, Sieve, bounded_slices, cut_lineage, mix64, passes, run_strings, segments
+from tallyspark.llm.hat_trie import HatTrie
 
 LEAST_COUNT, MOST_WORDS, TOP = 30, 4, 2000
 #: A candidate inside a longer one of at least this many hundredths of its number is dropped.
 ABSORBED = 80
 NO_LANGUAGE = "und"
 SLICE = 4_000_000
-#: 64-bit words of the bitmap of what is frequent.
-SIEVE_WORDS = 1 << 19
 
 _STOP = np.zeros(256, bool)
 _STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -100,39 +98,6 @@ def with_ids(words: DataFrame) -> DataFrame:
     return once.withColumn("word", F.when(F.col("same") > 1, F.raise_error(F.lit("two words share an id"))).otherwise(F.col("word"))).drop("same")
 
 
-class Sieve:
-    """A bitmap of fixed size that holds every row of ids it was made of, and lets few others pass."""
-
-    def __init__(self, rows: DataFrame, words: int = SIEVE_WORDS) -> None:
-        width = len(rows.columns)
-
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(words, np.uint64)
-            for batch in batches:
-                ids = np.column_stack([batch.column(k).to_numpy().view(np.uint64) for k in range(width)])
-                place, bits = self._place(ids, words)
-                np.bitwise_or.at(held, place, bits)
-            used = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(held[used].view(np.int64))], names=["place", "bits"])
-
-        found = rows.mapInArrow(mark, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
-        held = np.zeros(words, np.uint64)
-        held[found["place"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-        self.held = rows.sparkSession.sparkContext.broadcast(held)
-
-    @staticmethod
-    def _place(ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        h = row_hash(ids)
-        one = np.uint64(1)
-        bits = (one << (h & np.uint64(63))) | (one << ((h >> np.uint64(6)) & np.uint64(63)))
-        return ((h >> np.uint64(12)) % np.uint64(words)).astype(np.int64), bits
-
-
-def passes(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    place, bits = Sieve._place(ids, len(held))
-    return held[place] & bits == bits
-
-
 def phrase_counts(docs: DataFrame, frequent: Sieve, known: int, width: int, least: int = LEAST_COUNT, **limits: int) -> DataFrame:
     """(w1..w4, a) of the phrases of more than ``known`` and up to ``width`` words with at least ``least`` occurrences.
 

@@ -217,3 +217,48 @@ class RollingHash:
 
     def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         return mix64((self.sums[stops] - self.sums[starts]) * self._inverses[starts] + (stops - starts).astype(np.uint64))
+
+
+def row_hash(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of ids."""
+    h = np.full(len(rows), rows.shape[1] + 1, np.uint64)
+    for column in rows.T:
+        h = mix64(h ^ column)
+    return h
+
+
+#: 64-bit words of a bitmap that Python workers receive.
+BITMAP_WORDS = 1 << 19
+
+
+class Sieve:
+    """A bitmap of fixed size that holds every row of ids it was made of, and lets few others pass."""
+
+    def __init__(self, rows: DataFrame, words: int = BITMAP_WORDS) -> None:
+        width = len(rows.columns)
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(words, np.uint64)
+            for batch in batches:
+                ids = np.column_stack([batch.column(k).to_numpy().view(np.uint64) for k in range(width)])
+                place, bits = self._place(ids, words)
+                np.bitwise_or.at(held, place, bits)
+            used = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(held[used].view(np.int64))], names=["place", "bits"])
+
+        found = rows.mapInArrow(mark, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+        held = np.zeros(words, np.uint64)
+        held[found["place"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+        self.held = rows.sparkSession.sparkContext.broadcast(held)
+
+    @staticmethod
+    def _place(ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        h = row_hash(ids)
+        one = np.uint64(1)
+        bits = (one << (h & np.uint64(63))) | (one << ((h >> np.uint64(6)) & np.uint64(63)))
+        return ((h >> np.uint64(12)) % np.uint64(words)).astype(np.int64), bits
+
+
+def passes(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    place, bits = Sieve._place(ids, len(held))
+    return held[place] & bits == bits

@@ -15,19 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from tallyspark.llm.common import mix64
+from tallyspark.llm.common import row_hash
 
 Rows = tuple[np.ndarray, np.ndarray]
 
 
-def row_hash(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of ids."""
-    h = np.full(len(rows), rows.shape[1] + 1, np.uint64)
-    for column in rows.T:
-        h = mix64(h ^ column)
-    return h
-
-
 def summed(rows: np.ndarray, n: np.ndarray) -> Rows:
     """Rows sorted by ids, each once, with the sums of their numbers."""
     if not len(rows):

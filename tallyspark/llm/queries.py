@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import collocations, language_id, lattice_dedup, licenses, lm_scoring, ngram_join, packing, pieces, quality, spelling, topk_search, toxicity
+from tallyspark.llm import collocations, language_id, lattice_dedup, licenses, lm_scoring, ngram_join, packing, pieces, quality, spelling, suffix_dedup, topk_search, toxicity
 from tallyspark.llm.common import read_table, remainder
 
 #: A score of at least this predicts label 1.
@@ -196,6 +196,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", n_bytes, removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), digest)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -205,7 +213,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_toxicity, op3_license_scan, op4_sentencepiece, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing, op12_spelling_variants, op13_phrase_collocations]
+    found = [op1_language_id, op2_toxicity, op3_license_scan, op4_sentencepiece, op5_quality, op6_topk_search, op7_ngram_jaccard_join, op8_lattice_dedup, op9_lm_scoring, op10_best_fit_packing, op11_suffix_dedup, op12_spelling_variants, op13_phrase_collocations]
     return {f.__name__: f for f in found}
 
 
