@@ -3,7 +3,7 @@
 Words are counted first.  Phrases are then counted in HAT-tries of word ids, in two passes: pairs of
 frequent words, then windows of up to four words all of whose pairs are frequent, as no phrase is more
 frequent than its parts.  What is frequent reaches the tasks as a bitmap of fixed size, which lets some
-more phrases through and never loses one.  Spark adds up the tasks' sorted runs by phrase.
+more phrases through and never loses one.  The tasks' sorted runs meet by first word and are merged there.
 
 Word ids are 64-bit hashes of language and word, so no dictionary is sent to the tasks; if two frequent
 words shared an id the job would stop.  Scores are whole numbers from decimal arithmetic.
@@ -31,6 +31,8 @@ LEAST_COUNT, MOST_WORDS, TOP = 30, 4, 2000
 #: A candidate inside a longer one of at least this many hundredths of its number is dropped.
 ABSORBED = 80
 NO_LANGUAGE = "und"
+#: Words with more than one part in this many of all are hot.
+HOT_SHARE = 1000
 SLICE = 4_000_000
 
 _STOP = np.zeros(256, bool)
@@ -98,10 +100,22 @@ def with_ids(words: DataFrame) -> DataFrame:
     return once.withColumn("word", F.when(F.col("same") > 1, F.raise_error(F.lit("two words share an id"))).otherwise(F.col("word"))).drop("same")
 
 
-def phrase_counts(docs: DataFrame, frequent: Sieve, known: int, width: int, least: int = LEAST_COUNT, **limits: int) -> DataFrame:
+def _subtrees(rows: np.ndarray, n: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+    """Sorted rows as one row for each first word: its part, the other words of all its phrases, and their numbers."""
+    part = np.where(np.isin(rows[:, 0], hot), rows[:, 1] >> np.uint64(60), np.uint64(0)).astype(np.int32)
+    first = np.flatnonzero(np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (part[1:] != part[:-1])))
+    ends = np.append(first, len(rows)).astype(np.int32)
+    rest = np.ascontiguousarray(rows[:, 1:]).ravel().view(np.int64)
+    lists = [pa.ListArray.from_arrays(pa.array(ends * (rows.shape[1] - 1)), pa.array(rest)), pa.ListArray.from_arrays(pa.array(ends), pa.array(n))]
+    return pa.RecordBatch.from_arrays([pa.array(rows[first, 0].view(np.int64)), pa.array(part[first]), *lists], names=["w1", "part", "rest", "n"])
+
+
+def phrase_counts(docs: DataFrame, frequent: Sieve, known: int, width: int, hot: np.ndarray, least: int = LEAST_COUNT, **limits: int) -> DataFrame:
     """(w1..w4, a) of the phrases of more than ``known`` and up to ``width`` words with at least ``least`` occurrences.
 
     ``frequent`` holds the frequent phrases of ``known`` words; no phrase is counted that has another one in it.
+    Tasks send whole subtrees by first word, those of ``hot`` words in parts by the second one; the runs that
+    meet in a prefix partition are merged in a trie again.
     """
     held = frequent.held
 
@@ -129,13 +143,27 @@ def phrase_counts(docs: DataFrame, frequent: Sieve, known: int, width: int, leas
                 some = np.flatnonzero(rows[:, size - 1])
                 if not len(some):
                     continue
-                own, m = rows[some, :size], n[some]
+                own, m = rows[some], n[some]
+                own[:, size:] = 0
                 first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]).any(axis=1)))
-                columns = [own[first, k].view(np.int64) if k < size else np.zeros(len(first), np.int64) for k in range(MOST_WORDS)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.add.reduceat(m, first))], names=[*_IDS, "a"])
+                yield _subtrees(own[first], np.add.reduceat(m, first), hot)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = HatTrie(width, **limits)
+        for batch in batches:
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                n = part.column(3).flatten().to_numpy()
+                first = np.repeat(part.column(0).to_numpy(), pc.list_value_length(part.column(3)).to_numpy())
+                rest = part.column(2).flatten().to_numpy().reshape(len(n), width - 1)
+                trie.add(np.column_stack((first, rest)).view(np.uint64), n)
+        for rows, n in trie.merged():
+            own = n >= least
+            columns = [rows[own, k].view(np.int64) if k < width else np.zeros(int(own.sum()), np.int64) for k in range(MOST_WORDS)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n[own])], names=[*_IDS, "a"])
 
-    counted = docs.mapInArrow(count, ", ".join(f"{w} long" for w in _IDS) + ", a long")
-    return counted.groupBy(*_IDS).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    sent = docs.mapInArrow(count, "w1 long, part int, rest array<long>, n array<long>").repartition("w1", "part")
+    return sent.mapInArrow(merge, ", ".join(f"{w} long" for w in _IDS) + ", a long")
 
 
 def _part(*ids: str) -> list[Column]:
@@ -171,8 +199,11 @@ def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", lea
     counted = cut_lineage(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()))
     totals = counted.where("word is null").select("lang", F.col("n").alias("total"))
     words = cut_lineage(with_ids(counted.where((F.col("n") >= least) & F.col("word").isNotNull())))
-    pairs = cut_lineage(phrase_counts(docs, Sieve(words.select("id")), 1, 2, least, **limits))
-    longer = cut_lineage(phrase_counts(docs, Sieve(pairs.select("w1", "w2")), 2, MOST_WORDS, least, **limits))
+    total = totals.agg(F.sum("total")).first()[0] or 0
+    # Fewer words than this can have so large a share of all.
+    hot = np.array([r.id for r in words.where(F.col("n") > total / HOT_SHARE).select("id").collect()], np.int64).view(np.uint64)
+    pairs = cut_lineage(phrase_counts(docs, Sieve(words.select("id")), 1, 2, hot, least, **limits))
+    longer = cut_lineage(phrase_counts(docs, Sieve(pairs.select("w1", "w2")), 2, MOST_WORDS, hot, least, **limits))
     candidates = pairs.unionByName(longer)
     zero = F.lit(0).cast("long")
     single = words.select(F.col("id").alias("p1"), zero.alias("p2"), zero.alias("p3"), F.col("n").alias("f"))

@@ -145,9 +145,9 @@ class HatTrie:
         self.width, self.most, self.burst, self.partitions = width, most, burst, partitions
         self.root, self.runs = Node(width, burst), []
 
-    def add(self, rows: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, n: np.ndarray | None = None) -> None:
         if len(rows):
-            self.root.add(rows, np.ones(len(rows), np.int64))
+            self.root.add(rows, np.ones(len(rows), np.int64) if n is None else n)
         while self.root.size > self.most:
             self._spill()
 
