@@ -22,6 +22,8 @@ import numpy as np
 
 #: Tuples that a queue holds in memory, and names that are sorted directly.
 IN_MEMORY = 4_000_000
+#: Bytes of a column that stay in memory.
+HELD_BYTES = 32_000_000
 #: Stands for the common prefix of stretches that are equal to their ends.
 WHOLE = np.int32(1 << 30)
 #: Suffixes that one step takes from a file.
@@ -31,8 +33,8 @@ Batch = tuple[np.ndarray, ...]
 
 
 def scratch(values: np.ndarray) -> np.ndarray:
-    """The values in a temporary file, which goes with the last reference."""
-    if not values.size:
+    """The values, in a temporary file if they are many, which goes with the last reference."""
+    if values.nbytes <= HELD_BYTES:
         return values
     file = tempfile.TemporaryFile()
     values.tofile(file)
@@ -41,18 +43,26 @@ def scratch(values: np.ndarray) -> np.ndarray:
 
 
 class Column:
-    """Values appended block by block to a temporary file, read back from either end."""
+    """Values appended block by block, to a temporary file once they are many, read back from either end."""
 
     def __init__(self, dtype: type) -> None:
-        self.file, self.dtype, self.size = tempfile.TemporaryFile(), np.dtype(dtype), 0
+        self.held, self.file, self.dtype, self.size = [], None, np.dtype(dtype), 0
 
     def append(self, values: np.ndarray) -> None:
-        values.astype(self.dtype, copy=False).tofile(self.file)
+        self.held.append(values.astype(self.dtype))
         self.size += len(values)
+        if self.file is not None or self.size * self.dtype.itemsize > HELD_BYTES:
+            self.file = self.file or tempfile.TemporaryFile()
+            for part in self.held:
+                part.tofile(self.file)
+            self.held = []
 
     def all(self) -> np.ndarray:
+        if self.file is None:
+            self.held = [np.concatenate([np.zeros(0, self.dtype), *self.held])]
+            return self.held[0]
         self.file.flush()
-        return np.memmap(self.file, self.dtype, "r+", shape=(self.size,)) if self.size else np.zeros(0, self.dtype)
+        return np.memmap(self.file, self.dtype, "r+", shape=(self.size,))
 
 
 class PriorityQueue:

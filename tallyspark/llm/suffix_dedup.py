@@ -35,7 +35,7 @@ LENGTH, LEVELS = 400, (128, 384, 400)
 #: Keys with more bytes of pieces than a share of all, and than this, are dealt again.
 HOT_BYTES, HOT_SHARE = 4_000_000, 1000
 #: Bytes of pieces that a shard holds on average.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 SLICE = 1 << 18
 
 

@@ -22,6 +22,7 @@ def brute_order(symbols, most):
 def test_suffixes_are_sorted(monkeypatch, memory, block):
     """Small memory makes the queue spill and the names recur."""
     monkeypatch.setattr(induced_sort, "BLOCK", block)
+    monkeypatch.setattr(induced_sort, "HELD_BYTES", 10 * memory)
     rng = np.random.default_rng(memory)
     for trial in range(80):
         symbols = rng.integers(1, rng.integers(2, 6), rng.integers(1, 100))
