@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -11,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import coercion as c
+from tallyspark.functions.sentences import sentence
 from tallyspark.model import INVOICE
 from tallyspark.operators.mapping import FIELDS, REQUIRED, suggest_mapping, unmapped_columns
 from tallyspark.sources.csv_files import read_records
 from tallyspark.sources.tables import written_once
 
 SHOWN = 80
-ERROR = ["file_id", "row", "column", "value", "reason"]
+#: ``nth`` is the place of an error among those of one row.
+ERROR = ["file_id", "row", "nth", "column", "value", "reason"]
 PROBLEM = "struct<row:int,column:string,value:string,reason:string>"
 DEFAULT_CURRENCY = "GBP"
 
@@ -33,6 +34,10 @@ TOLD = {
     "contradicted": 'this import was told the file is {said}, but "{value}" on line {line} cannot be{more}. The rest of the column would still be read {said}, so the ledger would carry both conventions and most of its dates would be out by months. Check which way round the export writes them and import again.',
     "nor": ", and nor can {n} other date{s} in this column",
     "shape": "this row has {n} values but the header has {of}, so the columns no longer line up",
+    "ambiguous": "{n} date{s} in this file could be read two ways. Choose which before importing.",
+    "ledger": "{file} — {n} rows{more}",
+    "skipped": ", {n} skipped",
+    "no rows": "No rows could be read from that file.",
     "no supplier": "the supplier name is blank",
     "no number": "the invoice number is blank",
     "no currency column": "; with no currency column, rows fall back to any symbol in the amount and then to GBP — pass defaultCurrency to change that",
@@ -41,9 +46,7 @@ TOLD = {
 
 def told(name: str, **values: Column | str) -> Column:
     """A sentence of ``TOLD`` with its places filled in."""
-    parts = re.split(r"\{(\w+)\}", TOLD[name])
-    filled = [F.lit(part) if i % 2 == 0 else values[part].cast("string") if isinstance(values[part], Column) else F.lit(values[part]) for i, part in enumerate(parts)]
-    return F.concat(*filled)
+    return sentence(TOLD[name], **values)
 
 
 @dataclass(frozen=True)
@@ -72,8 +75,8 @@ def cut(text: Column, most: int = SHOWN) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
 
 
-def _error(rows: DataFrame, row: Column, column: Column, value: Column, reason: Column) -> DataFrame:
-    return rows.select("file_id", row.cast("int").alias("row"), column.alias("column"), value.alias("value"), reason.alias("reason"))
+def _error(rows: DataFrame, row: Column, column: Column, value: Column, reason: Column, nth: Column | None = None) -> DataFrame:
+    return rows.select("file_id", row.cast("int").alias("row"), (F.lit(0) if nth is None else nth).cast("int").alias("nth"), column.alias("column"), value.alias("value"), reason.alias("reason"))
 
 
 def _problem(row: Column, column: Column, value: Column, reason: Column) -> Column:
@@ -98,7 +101,8 @@ def unclosed_quote() -> Column:
 def missing_fields(headers: DataFrame, mapping: DataFrame) -> DataFrame:
     """One error for each required field without a column."""
     lacking = mapping.where(F.col("column").isNull() & F.col("field").isin(REQUIRED)).select("file_id", "field", F.col("reason").alias("why"))
-    return _error(lacking.join(headers, "file_id"), F.col("line"), F.col("field"), cut(F.array_join("cells", ",")), told("missing", field=F.col("field"), why=F.col("why")))
+    nth = F.array_position(F.array(*map(F.lit, FIELDS)), F.col("field"))
+    return _error(lacking.join(headers, "file_id"), F.col("line"), F.col("field"), cut(F.array_join("cells", ",")), told("missing", field=F.col("field"), why=F.col("why")), nth)
 
 
 def _cell(name: str) -> Column:
@@ -174,7 +178,7 @@ def import_records(records: DataFrame, options: ImportOptions = ImportOptions())
     """
     refused = refused_files(records)
     headers = records.where("idx = 0")
-    broken = headers.where("unterminated_quote is not null").select("file_id", unclosed_quote().alias("p")).select("file_id", "p.*")
+    broken = headers.where("unterminated_quote is not null").select("file_id", F.lit(0).alias("nth"), unclosed_quote().alias("p")).select("file_id", "nth", "p.*")
     headers = headers.where("unterminated_quote is null").select("file_id", "line", "cells")
     mapping = written_once(suggest_mapping(headers, options.mapping))
     files = headers.select("file_id", F.col("cells").alias("header")).join(_places(mapping), "file_id")
@@ -183,7 +187,7 @@ def import_records(records: DataFrame, options: ImportOptions = ImportOptions())
     lacking = missing_fields(headers, mapping)
     against = contradicted_order(facts, options.date_order) if options.date_order else None
     read = written_once(coerced(body.join(facts.where("against is null").drop("against", "others"), "file_id"), options))
-    told_rows = read.select("file_id", F.explode("problems").alias("p")).select("file_id", "p.*")
+    told_rows = read.select("file_id", F.posexplode("problems").alias("nth", "p")).select("file_id", "nth", "p.*")
     whole_files = [refused, broken, lacking] + ([against] if against is not None else [])
     errors = reduce(DataFrame.unionByName, [*whole_files, told_rows]).select(*ERROR)
     fallback = F.lit(options.default_currency or DEFAULT_CURRENCY)
@@ -220,18 +224,22 @@ def import_files(files: DataFrame, options: ImportOptions = ImportOptions()) ->
 
 
 def gate_ambiguous(result: ImportResult) -> tuple[ImportResult, DataFrame]:
-    """The result without invoices of files with ambiguous dates, and these files with their number."""
+    """The result without invoices of files with ambiguous dates, and these files with their number and what to ask."""
     kept = result.invoices.join(result.ambiguous.select(F.col("file_id").alias("ledger_id")), "ledger_id", "left_anti")
-    return replace(result, invoices=kept), result.ambiguous
+    n = F.col("ambiguous")
+    asked = told("ambiguous", n=F.format_number(n, 0), s=F.when(n == 1, "").otherwise("s"))
+    return replace(result, invoices=kept), result.ambiguous.withColumn("question", asked)
 
 
 def import_summary(result: ImportResult) -> DataFrame:
-    """Rows read, rows skipped (each once) and the ledger's name for each file; a file without rows has its first error."""
+    """Rows read, rows skipped (each once) and the ledger's name for each file; a file without rows has its first error instead of a name."""
     read = result.invoices.groupBy(F.col("ledger_id").alias("file_id")).agg(F.count("*").alias("rows_read"))
-    skipped = result.errors.groupBy("file_id").agg(F.count_distinct("row").alias("rows_skipped"), F.min(F.struct("row", "reason"))["reason"].alias("first"))
-    both = read.join(skipped, "file_id", "full_outer").select("file_id", F.coalesce("rows_read", F.lit(0)).alias("rows_read"), F.coalesce("rows_skipped", F.lit(0)).alias("rows_skipped"), "first")
-    name = F.concat(F.col("file_id"), F.lit(" — "), F.col("rows_read").cast("string"), F.lit(" rows"), F.when(F.col("rows_skipped") > 0, F.concat(F.lit(", "), F.col("rows_skipped").cast("string"), F.lit(" skipped"))).otherwise(""))
-    return both.select("file_id", "rows_read", "rows_skipped", name.alias("ledger_name"), F.when(F.col("rows_read") == 0, F.col("first")).alias("first_error"))
+    skipped = result.errors.groupBy("file_id").agg(F.count_distinct("row").alias("rows_skipped"), F.min_by("reason", F.struct("row", "nth")).alias("first"))
+    every = result.mapping.select("file_id").distinct().join(read, "file_id", "left").join(skipped, "file_id", "left").fillna(0, ["rows_read", "rows_skipped"])
+    more = F.when(F.col("rows_skipped") > 0, told("skipped", n=F.col("rows_skipped"))).otherwise("")
+    name = told("ledger", file=F.col("file_id"), n=F.format_number("rows_read", 0), more=more)
+    first = F.coalesce("first", F.lit(TOLD["no rows"]))
+    return every.select("file_id", "rows_read", "rows_skipped", F.when(F.col("rows_read") > 0, name).alias("ledger_name"), F.when(F.col("rows_read") == 0, first).alias("first_error"))
 
 
 def unaccounted(result: ImportResult) -> DataFrame:
@@ -247,5 +255,5 @@ def unaccounted(result: ImportResult) -> DataFrame:
 def preview(result: ImportResult, records: int = 5, errors: int = 12) -> tuple[DataFrame, DataFrame]:
     """The first records and the first errors of each file."""
     first = result.records.where(F.col("idx").between(1, records))
-    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("row", "column", "reason"))
-    return first, result.errors.withColumn("nth", nth).where(F.col("nth") <= errors)
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("row", "nth"))
+    return first, result.errors.withColumn("place", nth).where(F.col("place") <= errors)

@@ -65,15 +65,21 @@ def damaged_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows read and skipped of each damaged export, and the first error of those without a row."""
+    """Rows read and skipped of each damaged export, its ledger's name, and the first error of those without a row."""
     summary = importing.import_summary(importing.import_files(damaged_exports(spark, sf_dir)))
-    return summary.select("file_id", "rows_read", "rows_skipped", F.left("first_error", F.lit(20)).alias("first_error"))
+    return summary.select("file_id", "rows_read", "rows_skipped", "ledger_name", "first_error")
 
 
 def damaged_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields without a column in the damaged exports; refused files have none for any field."""
+    """Fields without a column in the damaged exports and why; refused files have none for any field."""
     found = importing.import_files(damaged_exports(spark, sf_dir)).mapping
-    return found.where("column is null").select("file_id", "field", F.col("reason").contains("rows fall back").alias("falls_back"))
+    return found.where("column is null").select("file_id", "field", "reason")
+
+
+def damaged_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve errors of each damaged export in the order of the file; the limit is the feature."""
+    _, errors = importing.preview(importing.import_files(damaged_exports(spark, sf_dir)))
+    return errors.select("file_id", "place", "row", "column", "reason")
 
 
 def damaged_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +87,10 @@ def damaged_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _day_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exports with dates as dd/MM/yyyy; those of even suppliers hold days up to the twelfth only."""
-    rows = projected_invoices(spark, sf_dir).withColumn("s", supplier_of(F.col("id"))).where((F.col("s") % 2 == 1) | (F.dayofmonth("invoice_date") <= 12))
+    """Exports with dates as dd/MM/yyyy; those of even suppliers are dated up to the twelfth of a month."""
+    rows = projected_invoices(spark, sf_dir).withColumn("s", supplier_of(F.col("id")))
+    early = F.date_add(F.trunc("invoice_date", "month"), F.dayofmonth("invoice_date") % 12)
+    rows = rows.withColumn("invoice_date", F.when(F.col("s") % 2 == 0, early).otherwise(F.col("invoice_date")))
     rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("s").orderBy("invoice_date", "id")) + 1)
     text = csv_line([F.col("vendor_name"), F.col("invoice_number"), F.date_format("invoice_date", "dd/MM/yyyy"), F.col("amount").cast("decimal(18,2)").cast("string"), F.col("currency"), F.lit(""), F.lit("")])
     return _files(rows, F.lit(HEADER), text).select("file_id", "content")
@@ -101,7 +109,7 @@ def ambiguous_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated, ambiguous = importing.gate_ambiguous(result)
     before, after = (r.invoices.groupBy(F.col("ledger_id").alias("file_id")).agg(F.count("*").alias(name)) for r, name in ((result, "readable"), (gated, "kept")))
     every = before.join(after, "file_id", "left").join(ambiguous, "file_id", "full_outer")
-    return every.select("file_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("ambiguous", "readable", "kept")))
+    return every.select("file_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("ambiguous", "readable", "kept")), "question")
 
 
 HEADERS = [
@@ -198,26 +206,38 @@ UNION ALL SELECT file_id, CAST(line AS INTEGER), '(row)', {_cut("full_line || ch
 _READ = "(kind = 5 AND line % 5 NOT IN (0, 2)) OR (kind = 6 AND line <= n) OR kind = 7"
 _DAMAGED_INVOICES = f"""WITH {_LINES} SELECT file_id AS ledger_id, 'row-' || line AS id, vendor_name, CAST(amount AS DOUBLE) AS amount,
   CASE WHEN kind < 7 OR currency = 'EUR' THEN currency WHEN line % 2 = 0 THEN 'USD' ELSE 'GBP' END AS currency, CASE WHEN kind < 7 THEN bank_last4 END AS bank_last4 FROM texts WHERE {_READ}"""
+_FIRST_ERROR = f"""CASE kind WHEN 0 THEN {_said("utf-16")} WHEN 1 THEN {_said("lost byte", line="'3'")} WHEN 2 THEN {_said("empty")}
+  WHEN 3 THEN {_said("unclosed", line="'1'", what=_said("swallowed", n="(n + 1)"))} WHEN 4 THEN {_said("missing", field="'amount'", why="'no column in this header row resembles amount'")} END"""
 _DAMAGED_SUMMARY = f"""WITH {_LINES}, t AS (
-  SELECT file_id, kind, count(CASE WHEN {_READ} THEN 1 END) AS rows_read, count(CASE WHEN kind IN (5, 6) AND NOT ({_READ}) THEN 1 END) AS bad FROM texts GROUP BY file_id, kind
+  SELECT file_id, kind, any_value(n) AS n, count(CASE WHEN {_READ} THEN 1 END) AS rows_read, count(CASE WHEN kind IN (5, 6) AND NOT ({_READ}) THEN 1 END) AS bad FROM texts GROUP BY file_id, kind
 ) SELECT file_id, rows_read, CASE WHEN kind < 5 THEN 1 ELSE bad END AS rows_skipped,
-  CASE kind WHEN 0 THEN 'this file is not UTF-8: every letter' WHEN 1 THEN 'this file is not UTF-8: line 3' WHEN 2 THEN 'the file has no rows' WHEN 3 THEN 'a quoted value opened' WHEN 4 THEN 'amount has no column' END AS said FROM t WHERE kind < 7 OR rows_read > 0"""
-_DAMAGED_SUMMARY = f"SELECT file_id, rows_read, rows_skipped, substr(said, 1, 20) AS first_error FROM ({_DAMAGED_SUMMARY})"
+  CASE WHEN rows_read > 0 THEN file_id || ' — ' || format('{{:,}}', rows_read) || ' rows' || CASE WHEN bad > 0 THEN ', ' || bad || ' skipped' ELSE '' END END AS ledger_name,
+  CASE WHEN rows_read = 0 THEN {_FIRST_ERROR} END AS first_error FROM t"""
+_DAMAGED_PREVIEW = f"""WITH errors AS ({_DAMAGED_ERRORS}), t AS (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row, CASE split_part(reason, ':', 1) WHEN 'invoiceNumber' THEN 1 WHEN 'invoiceDate' THEN 2 WHEN 'currency' THEN 3 ELSE 0 END) AS place FROM errors
+) SELECT file_id, CAST(place AS INTEGER) AS place, row, "column", reason FROM t WHERE place <= 12"""
 _DAMAGED_MAPPING = f"""WITH {_FILES}, f(kind, fields) AS (VALUES
-  (0, {mapping.FIELDS}), (1, {mapping.FIELDS}), (2, {mapping.FIELDS}), (3, {mapping.FIELDS}), (4, ['amount', 'currency', 'reference', 'bankLast4']), (7, ['currency', 'reference', 'bankLast4']))
-SELECT file_id, unnest(fields) AS field, kind = 7 AND unnest(fields) = 'currency' AS falls_back FROM one JOIN f USING (kind)"""
+  (0, {mapping.FIELDS}), (1, {mapping.FIELDS}), (2, {mapping.FIELDS}), (3, {mapping.FIELDS}), (4, ['amount', 'currency', 'reference', 'bankLast4']), (7, ['currency', 'reference', 'bankLast4'])),
+u AS (SELECT file_id, kind, unnest(fields) AS field FROM one JOIN f USING (kind))
+SELECT file_id, field, CASE
+  WHEN kind = 4 AND field = 'reference' THEN 'reference has no column of its own: "Voucher No" scored 0.45 for it, but is a stronger match for invoiceNumber'
+  WHEN kind = 7 AND field = 'reference' THEN 'reference has no column of its own: "Invoice No" scored 0.45 for it, but is a stronger match for invoiceNumber'
+  ELSE 'no column in this header row resembles ' || field END || CASE WHEN kind = 7 AND field = 'currency' THEN {_said("no currency column")} ELSE '' END AS reason FROM u"""
 _DAMAGED_UNMAPPED = f"WITH {_FILES} SELECT file_id, unnest([4, 5]) AS \"column\", unnest(['Cost Centre', '(unnamed column 6)']) AS header FROM one WHERE kind = 7"
-_DAY_FIRST = f"""{INVOICES_SQL}, dated AS (
-  SELECT *, {SUPPLIER} AS s, 'supplier-' || {SUPPLIER} AS file_id, day(invoice_date) AS d, month(invoice_date) AS m FROM inv
+_DAY_FIRST = f"""{INVOICES_SQL}, moved AS (
+  SELECT id, {SUPPLIER} AS s, CASE WHEN {SUPPLIER} % 2 = 0 THEN CAST(date_trunc('month', invoice_date) AS DATE) + CAST(day(invoice_date) % 12 AS INTEGER) ELSE invoice_date END AS invoice_date FROM inv
+), dated AS (
+  SELECT *, 'supplier-' || s AS file_id, day(invoice_date) AS d, month(invoice_date) AS m FROM moved
 ), placed AS (
-  SELECT *, 1 + row_number() OVER (PARTITION BY s ORDER BY invoice_date, id) AS line FROM dated WHERE s % 2 = 1 OR d <= 12
+  SELECT *, 1 + row_number() OVER (PARTITION BY s ORDER BY invoice_date, id) AS line FROM dated
 )"""
 _CONTRADICTED = f"""WITH {_DAY_FIRST}, t AS (
   SELECT file_id, min(CASE WHEN d > 12 THEN line END) AS first, arg_min(strftime(invoice_date, '%d/%m/%Y'), CASE WHEN d > 12 THEN line END) AS value, count(CASE WHEN d > 12 THEN 1 END) - 1 AS others, count(*) AS n FROM placed GROUP BY file_id
 ) SELECT file_id, CAST(first AS INTEGER) AS row, value,
   {_said("contradicted", said="'month-first'", value="value", line="first", more="CASE WHEN others > 0 THEN " + _said("nor", n="others", s="CASE others WHEN 1 THEN '' ELSE 's' END") + " ELSE '' END")} AS reason, CASE WHEN first IS NULL THEN n ELSE 0 END AS rows_read FROM t"""
 _GATE = f"""WITH {_DAY_FIRST}, t AS (SELECT file_id, count(CASE WHEN d <= 12 AND d <> m THEN 1 END) AS ambiguous, count(CASE WHEN d > 12 OR d = m THEN 1 END) AS readable FROM placed GROUP BY file_id)
-SELECT file_id, ambiguous, readable, CASE WHEN ambiguous > 0 THEN 0 ELSE readable END AS kept FROM t"""
+SELECT file_id, ambiguous, readable, CASE WHEN ambiguous > 0 THEN 0 ELSE readable END AS kept,
+  CASE WHEN ambiguous > 0 THEN format('{{:,}}', ambiguous) || ' date' || CASE ambiguous WHEN 1 THEN '' ELSE 's' END || ' in this file could be read two ways. Choose which before importing.' END AS question FROM t"""
 # Header, confidence, whether it is low, and reason of each field under each of HEADERS.
 _REASONS = [
     (0, 'vendorName', 'Vendor', 0.99, False, '"Vendor" is exactly the known vendorName header "vendor"'),
@@ -278,6 +298,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "damaged_invoices": (damaged_invoices, _DAMAGED_INVOICES),
     "damaged_summary": (damaged_summary, _DAMAGED_SUMMARY),
     "damaged_mapping": (damaged_mapping, _DAMAGED_MAPPING),
+    "damaged_preview": (damaged_preview, _DAMAGED_PREVIEW),
     "damaged_unmapped": (damaged_unmapped, _DAMAGED_UNMAPPED),
     "contradicted_orders": (contradicted_orders, _CONTRADICTED),
     "ambiguous_gate": (ambiguous_gate, _GATE),

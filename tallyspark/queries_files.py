@@ -232,7 +232,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "import_summary": (
         import_summary,
         f"""WITH {_LINES}, t AS (SELECT file_id, count(CASE WHEN amount <> 45 THEN 1 END) AS rows_read, count(CASE WHEN amount = 45 THEN 1 END) AS rows_skipped FROM placed GROUP BY file_id)
-SELECT file_id, rows_read, rows_skipped, file_id || ' — ' || rows_read || ' rows' || CASE WHEN rows_skipped > 0 THEN ', ' || rows_skipped || ' skipped' ELSE '' END AS ledger_name, CAST(NULL AS VARCHAR) AS first_error FROM t""",
+SELECT file_id, rows_read, rows_skipped, file_id || ' — ' || format('{{:,}}', rows_read) || ' rows' || CASE WHEN rows_skipped > 0 THEN ', ' || rows_skipped || ' skipped' ELSE '' END AS ledger_name, CAST(NULL AS VARCHAR) AS first_error FROM t""",
     ),
     "import_reconciliation": (import_reconciliation, f"WITH {_LINES} SELECT file_id, count(*) AS records, 0 AS unaccounted FROM placed GROUP BY file_id"),
     "import_preview": (import_preview, f"WITH {_LINES}, t AS ({_WRITTEN}) SELECT file_id, CAST(line AS INTEGER) AS line, vendor_name || '|' || invoice_number || '|' || day || '|' || CASE WHEN amount = 45 THEN 'n/a' ELSE written END || '|' || currency || '||' || coalesce(bank_last4, '') AS cells FROM t WHERE line <= 6"),
@@ -263,9 +263,9 @@ SELECT id, CASE WHEN d > 12 OR d = m THEN CAST(invoice_date AS VARCHAR) END AS d
     "review_refused": (review_refused, f"WITH {DETECT_SQL} SELECT CASE length(finding_key) % 5 WHEN 3 THEN 'a rejection needs a reason' ELSE 'no such finding on this ledger' END AS refused, count(*) AS events FROM found WHERE length(finding_key) % 5 > 2 GROUP BY 1"),
     "review_audit": (
         review_audit,
-        f"""WITH {DETECT_SQL}, e AS (SELECT *, unnest(CASE length(finding_key) % 5 WHEN 0 THEN ['accepted'] WHEN 1 THEN ['rejected'] WHEN 2 THEN ['accepted', 'reopen'] ELSE [] END) AS action FROM found)
-SELECT ledger_id, 'pat' AS who, action, explanation || CASE WHEN action = 'rejected' THEN ' Reason: seen the papers' ELSE '' END AS detail FROM e
-UNION ALL SELECT 'ap', 'system', 'created', 'Projection — ' || count(*) || ' rows' FROM inv""",
+        f"""WITH {DETECT_SQL}, e AS (SELECT *, unnest(CASE length(finding_key) % 5 WHEN 0 THEN ['accepted'] WHEN 1 THEN ['rejected'] WHEN 2 THEN ['accepted', 'reopened'] ELSE [] END) AS action FROM found)
+SELECT ledger_id, 'pat' AS who, action, rule_id || ' — ' || explanation || CASE WHEN action = 'rejected' THEN ' (seen the papers)' ELSE '' END AS detail FROM e
+UNION ALL SELECT 'ap', 'system', 'created', format('{{:,}}', (SELECT count(*) FROM inv)) || ' invoices, ' || (SELECT count(*) FROM found) || ' findings'""",
     ),
     "finding_evidence": (finding_evidence, f"WITH {DETECT_SQL}, e AS (SELECT finding_key, {_IDS} FROM found) SELECT finding_key, CAST(pos AS INTEGER) AS pos, id, CAST(amount AS DOUBLE) AS amount FROM e JOIN inv USING (id)"),
     "flagged_rows": (flagged_rows, f"WITH {DETECT_SQL}, {_FLAGS} SELECT id, flagged_by FROM inv LEFT JOIN flags USING (id)"),

@@ -37,7 +37,9 @@ def test_state_and_totals(spark):
         assert t.open_value + t.accepted_value + t.rejected_value == t.all_value
     assert sorted(r.refused for r in state.refused.collect()) == ["a rejection needs a reason", "no such finding on this ledger", "no such finding on this ledger", "unknown action"]
     audit = review.newest_first(state.audit).collect()
-    assert len(audit) == 3 + 5 and audit[-1].action == "created" and any(r.detail == "k1 told. Reason: twice checked" for r in audit)
+    assert len(audit) == 3 + 5 and audit[-1].action == "created" and any(r.detail == "exact-duplicate — k1 told. (twice checked)" for r in audit)
+    assert {(r.ledger_id, r.who, r.detail) for r in audit if r.action == "created"} == {("l", "system", "10 invoices, 5 findings"), ("m", "system", "5 invoices, 1 finding"), ("n", "system", "5 invoices, 0 findings")}
+    assert sorted(r.action for r in audit if r.action != "created") == ["accepted", "accepted", "rejected", "rejected", "reopened"]
 
 
 def test_visibility_and_erasure(spark):
