@@ -174,20 +174,30 @@ class Text:
     def common(self, a: np.ndarray, b: np.ndarray, known: np.ndarray, most: int) -> np.ndarray:
         """Common prefixes of the suffixes at ``a`` and ``b``, of which ``known`` symbols are equal, up to ``most``."""
         out = np.minimum(known, most).astype(np.int32)
-        left, width = np.flatnonzero(out < most), 4
+        left = np.flatnonzero(out < most)
+        # Four symbols at once where they are short: the lowest bit that differs tells how many are equal.
+        step = 4 if self.symbols.dtype == np.uint16 and self.n > 4 else 1
+        words = np.ndarray(self.n - 3, "<u8", self.symbols, strides=(2,)) if step == 4 else self.symbols
         while len(left):
-            rest = []
-            for some in np.array_split(left, -(-len(left) * width // BLOCK)):
-                ahead = out[some, None] + np.arange(width)
-                x, y = a[some, None] + ahead, b[some, None] + ahead
-                equal = (x < self.n) & (y < self.n)
-                x, y = np.minimum(x, self.n - 1), np.minimum(y, self.n - 1)
-                equal &= (self.symbols[x] == self.symbols[y]) & (x != y)
-                same = np.where(equal.all(axis=1), width, equal.argmin(axis=1))
-                out[some] = np.minimum(out[some] + same, most)
-                rest.append(some[(same == width) & (out[some] < most)])
-            left, width = np.concatenate(rest), 32
-        return out
+            x, y = a[left] + out[left], b[left] + out[left]
+            near = np.maximum(x, y) < len(words)
+            if not near.all():
+                end = left[~near]
+                while len(end):
+                    p, q = a[end] + out[end], b[end] + out[end]
+                    equal = (np.maximum(p, q) < self.n) & (out[end] < most)
+                    equal[equal] = self.symbols[p[equal]] == self.symbols[q[equal]]
+                    end = end[equal]
+                    out[end] += 1
+                left, x, y = left[near], x[near], y[near]
+            differ = words[x] ^ words[y]
+            equal = differ == 0
+            if step == 4:
+                out[left] += np.where(equal, 4, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 4).astype(np.int32)
+            else:
+                out[left] += equal
+            left = left[equal & (out[left] < most)]
+        return np.minimum(out, most)
 
 
 class _Pass:
@@ -334,6 +344,7 @@ def _sorted_directly(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndar
     first = np.append(True, names[order][1:] != names[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    shared = np.where(first, 0, depth)
     while reach < depth:
         # Ranks are places of the first member of a group; only groups of several members are sorted on.
         open_ = np.flatnonzero(~(first & np.append(first[1:], True)))
@@ -344,10 +355,13 @@ def _sorted_directly(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndar
         key = rank[at] * (n + 1) + ahead
         inner = np.argsort(key)
         order[open_], key = at[inner], key[inner]
-        first[open_] = np.append(True, key[1:] != key[:-1])
+        fresh = np.append(True, key[1:] != key[:-1])
+        # Neighbours that part now were equal as far as the last round reached.
+        shared[open_] = np.where(fresh & ~first[open_], reach, shared[open_])
+        first[open_] = fresh
         rank[order[open_]] = np.maximum.accumulate(np.where(first[open_], open_, 0))
         reach *= 2
-    return order, np.where(first, 0, depth)
+    return order, shared
 
 
 def _by_first_symbol(text: Text, leaders: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
@@ -371,12 +385,13 @@ def _by_first_symbol(text: Text, leaders: np.ndarray, memory: int) -> tuple[np.n
 
 def _names(text: Text, leaders: np.ndarray, most: int, memory: int) -> np.ndarray:
     """A number for the stretch from each leader to the next; equal stretches have equal numbers, in their order.  The last one is 0."""
-    is_leader = scratch(np.zeros(text.n, bool))
+    ordinal = scratch(np.full(text.n, -1, np.int32 if text.n < 1 << 31 else np.int64))
     for lo in range(0, len(leaders), BLOCK):
-        is_leader[leaders[lo : lo + BLOCK]] = True
-    name, least, places, names = 0, WHOLE, Column(np.int64), Column(np.int64)
+        ordinal[leaders[lo : lo + BLOCK]] = np.arange(lo, min(lo + BLOCK, len(leaders)))
+    name, least, places, names = 0, WHOLE, Column(ordinal.dtype), Column(np.int64)
     for positions, value, rising in induce(text, *_by_first_symbol(text, leaders, memory), most, memory):
-        own = np.flatnonzero(is_leader[positions]) if rising else np.zeros(0, np.int64)
+        known = ordinal[positions] if rising else np.zeros(0, np.int32)
+        own = np.flatnonzero(known >= 0)
         if not len(own):
             least = min(least, value.min(initial=WHOLE))
             continue
@@ -385,12 +400,12 @@ def _names(text: Text, leaders: np.ndarray, most: int, memory: int) -> np.ndarra
         least = value[own[-1] + 1 :].min(initial=WHOLE)
         label = name + np.cumsum(lows < WHOLE)
         name = int(label[-1])
-        places.append(positions[own])
+        places.append(known[own])
         names.append(label)
     places, names = places.all(), names.all()
     numbers = scratch(np.zeros(len(leaders), np.int64))
     for lo in range(0, len(places), BLOCK):
-        numbers[np.searchsorted(leaders, places[lo : lo + BLOCK])] = name + 1 - names[lo : lo + BLOCK]
+        numbers[places[lo : lo + BLOCK]] = name + 1 - names[lo : lo + BLOCK]
     return numbers
 
 
