@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
-from functools import reduce
+from copy import copy
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,19 +59,6 @@ class ImportOptions:
     default_currency: str | None = None
 
 
-@dataclass(frozen=True)
-class ImportResult:
-    """Invoices (``ledger_id`` is the file), column mapping, unclaimed columns, errors, records, and
-    (file_id, ambiguous): files with dates that read both ways and no order given."""
-
-    invoices: DataFrame
-    mapping: DataFrame
-    unmapped: DataFrame
-    errors: DataFrame
-    records: DataFrame
-    ambiguous: DataFrame
-
-
 def cut(text: Column, most: int = SHOWN) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
 
@@ -92,8 +80,7 @@ def refused_files(records: DataFrame) -> DataFrame:
 
 def unclosed_quote() -> Column:
     """What is wrong with a record whose quote never closes, with the number of lines that it swallowed."""
-    last = F.element_at("cells", -1)
-    swallowed = F.length(last) - F.length(F.replace(last, F.lit("\n"), F.lit("")))
+    swallowed = F.col("swallowed")
     what = F.when(swallowed > 0, told("swallowed", n=swallowed)).otherwise(told("swallowed rest"))
     return _problem(F.col("unterminated_quote"), F.lit("(row)"), cut(F.array_join("cells", ",")), told("unclosed", line=F.col("unterminated_quote"), what=what))
 
@@ -138,7 +125,7 @@ def coerced(body: DataFrame, options: ImportOptions) -> DataFrame:
     spare = (F.size("cells") == F.size("header") + 1) & (F.element_at("cells", -1) == "")
     trimmed = F.when(spare, F.slice("cells", F.lit(1), F.size("header"))).otherwise(F.col("cells"))
     rows = body.withColumn("whole", F.col("cells")).withColumn("cells", trimmed)
-    rows = rows.select("file_id", "line", "unterminated_quote", "header", "at", "comma", "cells", "whole", *(_cell(f).alias(f) for f in FIELDS))
+    rows = rows.select("file_id", "line", "unterminated_quote", "swallowed", "header", "at", "comma", "cells", "whole", *(_cell(f).alias(f) for f in FIELDS))
     rows = c.read_column(rows, F.col("invoiceDate"), c.date_steps(F.lit(options.date_order).cast("string")), "date")
     rows = c.read_column(rows, F.col("amount"), c.amount_steps(F.col("comma")), "money")
     rows = rows.withColumn("code", c.coerce_currency(F.col("currency")))
@@ -171,51 +158,105 @@ def _places(mapping: DataFrame) -> DataFrame:
     return at.where(reduce(lambda a, b: a & b, (F.col(f"at.{f}").isNotNull() for f in REQUIRED)))
 
 
-def import_records(records: DataFrame, options: ImportOptions = ImportOptions()) -> ImportResult:
-    """Invoices and errors of the ``records`` of ``read_records``.
+class ImportResult:
+    """What an import of ``records`` gives; each part is worked out when it is first asked for.
 
-    The coerced records are written once: invoices and errors read the same rows.
+    ``invoices`` (``ledger_id`` is the file), ``mapping`` of columns, ``unmapped`` columns, ``errors``, the
+    ``records`` themselves, and ``ambiguous``: (file_id, ambiguous) of files with dates that read both ways and no
+    order given.  Mapping reads header rows only, unless a date order is given, which the dates may contradict.
+    Coerced records are written once: invoices and errors read the same rows.
     """
-    refused = refused_files(records)
-    headers = records.where("idx = 0")
-    broken = headers.where("unterminated_quote is not null").select("file_id", F.lit(0).alias("nth"), unclosed_quote().alias("p")).select("file_id", "nth", "p.*")
-    headers = headers.where("unterminated_quote is null").select("file_id", "line", "cells")
-    mapping = written_once(suggest_mapping(headers, options.mapping))
-    files = headers.select("file_id", F.col("cells").alias("header")).join(_places(mapping), "file_id")
-    body = records.where("idx > 0")
-    facts = written_once(files.join(file_facts(body.join(files, "file_id"), options.date_order), "file_id", "left"))
-    lacking = missing_fields(headers, mapping)
-    against = contradicted_order(facts, options.date_order) if options.date_order else None
-    read = written_once(coerced(body.join(facts.where("against is null").drop("against", "others"), "file_id"), options))
-    told_rows = read.select("file_id", F.posexplode("problems").alias("nth", "p")).select("file_id", "nth", "p.*")
-    whole_files = [refused, broken, lacking] + ([against] if against is not None else [])
-    errors = reduce(DataFrame.unionByName, [*whole_files, told_rows]).select(*ERROR)
-    fallback = F.lit(options.default_currency or DEFAULT_CURRENCY)
-    invoices = read.where(F.size("problems") == 0).select(
-        F.col("file_id").alias("ledger_id"),
-        F.col("line").cast("long").alias("seq"),
-        F.concat(F.lit("row-"), F.col("line").cast("string")).alias("id"),
-        F.col("vendorName").alias("vendor_name"),
-        F.col("invoiceNumber").alias("invoice_number"),
-        F.col("date.value").alias("invoice_date"),
-        F.col("money.value").alias("amount"),
-        F.coalesce("code.value", "money.currency", fallback).alias("currency"),
-        F.when(F.col("reference") != "", F.col("reference")).alias("reference"),
-        c.bank_digits(F.col("bankLast4")).alias("bank_last4"),
-    )
-    ambiguous = read.where("ambiguous").groupBy("file_id").agg(F.count("*").alias("ambiguous"))
-    unmapped = unmapped_columns(headers, mapping)
-    if not options.default_currency:
-        noted = F.when((F.col("field") == "currency") & F.col("column").isNull(), F.concat("reason", told("no currency column"))).otherwise(F.col("reason"))
-        # Files that stop before their rows keep the plain reason.
-        stopped = reduce(DataFrame.unionByName, whole_files).select("file_id", F.lit(True).alias("stopped")).distinct()
-        mapping = mapping.join(stopped, "file_id", "left").withColumn("reason", F.when(F.col("stopped"), F.col("reason")).otherwise(noted)).drop("stopped")
-    # Files of which no header was read have no column for any field.
-    without = [broken.select("file_id"), refused.select("file_id")]
-    nothing = [F.struct(F.lit(f).alias("field"), F.lit(f"no column in this header row resembles {f}").alias("reason")) for f in FIELDS]
-    bare = reduce(DataFrame.unionByName, without).select("file_id", F.explode(F.array(*nothing)).alias("m"))
-    bare = bare.select("file_id", "m.field", F.lit(None).cast("int").alias("column"), F.lit(None).cast("string").alias("header"), F.lit(0.0).alias("confidence"), "m.reason")
-    return ImportResult(invoices.select([f.name for f in INVOICE.fields]), mapping.unionByName(bare), unmapped, errors, records, ambiguous)
+
+    def __init__(self, records: DataFrame, options: ImportOptions = ImportOptions()) -> None:
+        self.records, self.options = records, options
+
+    @cached_property
+    def _headers(self) -> DataFrame:
+        whole = self.records.where("idx = 0 and unterminated_quote is null")
+        return written_once(whole.select("file_id", "line", "cells"))
+
+    @cached_property
+    def _broken(self) -> DataFrame:
+        """Files whose header has a quote that never closes."""
+        broken = self.records.where("idx = 0 and unterminated_quote is not null")
+        return broken.select("file_id", F.lit(0).alias("nth"), unclosed_quote().alias("p")).select("file_id", "nth", "p.*")
+
+    @cached_property
+    def _suggested(self) -> DataFrame:
+        return written_once(suggest_mapping(self._headers, self.options.mapping))
+
+    @cached_property
+    def _facts(self) -> DataFrame:
+        """The files that have all columns, with what their records say about all of them."""
+        files = self._headers.select("file_id", F.col("cells").alias("header")).join(_places(self._suggested), "file_id")
+        body = self.records.where("idx > 0").join(files, "file_id")
+        return written_once(files.join(file_facts(body, self.options.date_order), "file_id", "left"))
+
+    @cached_property
+    def _stopped(self) -> list[DataFrame]:
+        """Errors that stop a whole file."""
+        against = [contradicted_order(self._facts, self.options.date_order)] if self.options.date_order else []
+        return [refused_files(self.records), self._broken, missing_fields(self._headers, self._suggested), *against]
+
+    @cached_property
+    def _read(self) -> DataFrame:
+        whole = self._facts.where("against is null").drop("against", "others")
+        return written_once(coerced(self.records.where("idx > 0").join(whole, "file_id"), self.options))
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        rows = self._read.select("file_id", F.posexplode("problems").alias("nth", "p")).select("file_id", "nth", "p.*")
+        return reduce(DataFrame.unionByName, [*self._stopped, rows]).select(*ERROR)
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        fallback = F.lit(self.options.default_currency or DEFAULT_CURRENCY)
+        rows = self._read.where(F.size("problems") == 0).select(
+            F.col("file_id").alias("ledger_id"),
+            F.col("line").cast("long").alias("seq"),
+            F.concat(F.lit("row-"), F.col("line").cast("string")).alias("id"),
+            F.col("vendorName").alias("vendor_name"),
+            F.col("invoiceNumber").alias("invoice_number"),
+            F.col("date.value").alias("invoice_date"),
+            F.col("money.value").alias("amount"),
+            F.coalesce("code.value", "money.currency", fallback).alias("currency"),
+            F.when(F.col("reference") != "", F.col("reference")).alias("reference"),
+            c.bank_digits(F.col("bankLast4")).alias("bank_last4"),
+        )
+        return rows.select([f.name for f in INVOICE.fields])
+
+    @cached_property
+    def ambiguous(self) -> DataFrame:
+        return self._read.where("ambiguous").groupBy("file_id").agg(F.count("*").alias("ambiguous"))
+
+    @cached_property
+    def unmapped(self) -> DataFrame:
+        return unmapped_columns(self._headers, self._suggested)
+
+    @cached_property
+    def mapping(self) -> DataFrame:
+        mapping = self._suggested
+        if not self.options.default_currency:
+            noted = F.when((F.col("field") == "currency") & F.col("column").isNull(), F.concat("reason", told("no currency column"))).otherwise(F.col("reason"))
+            # Files that stop before their rows keep the plain reason.
+            stopped = reduce(DataFrame.unionByName, self._stopped).select("file_id", F.lit(True).alias("stopped")).distinct()
+            mapping = mapping.join(stopped, "file_id", "left").withColumn("reason", F.when(F.col("stopped"), F.col("reason")).otherwise(noted)).drop("stopped")
+        # Files of which no header was read have no column for any field.
+        nothing = [F.struct(F.lit(f).alias("field"), F.lit(f"no column in this header row resembles {f}").alias("reason")) for f in FIELDS]
+        bare = self._broken.select("file_id").unionByName(refused_files(self.records).select("file_id")).select("file_id", F.explode(F.array(*nothing)).alias("m"))
+        bare = bare.select("file_id", "m.field", F.lit(None).cast("int").alias("column"), F.lit(None).cast("string").alias("header"), F.lit(0.0).alias("confidence"), "m.reason")
+        return mapping.unionByName(bare)
+
+    def with_invoices(self, invoices: DataFrame) -> ImportResult:
+        """The same result with other invoices."""
+        other = copy(self)
+        other.__dict__["invoices"] = invoices
+        return other
+
+
+def import_records(records: DataFrame, options: ImportOptions = ImportOptions()) -> ImportResult:
+    """Invoices and errors of the ``records`` of ``read_records`` or ``read_large_files``."""
+    return ImportResult(records, options)
 
 
 def import_files(files: DataFrame, options: ImportOptions = ImportOptions()) -> ImportResult:
@@ -223,12 +264,17 @@ def import_files(files: DataFrame, options: ImportOptions = ImportOptions()) ->
     return import_records(written_once(read_records(files)), options)
 
 
+def map_files(files: DataFrame, options: ImportOptions = ImportOptions()) -> DataFrame:
+    """The mapping of ``files(file_id, content)``, of which only header rows are split into cells."""
+    return import_records(written_once(read_records(files, first=0)), options).mapping
+
+
 def gate_ambiguous(result: ImportResult) -> tuple[ImportResult, DataFrame]:
     """The result without invoices of files with ambiguous dates, and these files with their number and what to ask."""
     kept = result.invoices.join(result.ambiguous.select(F.col("file_id").alias("ledger_id")), "ledger_id", "left_anti")
     n = F.col("ambiguous")
     asked = told("ambiguous", n=F.format_number(n, 0), s=F.when(n == 1, "").otherwise("s"))
-    return replace(result, invoices=kept), result.ambiguous.withColumn("question", asked)
+    return result.with_invoices(kept), result.ambiguous.withColumn("question", asked)
 
 
 def import_summary(result: ImportResult) -> DataFrame:
@@ -252,8 +298,12 @@ def unaccounted(result: ImportResult) -> DataFrame:
     return lines.join(known.distinct(), ["file_id", "line"], "left_anti")
 
 
-def preview(result: ImportResult, records: int = 5, errors: int = 12) -> tuple[DataFrame, DataFrame]:
-    """The first records and the first errors of each file."""
-    first = result.records.where(F.col("idx").between(1, records))
-    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("row", "nth"))
-    return first, result.errors.withColumn("place", nth).where(F.col("place") <= errors)
+def first_records(files: DataFrame, records: int = 5) -> DataFrame:
+    """The first records of each file of ``files(file_id, content)``; what is behind them is not split into cells."""
+    return read_records(files, first=records).where("idx > 0")
+
+
+def first_errors(result: ImportResult, errors: int = 12) -> DataFrame:
+    """The first errors of each file, in the order of the file, with their place."""
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("row", "nth"))
+    return result.errors.withColumn("place", place).where(F.col("place") <= errors)

@@ -78,7 +78,7 @@ def damaged_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def damaged_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twelve errors of each damaged export in the order of the file; the limit is the feature."""
-    _, errors = importing.preview(importing.import_files(damaged_exports(spark, sf_dir)))
+    errors = importing.first_errors(importing.import_files(damaged_exports(spark, sf_dir)))
     return errors.select("file_id", "place", "row", "column", "reason")
 
 

@@ -10,8 +10,9 @@ from tallyspark.operators import importing, mapping, review
 from tallyspark.plans.detection import detect
 from tallyspark.plans.review import ReviewState, review_state
 from tallyspark.queries import DETECT_SQL, INVOICES_SQL, Query
-from tallyspark.sources.csv_files import csv_line, export_columns
-from tallyspark.sources.tables import projected_invoices
+from tallyspark.sources.csv_files import csv_line, export_columns, write_csv
+from tallyspark.sources.large_files import read_large_files
+from tallyspark.sources.tables import projected_invoices, shared_folder
 
 # Each supplier's export has one of three layouts.
 HEADERS = [
@@ -58,7 +59,7 @@ def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importing.import_files(supplier_exports(spark, sf_dir)).mapping.select("file_id", "field", "column", "header")
+    return importing.map_files(supplier_exports(spark, sf_dir)).select("file_id", "field", "column", "header")
 
 
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +76,26 @@ def import_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def import_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five records of each file; the limit is the feature."""
-    first, _ = importing.preview(importing.import_files(supplier_exports(spark, sf_dir)))
+    first = importing.first_records(supplier_exports(spark, sf_dir))
     return first.select("file_id", "line", F.array_join("cells", "|").alias("cells"))
 
 
+def _noted(rows: DataFrame) -> DataFrame:
+    """The invoices with references that hold quotes, commas and line ends."""
+    note = F.when(F.col("amount") < 0, F.lit('credit "as agreed",\nsee letter')).when(F.col("amount") == 45, F.lit("fee\r\n(set)")).otherwise(F.col("reference"))
+    return rows.withColumn("reference", note)
+
+
+def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All invoices written as a few large exports with line ends inside cells, and imported by splits."""
+    rows = _noted(projected_invoices(spark, sf_dir))
+    folder = shared_folder(spark, "exports-")
+    write_csv(rows, folder)
+    result = importing.import_records(read_large_files(spark, folder))
+    kept = ["vendor_name", "invoice_number", F.col("invoice_date").cast("string").alias("invoice_date"), F.col("amount").cast("double").alias("amount"), "currency", "reference", "bank_last4"]
+    return result.invoices.select(*kept).groupBy("vendor_name", "invoice_number", "invoice_date", "amount", "currency", "reference", "bank_last4").agg(F.count("*").alias("rows"))
+
+
 def header_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each different header reads as each field, over all exports."""
     heads = supplier_exports(spark, sf_dir).select(F.explode(F.split(F.split_part("content", F.lit("\n"), F.lit(1)), ",")).alias("header"))
@@ -236,6 +253,11 @@ SELECT file_id, rows_read, rows_skipped, file_id || ' — ' || format('{{:,}}',
     ),
     "import_reconciliation": (import_reconciliation, f"WITH {_LINES} SELECT file_id, count(*) AS records, 0 AS unaccounted FROM placed GROUP BY file_id"),
     "import_preview": (import_preview, f"WITH {_LINES}, t AS ({_WRITTEN}) SELECT file_id, CAST(line AS INTEGER) AS line, vendor_name || '|' || invoice_number || '|' || day || '|' || CASE WHEN amount = 45 THEN 'n/a' ELSE written END || '|' || currency || '||' || coalesce(bank_last4, '') AS cells FROM t WHERE line <= 6"),
+    "large_files": (
+        large_files,
+        f"""WITH {INVOICES_SQL} SELECT vendor_name, invoice_number, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(amount AS DOUBLE) AS amount, currency,
+  CASE WHEN amount < 0 THEN 'credit "as agreed",' || chr(10) || 'see letter' WHEN amount = 45 THEN 'fee' || chr(13) || chr(10) || '(set)' END AS reference, bank_last4, count(*) AS rows FROM inv GROUP BY ALL""",
+    ),
     "header_scores": (
         header_scores,
         f"""WITH c AS ({_COLUMNS}), k(field, phrase, place) AS (VALUES {_PHRASES}), p(field, token, weight) AS (VALUES {_AGAINST}),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +20,32 @@ FILES_AT_ONCE = 2
 _BLANK = " \t\x0b\x0c\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _CELL = re.compile(rf'[{_BLANK}]*"(?P<quoted>(?:[^"]+|"")*)(?P<closed>"?)(?P<tail>[^,\r\n]*)|(?P<plain>[^,\r\n]*)')
 _ENDS = re.compile(rf"^[{_BLANK}]+|[{_BLANK}]+$")
-RECORD = "file_id string, idx int, line int, cells array<string>, unterminated_quote int"
+#: ``idx`` is 0 for a file's header, -1 for a file that cannot be read, and otherwise above 0 and rising with the line;
+#: ``swallowed`` counts the line feeds behind a quote that never closes.
+RECORD = "file_id string, idx int, line int, cells array<string>, unterminated_quote int, swallowed long"
 
 
-def split_records(text: str) -> Iterator[tuple[int, list[str], int | None]]:
-    """(start line, cells, line of an unclosed quote) of each record that is not blank.
+class Record(NamedTuple):
+    """Where a record begins and ends in its text, its lines, cells and the line of a quote that never closes."""
+
+    begin: int
+    end: int
+    line: int
+    next_line: int
+    cells: list[str]
+    open_line: int | None
+    blank: bool
+
+
+def records_from(text: str, at: int = 0, line: int = 1) -> Iterator[Record]:
+    """The records of ``text`` from a record's start on, blank ones included.
 
     A quote opens a cell only at its start.  Quoted cells keep every character, text after the closing
     quote included; unquoted cells are stripped.  Only line feeds count as lines inside quotes.
     """
-    at, line, n = int(text[:1] == "\ufeff"), 1, len(text)
+    n = len(text)
     while at < n:
-        cells, start, quotes, open_line = [], line, False, None
+        begin, cells, start, quotes, open_line = at, [], line, False, None
         while True:
             cell = _CELL.match(text, at)
             at = cell.end()
@@ -47,8 +63,12 @@ def split_records(text: str) -> Iterator[tuple[int, list[str], int | None]]:
         if at < n:
             at += 2 if text.startswith("\r\n", at) else 1
             line += 1
-        if quotes or cells != [""]:
-            yield start, cells, open_line
+        yield Record(begin, at, start, line, cells, open_line, not quotes and cells == [""])
+
+
+def split_records(text: str) -> Iterator[tuple[int, list[str], int | None]]:
+    """(start line, cells, line of an unclosed quote) of each record of a file that is not blank."""
+    return ((r.line, r.cells, r.open_line) for r in records_from(text, int(text[:1] == "\ufeff")) if not r.blank)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -67,29 +87,36 @@ def file_fault(text: str) -> tuple[int, str, str] | None:
     return len(re.split("\r\n|\r|\n", before)), "utf-16" if "\0" in text else "lost byte", re.sub("[\0\ufffd]", "?", text[begun : begun + 200])
 
 
-def read_records(files: DataFrame) -> DataFrame:
-    """The records of each file of ``files(file_id, content)``, numbered from 0: the header.
+def read_records(files: DataFrame, first: int | None = None) -> DataFrame:
+    """The records of each file of ``files(file_id, content)``; only the header and ``first`` more, if that is given.
 
     A file that cannot be read has one row instead, numbered -1, whose cells are the kind of its fault
     and the text where it lies.
     """
 
-    def rows_of(file_id: str, text: str) -> list[tuple]:
+    def rows_of(file_id: str, text: str) -> Iterator[tuple]:
         if fault := file_fault(text):
-            return [(file_id, -1, fault[0], list(fault[1:]), None)]
-        return [(file_id, i, line, cells, quote) for i, (line, cells, quote) in enumerate(split_records(text))]
+            yield (file_id, -1, fault[0], list(fault[1:]), None, None)
+            return
+        known = split_records(text)
+        for i, (line, cells, quote) in enumerate(known if first is None else islice(known, first + 1)):
+            yield (file_id, i, line, cells, quote, None if quote is None else cells[-1].count("\n"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
                 rows = rows_of(file_id, content or "")
-                for lo in range(0, len(rows), 20_000):
-                    part = pd.DataFrame(rows[lo : lo + 20_000], columns=["file_id", "idx", "line", "cells", "unterminated_quote"])
-                    yield part.astype({"unterminated_quote": "Int32"})
+                while part := list(islice(rows, 20_000)):
+                    yield record_frame(part)
 
     return files.select("file_id", "content").mapInPandas(split, RECORD)
 
 
+def record_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["file_id", "idx", "line", "cells", "unterminated_quote", "swallowed"])
+    return frame.astype({"unterminated_quote": "Int32", "swallowed": "Int64"})
+
+
 def read_clean_file(spark: SparkSession, path: str, id_column: str) -> DataFrame:
     """The built-in reader for one huge, well-formed file: no lines are known, so the file names its rows.
 
@@ -118,4 +145,4 @@ def csv_line(cells: list[Column]) -> Column:
 
 def write_csv(invoices: DataFrame, path: str) -> None:
     """Write a ledger as CSV files with a header, in parallel."""
-    invoices.select(*export_columns(invoices)).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    invoices.select(*export_columns(invoices)).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

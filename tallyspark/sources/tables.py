@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +20,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written_once(rows: DataFrame) -> DataFrame:
     """``rows`` for several readers: written to the checkpoint folder if the session has one, else cached.
 
-    The written rows have no history, so plans that read them stay short; Spark removes the files with
-    the last reference.  A cached frame stays until the session's cache is cleared.
+    The written rows have no history, so plans that read them stay short.  Spark removes their files with
+    the last reference only where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, which a cluster
+    should set.  A cached frame stays until the session's cache is cleared.
     """
     context = rows.sparkSession.sparkContext
     folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -27,6 +31,16 @@ def written_once(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True) if context.getCheckpointDir() else rows.persist()
 
 
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/{prefix}{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix) + "/rows"
+
+
 def projected_invoices(spark: SparkSession, sf_dir: str, ledger_id: str = "ap") -> DataFrame:
     """Line items as supplier invoices, and a fortnightly contract for each supplier."""
     suppliers = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
