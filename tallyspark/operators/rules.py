@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import matching as m
 from tallyspark.functions.money import money_text
 from tallyspark.model import AMOUNT, Options, as_findings, reading_order
+from tallyspark.operators.cadence import gap_cadences, is_steady, with_previous
 
 #: Round figures are multiples of this.
 ROUND_STEP = 500
@@ -64,17 +65,12 @@ def exact_duplicates(rows: DataFrame, options: Options = Options()) -> DataFrame
 def rekeyed_duplicates(rows: DataFrame, options: Options = Options()) -> DataFrame:
     """Neighbouring bills of one amount under different numbers, off the beat of a contract."""
     key = ["ledger_id", "vendor_norm", "cur", "amount"]
-    group, ordered = Window.partitionBy(*key), Window.partitionBy(*key).orderBy(reading_order())
-    before = F.lag(F.struct("id", "vendor_name", "invoice_number", "invoice_norm", "currency", "invoice_date")).over(ordered)
-    paired = _payables(rows, options.min_amount).withColumn("before", before).withColumn("gap", m.days_between(F.col("before.invoice_date"), F.col("invoice_date")))
-    paced = paired.withColumn("pace", F.median("gap").over(group)).withColumn("n", F.count("*").over(group))
-    held = F.count_if(m.on_schedule(F.col("gap"), F.col("pace"))).over(group)
-    steady = (F.col("n") >= 3) & (F.col("pace") >= 5) & (F.col("held") * 10 >= (F.col("n") - 1) * 7)
-    found = paced.withColumn("held", held).where(
-        (F.col("gap") <= options.rekey_window_days)
-        & (F.col("before.invoice_norm") != F.col("invoice_norm"))
-        & ~F.coalesce(steady & m.on_schedule(F.col("gap"), F.col("pace")), F.lit(False))
-    )
+    paid = _payables(rows, options.min_amount).fillna("", ["vendor_norm"])
+    paired = with_previous(paid, key, ["id", "vendor_name", "invoice_number", "invoice_norm", "currency", "invoice_date"])
+    paired = paired.withColumn("gap", m.days_between(F.col("before.invoice_date"), F.col("invoice_date")))
+    near = paired.where((F.col("gap") <= options.rekey_window_days) & (F.col("before.invoice_norm") != F.col("invoice_norm")))
+    paces = gap_cadences(paired.select(*key, "gap"), key).where(is_steady(F.col("n"), F.col("pace"), F.col("held"))).select(*key, "pace")
+    found = near.join(paces, key, "left").where(~F.coalesce(m.on_schedule(F.col("gap"), F.col("pace")), F.lit(False)))
     text = F.concat(
         F.col("before.vendor_name"), F.lit(" was billed "), money_text(F.col("amount"), F.col("before.currency")), F.lit(" twice within "), F.col("gap").cast("string"),
         F.when(F.col("gap") == 1, " day").otherwise(" days"), F.lit(" under different invoice numbers ("), F.col("before.invoice_number"), F.lit(" and "), F.col("invoice_number"),

@@ -11,8 +11,9 @@ from tallyspark.functions.matching import BRANCH_WORDS, LEGAL_SUFFIXES
 from tallyspark.functions.money import mixed_text, money_text
 from tallyspark.model import FINDING_COLUMNS
 from tallyspark.operators import combine, rules
+from tallyspark.operators.cadence import gap_cadences, is_steady, with_previous
 from tallyspark.plans.detection import detect, raw_findings
-from tallyspark.sources.tables import projected_invoices
+from tallyspark.sources.tables import projected_invoices, written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,7 +148,7 @@ def flat(findings: DataFrame) -> DataFrame:
 
 
 def _rule(rule: Callable) -> Query:
-    return lambda spark, sf_dir: flat(rule(rules.normalise(projected_invoices(spark, sf_dir))))
+    return lambda spark, sf_dir: flat(rule(written_once(rules.normalise(projected_invoices(spark, sf_dir)))))
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,11 +224,12 @@ def transposed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cadence of each supplier's bills of one amount and currency."""
-    from tallyspark.functions import matching as m
-
-    rows = rules.normalise(projected_invoices(spark, sf_dir)).where("amount >= 50")
-    groups = rows.groupBy("vendor_norm", "cur", "amount").agg(m.schedule_cadence(F.collect_list("invoice_date")).cast("double").alias("cadence"))
-    return groups.select("vendor_norm", "cur", F.col("amount").cast("double").alias("amount"), "cadence")
+    key = ["vendor_norm", "cur", "amount"]
+    rows = written_once(rules.normalise(projected_invoices(spark, sf_dir)).where("amount >= 50"))
+    paired = with_previous(rows, key, ["invoice_date"])
+    groups = gap_cadences(paired.select(*key, F.datediff("invoice_date", "before.invoice_date").alias("gap")), key)
+    cadence = F.when(is_steady(F.col("n"), F.col("pace"), F.col("held")), F.col("pace").cast("double"))
+    return groups.select("vendor_norm", "cur", F.col("amount").cast("double").alias("amount"), cadence.alias("cadence"))
 
 
 _FOUND = "SELECT ledger_id, rule_id, severity, amount_at_stake, invoice_ids, explanation, finding_key FROM"
