@@ -9,7 +9,8 @@ from tallyspark.operators import importing, mapping, review
 from tallyspark.queries import INVOICES_SQL, Query
 from tallyspark.queries_files import SUPPLIER, supplier_of
 from tallyspark.sources.csv_files import csv_line
-from tallyspark.sources.tables import projected_invoices, read_table
+from tallyspark.sources.stored import StoredTable, append_audit, erase_everywhere, hour_bucket, ledger_bucket, read_audit, sweep
+from tallyspark.sources.tables import projected_invoices, read_table, shared_folder
 
 KINDS = 8
 HEADER = "Supplier Name,Invoice No,Invoice Date,Net Amount,Currency,Reference,Bank Acc (last 4)"
@@ -158,6 +159,33 @@ def erased_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left["ledgers"].join(counts, "id", "left").select("id", "namespace", F.coalesce("events", F.lit(0)).alias("events"))
 
 
+def stored_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored orders after one owner's ledgers were erased from their files, some ledgers replaced, and old uploads swept."""
+    ledgers, folder = _ledgers(spark, sf_dir), shared_folder(spark, "store-")
+    made = F.timestamp_seconds(F.lit(1_700_000_000) - (F.col("o_orderkey") % 1440) * 60)
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("ledger_id"), F.col("o_orderkey").cast("long").alias("seq"), made.alias("created_at"))
+    events = StoredTable(spark, f"{folder}/events", orders.schema, ledger_bucket(16), ("ledger_id", "seq"))
+    events.put(orders)
+    events.put(orders.where("ledger_id like '%7' and seq % 2 = 0"))
+    asked = ledgers.where("id % 2 = 0").select("id")
+    erase_everywhere([events], review.erasable_of(ledgers, asked, "OWNER-2@example.org"))
+    files = StoredTable(spark, f"{folder}/files", orders.schema, hour_bucket(), ("created_at", "seq"))
+    files.put(orders, key="seq")
+    sweep(files, F.timestamp_seconds(F.lit(1_700_000_000 - 6 * 3600)))
+    kept = events.read().groupBy("ledger_id").agg(F.count("*").alias("events"))
+    live = files.read().groupBy("ledger_id").agg(F.count("*").alias("files"))
+    return kept.join(live, "ledger_id", "full_outer").select("ledger_id", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def stored_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' lines appended in two batches, each of them twice."""
+    folder = shared_folder(spark, "audit-")
+    lines = _ledgers(spark, sf_dir).select(F.col("id").alias("ledger_id"), F.col("namespace").alias("action"))
+    for batch in ("first", "second", "first", "second"):
+        append_audit(spark, lines.where((F.col("ledger_id") % 2 == 0) == (batch == "first")), folder, batch)
+    return read_audit(spark, folder, lines.schema)
+
+
 def live_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as uploaded files of the last day: those that have not outlived six hours at noon."""
     files = read_table(spark, sf_dir, "orders").select("o_orderkey", F.timestamp_seconds(F.lit(1_700_000_000) - (F.col("o_orderkey") % 1440) * 60).alias("created_at"))
@@ -308,6 +336,15 @@ QUERIES: dict[str, tuple[Query, str]] = {
         """WITH left_over AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'demo' ELSE 'uploads' END AS namespace FROM customer WHERE NOT (c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 = 2))
 SELECT CAST(k AS VARCHAR) AS id, namespace, count(o_orderkey) AS events FROM left_over LEFT JOIN orders ON o_custkey = k GROUP BY k, namespace""",
     ),
+    "stored_erasure": (
+        stored_erasure,
+        """WITH o AS (SELECT o_custkey AS k, o_orderkey AS seq FROM orders),
+replaced AS (SELECT DISTINCT k FROM o WHERE k % 10 = 7 AND seq % 2 = 0),
+kept AS (SELECT k, count(*) AS events FROM o WHERE NOT (k % 2 = 0 AND k % 3 <> 0 AND k % 5 = 2) AND (k NOT IN (SELECT k FROM replaced) OR seq % 2 = 0) GROUP BY k),
+live AS (SELECT k, count(*) AS files FROM o WHERE seq % 1440 <= 360 GROUP BY k)
+SELECT CAST(coalesce(kept.k, live.k) AS VARCHAR) AS ledger_id, coalesce(events, 0) AS events, coalesce(files, 0) AS files FROM kept FULL JOIN live ON kept.k = live.k""",
+    ),
+    "stored_audit": (stored_audit, "SELECT CAST(c_custkey AS VARCHAR) AS ledger_id, CASE WHEN c_custkey % 3 = 0 THEN 'demo' ELSE 'uploads' END AS action FROM customer"),
     "live_uploads": (live_uploads, "SELECT o_orderkey FROM orders WHERE o_orderkey % 1440 <= 360"),
 }
 

@@ -1,4 +1,4 @@
-"""Invoices projected from the order tables, and typed ledger tables."""
+"""Invoices projected from the order tables, and frames that several readers share."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.model import AMOUNT, INVOICE
+from tallyspark.model import AMOUNT
 
 CONTRACT_PERIODS = 26
 
@@ -78,19 +78,3 @@ def projected_invoices(spark: SparkSession, sf_dir: str, ledger_id: str = "ap")
         F.lpad((F.col("s_suppkey") * 7919 % 10000).cast("string"), 4, "0").alias("bank_last4"),
     )
     return billed.unionByName(contracts)
-
-
-def read_ledgers(spark: SparkSession, path: str) -> DataFrame:
-    """Invoices that ``write_ledgers`` has written."""
-    return spark.read.schema(INVOICE).parquet(path)
-
-
-def write_ledgers(invoices: DataFrame, path: str) -> None:
-    """Write invoices once, a folder for each ledger; an existing ledger of the same id is replaced."""
-    ordered = invoices.select([f.name for f in INVOICE.fields])
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ledger_id").parquet(path)
-
-
-def append_audit(lines: DataFrame, path: str) -> None:
-    """Add audit lines; earlier lines are never touched."""
-    lines.write.mode("append").parquet(path)

@@ -129,15 +129,3 @@ def test_written_ledger_reads_back(spark, tmp_path):
     csv_files.write_csv(rows, str(tmp_path / "written"))
     again = spark.read.option("header", True).csv(str(tmp_path / "written"))
     assert again.count() == 50 and again.columns == csv_files.EXPORT_HEADER
-
-
-def test_ledger_tables(spark, tmp_path):
-    rows = tables.projected_invoices(spark, "/root/testdata/sf0.001").limit(20)
-    tables.write_ledgers(rows.unionByName(rows.withColumn("ledger_id", F.lit("b"))), str(tmp_path / "l"))
-    tables.write_ledgers(rows.limit(5).withColumn("ledger_id", F.lit("b")), str(tmp_path / "l"))
-    counts = {r.ledger_id: r["count"] for r in tables.read_ledgers(spark, str(tmp_path / "l")).groupBy("ledger_id").count().collect()}
-    assert counts == {"ap": 20, "b": 5}
-    lines = spark.createDataFrame([("a", "x")], "ledger_id string, action string")
-    for _ in range(2):
-        tables.append_audit(lines, str(tmp_path / "audit"))
-    assert spark.read.parquet(str(tmp_path / "audit")).count() == 2
