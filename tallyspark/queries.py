@@ -100,15 +100,19 @@ SPELLING = f"""anchored AS (
   SELECT *, list_transform(list_filter(list_zip(names, range(1, len(names) + 1)), lambda z: list_position(names, z[1]) = z[2]), lambda z: '"' || z[1] || '"') AS shown FROM spelled
 ), spelling AS ({_finding("vendor-spelling-duplicate", "high", "amount * (n - 1)", "ids", f"'Invoice ' || number || ' for ' || {_money('amount', 'money_of')} || ' appears ' || n || ' times, against supplier records that look like the same company: ' || array_to_string(shown, ', ') || '.'", "spellings")})"""
 
-TRANSPOSED = f"""coins AS (
-  SELECT *, CAST(CAST(round(amount * 100) AS BIGINT) AS VARCHAR) AS c FROM paid
-), turned AS (
+TRANSPOSED = f"""coins AS MATERIALIZED (
+  SELECT ledger_id, vendor_norm, cur, id, vendor_name, amount, currency, invoice_date, CAST(invoice_date - DATE '1970-01-01' AS BIGINT) // 22 AS span, CAST(CAST(round(amount * 100) AS BIGINT) AS VARCHAR) AS c FROM paid
+), turned AS MATERIALIZED (
   SELECT *, unnest(list_transform(list_filter(range(1, length(c)), lambda i: substr(c, i, 1) <> substr(c, i + 1, 1)),
     lambda i: substr(c, 1, i - 1) || substr(c, i + 1, 1) || substr(c, i, 1) || substr(c, i + 2))) AS swapped FROM coins
+), cells AS MATERIALIZED (
+  SELECT DISTINCT vendor_norm, cur, c FROM coins
+), asked AS MATERIALIZED (
+  SELECT t.*, unnest([span, span + 1]) AS beside FROM turned t SEMI JOIN cells k ON t.vendor_norm = k.vendor_norm AND t.cur = k.cur AND t.swapped = k.c
 ), swaps AS (
   SELECT a.ledger_id, a.id AS id1, b.id AS id2, a.vendor_name, a.amount AS amount1, b.amount AS amount2, a.currency AS currency1, b.currency AS currency2
-  FROM turned a JOIN coins b ON a.ledger_id = b.ledger_id AND a.vendor_norm = b.vendor_norm AND a.cur = b.cur AND a.swapped = b.c
-  WHERE (a.invoice_date, a.id) < (b.invoice_date, b.id) AND date_diff('day', a.invoice_date, b.invoice_date) <= 21
+  FROM asked a JOIN coins b ON a.vendor_norm = b.vendor_norm AND a.cur = b.cur AND a.swapped = b.c AND a.beside = b.span
+  WHERE a.ledger_id = b.ledger_id AND (a.invoice_date, a.id) < (b.invoice_date, b.id) AND date_diff('day', a.invoice_date, b.invoice_date) <= 21
 ), transposed AS ({_finding("amount-transposition", "medium", "least(amount1, amount2)", "[id1, id2]", f"vendor_name || ' has two invoices days apart for ' || {_money('amount1', 'currency1')} || ' and ' || {_money('amount2', 'currency2')} || ' — the same digits in a different order, which is how a mistyped amount usually looks.'", "swaps")})"""
 
 CREDIT = f"""unused AS (

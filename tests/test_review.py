@@ -76,6 +76,27 @@ def test_known_problems_and_retention(spark):
     assert [r.id for r in review.live_files(files, F.lit(T0)).collect()] == ["a"]
 
 
+def test_equal_stakes_are_numbered_by_many_tasks(spark):
+    from tallyspark.operators.combine import queued
+
+    rows = [("l", i % 3, f"rule-{i % 3}", ("high", "low")[i % 2], Decimal(10), [f"r{i}"], "told", f"k{i:05d}") for i in range(3000)] + [("m", 0, "rule-0", "high", Decimal(i), [f"r{i}"], "told", f"k{i}") for i in range(5)]
+    findings = spark.createDataFrame(rows, FINDINGS)
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = queued(findings)
+        largest = found.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        got = {(r.ledger_id, r.finding_key): r.queue_rank for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for ledger in "lm":
+        own = sorted((r for r in rows if r[0] == ledger), key=lambda r: (r[3] != "high", -r[4], r[1], r[7]))
+        want.update({(ledger, r[7]): k for k, r in enumerate(own, 1)})
+    assert got == want and largest < 2500
+
+
 def test_whole_review_queue(spark):
     from tallyspark import queries
 
