@@ -151,7 +151,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "ve
 
     # The blocks' envelopes alone say where a query block looks first.
     heads = queries.select("d", "q", parted, F.col("low").alias("q_low"), F.col("high").alias("q_high"))
-    promised = dealt.select("d", "part", "block", "low", "high").join(heads, ["d", "part"]).mapInArrow(bounds, "q long, block long, bound double")
+    promised = cut_lineage(dealt.select("d", "part", "block", "low", "high").join(heads, ["d", "part"]).mapInArrow(bounds, "q long, block long, bound double"))
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block"))
     chosen = promised.withColumn("nth", nth).where(F.col("nth") <= FIRST_BLOCKS).select("q", "block")
     first = chosen.join(blocks.select("block", F.col("ids").alias("row_ids"), F.col("data").alias("row_data")), "block").join(queries.select("q", "d", "ids", "data"), "q")
@@ -171,7 +171,14 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, vec_id: str = "ve
     kth = F.row_number().over(Window.partitionBy("q", "place").orderBy(F.desc("score")))
     least = seen.withColumn("nth", kth).where(F.col("nth") == k).groupBy("q").agg(F.collect_list(F.struct("place", "score")).alias("least"))
     asked = cut_lineage(queries.select("q", "d", "ids", "data").join(least, "q", "left"))
-    met = dealt.select("d", "part", F.col("ids").alias("row_ids"), F.col("data").alias("row_data")).join(asked.select("*", parted), ["d", "part"])
+    # A block none of whose bounds reaches the least known k-th score meets no data; scores are integers, so one makes up for rounding.
+    full = (F.size("least") == F.size("ids")) & F.col("least").isNotNull()
+    bars = asked.select("q", F.when(full, F.array_min(F.transform("least", lambda x: x["score"]))).alias("bar"))
+    alive = promised.join(bars, "q").where(F.col("bar").isNull() | (F.col("bound") + 1 >= F.col("bar"))).join(dealt.select("block", "part"), "block")
+    # At most BLOCKS_TOGETHER blocks to a part, more or less.
+    alive = alive.groupBy("q", "part").agg(F.collect_list("block").alias("alive"))
+    met = dealt.select("d", "part", "block", F.col("ids").alias("row_ids"), F.col("data").alias("row_data")).join(asked.join(alive, "q"), ["d", "part"])
+    met = met.where(F.array_contains("alive", F.col("block")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x, ids, y, row_ids, known in pairs(batches, "least"):
