@@ -30,6 +30,11 @@ LAGS = 12
 TERMS = (1 << SHAPE_BITS) + (1 << GRAM_BITS) + LAGS
 #: Documents of one block of cosine products.
 BLOCK = 512
+#: How often a word comes again within a few words is one number for each distance, against thousands for the
+#: n-grams; this weight gives repetition, a mark of poor texts, a say beside them.
+LAG_WEIGHT = 4.0
+#: Cosines of neighbours lie close together; this power lets the nearest of them lead the vote.
+SHARPNESS = 8
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[48:58], _SHAPE[128:] = 65, 97, 48, 97
@@ -70,6 +75,16 @@ def _blocks(column: pa.Array) -> Iterator[np.ndarray]:
             yield term_counts(data[part[0] : part[-1]], part - part[0])
 
 
+def nearest(cosine: np.ndarray, number: int) -> np.ndarray:
+    """The places of the ``number`` largest values of each row; of equal ones the first."""
+    near = np.argpartition(-cosine, number - 1, axis=1)[:, :number]
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1, keepdims=True)
+    # Where more values than there is room for reach the least one, its first holders are taken.
+    for row in np.flatnonzero((cosine >= least).sum(axis=1) > number):
+        near[row] = np.argsort(-cosine[row], kind="stable")[:number]
+    return near
+
+
 @dataclass(frozen=True)
 class NeighbourVote:
     """A fitted model: term weights, latent directions, labelled vectors with their labels and vote weights."""
@@ -93,8 +108,8 @@ class NeighbourVote:
             return out
         cosine = self.latent(counts[full]) @ self.vectors.T
         number = min(self.neighbours, cosine.shape[1])
-        near = np.argpartition(-cosine, number - 1, axis=1)[:, :number]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(float) ** 8 * self.votes[near] + 1e-9
+        near = nearest(cosine, number)
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(float) ** SHARPNESS * self.votes[near] + 1e-9
         out[full] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
 
@@ -147,28 +162,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: DataFrame, sample_per_labe
     """
     held, number = document_frequencies(docs, text)
     weights = np.log((number + 1) / (held + 1) + 0.1).clip(0.05).astype(np.float32)
-    weights[TERMS - LAGS :] = 4.0
+    weights[TERMS - LAGS :] = LAG_WEIGHT
     known = labels.where(F.col(label).isin(0, 1)).select(doc_id, F.col(label).cast("int").alias("__label"))
     known = known.join(learn.select(doc_id), doc_id, "left_semi")
     total = {row["__label"]: row["count"] for row in known.groupBy("__label").count().collect()}
     parts = [known.where(F.col("__label") == kind).orderBy(F.xxhash64(doc_id), doc_id).limit(sample_per_label) for kind in (0, 1)]
     # At most 2 * sample_per_label ids: their size is bounded by the parameter.
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = learn.select(doc_id, F.col(text).cast("string").alias("__text")).join(chosen, doc_id).select("__label", "__text")
+    rows = learn.select(doc_id, F.col(text).cast("string").alias("__text")).join(chosen, doc_id).select("__label", "__text", F.xxhash64(doc_id))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [row.tobytes() for counts in _blocks(batch.column(1)) for row in counts.astype(np.float16)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["label", "counts"])
+            values = [row.tobytes() for counts in _blocks(batch.column(1)) for row in counts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary()), batch.column(2)], names=["label", "counts", "mark"])
 
-    sample = rows.mapInArrow(measure, "label int, counts binary").collect()
+    # At most 2 * sample_per_label rows of TERMS numbers.
+    sample = sorted(rows.mapInArrow(measure, "label int, counts binary, mark long").collect(), key=lambda r: (r.mark, r.label, r.counts))
     marks = np.array([row.label for row in sample], int)
-    matrix = np.array([np.frombuffer(row.counts, np.float16) for row in sample], np.float32).reshape(len(sample), TERMS)
+    matrix = np.array([np.frombuffer(row.counts, np.float32) for row in sample], np.float32).reshape(len(sample), TERMS)
     share = total.get(1, 0) / max(1, sum(total.values())) if total else 0.5
     if not len(sample):
         return NeighbourVote(weights, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), marks, np.zeros(0), share)
-    order = np.lexsort((matrix @ np.arange(TERMS, dtype=np.float32), marks))
-    matrix, marks = np.sqrt(matrix[order]) * weights, marks[order]
+    matrix = np.sqrt(matrix) * weights
     turned = principal_directions(matrix, min(directions, len(matrix)))
     vectors = matrix @ turned
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)

@@ -276,3 +276,10 @@ def test_license_anchors_are_safe(spark, docs, threshold):
         own = [w for w in weights if w.template == template]
         light = sum((w.tf * w.idf) ** 2 for w in own if w.token not in anchors) ** 0.5
         assert light / own[0].length < threshold
+
+
+def test_nearest_takes_the_first_of_equals():
+    values = np.random.default_rng(4).integers(0, 4, (60, 30)) / 4
+    for number in (1, 7, 30):
+        want = np.sort(np.argsort(-values, axis=1, kind="stable")[:, :number], axis=1)
+        assert (np.sort(quality.nearest(values, number), axis=1) == want).all()
