@@ -53,9 +53,22 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("Artistic-1.0", "The \"Artistic License\""),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
@@ -153,10 +166,12 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", templates:
     matched = dots.join(own, key).withColumn("score", score).where((F.col("score") >= threshold) & (F.col("shared") >= LEAST_SHARED))
     best = matched.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence", (-F.col("long")).alias("short"))).alias("b"))
     found = units.select("path", "size", "kind", *key).join(best, key)
-    # The best licence of each text, then of each file.
-    covered = [F.sum(F.when(F.col("kind") == kind, -F.col("b.short"))) for kind in (LINE, PARAGRAPH)]
-    texts = found.groupBy("path", "size").agg(F.min("b").alias("b"), F.greatest(*covered).alias("covered"))
-    whole = F.max((2 * F.coalesce("covered", F.lit(0)) >= F.col("size")).cast("int"))
+    # Of a text's licences the one that covers most words, as lines, neighbouring lines or paragraphs: a stray line never beats a text.
+    covered = [F.coalesce(F.sum(F.when(F.col("kind") == kind, -F.col("b.short"))), F.lit(0)).alias(name) for kind, name in ((LINE, "lines"), (PAIR, "pairs"), (PARAGRAPH, "paragraphs"))]
+    claims = found.groupBy("path", "size", "b.licence").agg(*covered, F.min("b.minus").alias("minus"))
+    claim = F.struct((-F.greatest("lines", "pairs", "paragraphs")).alias("less"), "minus", "licence")
+    texts = claims.groupBy("path", "size").agg(F.min(claim).alias("b"), F.greatest(F.sum("lines"), F.sum("paragraphs")).alias("covered"))
+    whole = F.max((2 * F.col("covered") >= F.col("size")).cast("int"))
     named = texts.groupBy("path").agg(F.min("b").alias("b"), whole.alias("whole"))
     return named.select("path", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"), (F.col("whole") == 1).alias("licence_file"))
 

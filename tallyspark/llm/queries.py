@@ -72,10 +72,13 @@ WITH files AS (
 ), best AS (
   SELECT * FROM matched WHERE score >= {licenses.THRESHOLD}
   QUALIFY row_number() OVER (PARTITION BY path, size, kind, place ORDER BY score DESC, licence, long DESC) = 1
+), claims AS (
+  SELECT path, size, licence, max(score) AS score, coalesce(sum(long) FILTER (kind = 0), 0) AS lines, coalesce(sum(long) FILTER (kind = 1), 0) AS pairs, coalesce(sum(long) FILTER (kind = 2), 0) AS paragraphs
+  FROM best GROUP BY path, size, licence
 ), own AS (
-  SELECT path, arg_min(licence, row(-score, licence)) AS licence, max(score) AS score,
-    2 * greatest(coalesce(sum(CASE WHEN kind = 0 THEN long END), 0), coalesce(sum(CASE WHEN kind = 2 THEN long END), 0)) >= any_value(size) AS whole
-  FROM best GROUP BY path
+  SELECT path, arg_min(licence, row(-greatest(lines, pairs, paragraphs), -score, licence)) AS licence, arg_min(score, row(-greatest(lines, pairs, paragraphs), -score, licence)) AS score,
+    2 * greatest(sum(lines), sum(paragraphs)) >= any_value(size) AS whole
+  FROM claims GROUP BY path
 ), holders AS (
   SELECT regexp_replace(path, '/[^/]*$', '') AS holder, path, licence, score FROM own WHERE whole
   QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, path) = 1

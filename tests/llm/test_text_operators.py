@@ -283,3 +283,22 @@ def test_nearest_takes_the_first_of_equals():
     for number in (1, 7, 30):
         want = np.sort(np.argsort(-values, axis=1, kind="stable")[:, :number], axis=1)
         assert (np.sort(quality.nearest(values, number), axis=1) == want).all()
+
+
+#: Titles, notices and stray lines of licence texts, and the licence that each text is under.
+SIBLINGS = [
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nEveryone is permitted to copy verbatim copies.\n\nAll rights reserved."),
+    ("GPL-2.0", "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nEveryone may copy."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999\n\nEveryone may copy."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nEveryone may copy."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\nDefinitions"),
+    ("BSD-3-Clause", "Copyright The Regents of a place.\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\nmore"),
+    ("Proprietary", "Some words of ours.\nAll rights reserved.\nMore words of ours."),
+]
+
+
+def test_sibling_licences_and_stray_lines(spark):
+    files = spark.createDataFrame([(f"/p/f{i}", text) for i, (_, text) in enumerate(SIBLINGS)] + [(f"/q/g{i}", "plain words here") for i in range(30)], "path string, text string")
+    found = {r.path: r.licence for r in licenses.scan(files).collect()}
+    assert found == {f"/p/f{i}": name for i, (name, _) in enumerate(SIBLINGS)}
