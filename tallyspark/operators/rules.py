@@ -2,6 +2,9 @@
 
 Rows of two ledgers never meet: ``ledger_id`` leads every key.  No rule gathers a supplier's rows in
 one task unless they are a finding's evidence, so a supplier with a third of all rows is dealt out.
+Rows dealt by ``layout.dealt`` are shuffled once more, for the spelling rule; the others group them
+where they lie.  Their joins ask for the layout's columns and more: Spark then moves the small side only
+if ``spark.sql.requireAllClusterKeysForCoPartition`` is off, which a session with large ledgers should set.
 """
 
 from __future__ import annotations
@@ -15,23 +18,25 @@ from tallyspark.functions import matching as m
 from tallyspark.functions.money import money_text
 from tallyspark.model import AMOUNT, Options, as_findings, reading_order
 from tallyspark.operators.cadence import gap_cadences, is_steady, with_previous
+from tallyspark.operators.layout import PLACE, STEP, part_of, step_of
 
 #: Round figures are multiples of this.
 ROUND_STEP = 500
 #: A supplier with so many round figures, or fewer invoices, tells nothing.
 MOST_ROUNDS, LEAST_HISTORY, MOST_ROUND_SHARE = 2, 4, 0.3
-#: A credit is used by a payable this close to it.
-CREDIT_SLACK = 0.005
+# A credit is used by a payable less than ``STEP`` ten-thousandths away.
 
 
 def normalise(invoices: DataFrame) -> DataFrame:
-    """Invoices with the columns that the rules compare."""
+    """Invoices with the columns that the rules compare.  Each supplier is one part; no name counts as an empty one."""
     return invoices.withColumns(
         {
-            "vendor_norm": m.normal_vendor(F.col("vendor_name")),
+            "vendor_norm": F.coalesce(m.normal_vendor(F.col("vendor_name")), F.lit("")),
             "invoice_norm": m.normal_invoice_number(F.col("invoice_number")),
             "cur": m.normal_currency(F.col("currency")),
             "amount": F.col("amount").cast(AMOUNT),
+            "part": F.lit(0),
+            "parts": F.lit(1),
         }
     )
 
@@ -52,8 +57,11 @@ def _ids(rows: str) -> Column:
 
 def exact_duplicates(rows: DataFrame, options: Options = Options()) -> DataFrame:
     """Same supplier record, amount and invoice number."""
-    key = ["ledger_id", "vendor_name", "cur", "amount", "invoice_norm"]
-    groups = _payables(rows, options.min_amount).groupBy(*key).agg(_gathered("id", "invoice_number", "currency").alias("rows")).where(F.size("rows") > 1)
+    key = [*PLACE, "vendor_name", "cur", "amount", "invoice_norm"]
+    paid = _payables(rows, options.min_amount)
+    # Hardly any group repeats: rows are counted where they lie before any is gathered.
+    repeated = paid.withColumn("n", F.count("*").over(Window.partitionBy(*key))).where("n > 1")
+    groups = repeated.groupBy(*key).agg(_gathered("id", "invoice_number", "currency").alias("rows"))
     first, n = F.get("rows", F.lit(0)), F.size("rows")
     text = F.concat(
         F.col("vendor_name"), F.lit(" invoice "), first["invoice_number"], F.lit(" for "), money_text(F.col("amount"), first["currency"]), F.lit(" appears "), n.cast("string"), F.lit(" times. "),
@@ -64,8 +72,8 @@ def exact_duplicates(rows: DataFrame, options: Options = Options()) -> DataFrame
 
 def rekeyed_duplicates(rows: DataFrame, options: Options = Options()) -> DataFrame:
     """Neighbouring bills of one amount under different numbers, off the beat of a contract."""
-    key = ["ledger_id", "vendor_norm", "cur", "amount"]
-    paid = _payables(rows, options.min_amount).fillna("", ["vendor_norm"])
+    key = [*PLACE, "cur", "amount"]
+    paid = _payables(rows, options.min_amount)
     paired = with_previous(paid, key, ["id", "vendor_name", "invoice_number", "invoice_norm", "currency", "invoice_date"])
     paired = paired.withColumn("gap", m.days_between(F.col("before.invoice_date"), F.col("invoice_date")))
     near = paired.where((F.col("gap") <= options.rekey_window_days) & (F.col("before.invoice_norm") != F.col("invoice_norm")))
@@ -109,17 +117,18 @@ def amount_transpositions(rows: DataFrame, options: Options = Options()) -> Data
     """
     span = options.rekey_window_days + 1
     paid = _payables(rows, options.min_amount).where(F.col("invoice_date").isNotNull())
-    cell = ["ledger_id", "vendor_norm", "cur", "span", "cents"]
-    paid = paid.select("ledger_id", "vendor_norm", "cur", F.floor(F.unix_date("invoice_date") / span).alias("span"), m.cents(F.col("amount")).alias("cents"), "vendor_name", "currency", "amount", "invoice_date", "seq", "id")
+    cell = [*PLACE, "cur", "span", "cents"]
+    paid = paid.select(*PLACE, "cur", F.floor(F.unix_date("invoice_date") / span).alias("span"), m.cents(F.col("amount")).alias("cents"), "vendor_name", "currency", "amount", "invoice_date", "seq", "id")
     # Cells that hold a row, then pairs of such cells; only rows of paired cells are joined.
     cells = paid.select(*cell).distinct()
     raised = cells.select("*", F.explode(m.raised_swaps(F.col("cents"))).alias("other")).withColumn("beside", F.explode(F.array(*(F.col("span") + k for k in (-1, 0, 1)))))
-    others = cells.select("ledger_id", "vendor_norm", "cur", F.col("span").alias("beside"), F.col("cents").alias("other"))
+    others = cells.select("ledger_id", "vendor_norm", F.col("part").alias("other_part"), "cur", F.col("span").alias("beside"), F.col("cents").alias("other"))
     paired = raised.join(others, ["ledger_id", "vendor_norm", "cur", "beside", "other"])
     keep = F.struct("vendor_name", "currency", "amount", "invoice_date", "seq", "id")
     low = paired.join(paid.select(*cell, keep.alias("x")), cell)
-    high = paid.select("ledger_id", "vendor_norm", "cur", F.col("span").alias("beside"), F.col("cents").alias("other"), keep.alias("y"))
-    pairs = low.join(high, ["ledger_id", "vendor_norm", "cur", "beside", "other"]).where(m.days_between(F.col("x.invoice_date"), F.col("y.invoice_date")) <= options.rekey_window_days)
+    high = paid.select(*PLACE, "cur", F.col("span").alias("beside"), F.col("cents").alias("other"), keep.alias("y"))
+    low = low.drop("part", "span", "cents").withColumnRenamed("other_part", "part")
+    pairs = low.join(high, [*PLACE, "cur", "beside", "other"]).where(m.days_between(F.col("x.invoice_date"), F.col("y.invoice_date")) <= options.rekey_window_days)
     first = reading_order("x") < reading_order("y")
     pairs = pairs.select("ledger_id", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
     text = F.concat(
@@ -133,16 +142,16 @@ def unapplied_credits(rows: DataFrame, options: Options = Options()) -> DataFram
     """Credit notes that no payable of the same size uses on their day or later.
 
     Payables shrink to the last day of each amount before they meet the credits.  Amounts have four
-    decimals: a credit asks for its own span of ``CREDIT_SLACK`` and the two beside it.
+    decimals: a credit asks for its own step of the layout and the two beside it.
     """
     unit = F.abs(F.col("amount")) * 10_000
-    width = round(CREDIT_SLACK * 10_000)
-    key = ["ledger_id", "vendor_norm", "cur"]
+    key = [*PLACE, "cur"]
     sized = rows.withColumn("u", unit.cast("decimal(24,0)"))
-    last = sized.where("amount > 0").groupBy(*key, "u").agg(F.max("invoice_date").alias("last")).withColumn("span", F.floor(F.col("u") / width))
+    last = sized.where("amount > 0").groupBy(*key, "u").agg(F.max("invoice_date").alias("last")).withColumn("span", step_of(F.col("u")))
     credits = sized.where((F.col("amount") < 0) & (F.abs(F.col("amount")) >= F.lit(options.min_amount)))
-    asked = credits.select(*key, "id", "seq", F.col("u").alias("c"), "invoice_date", F.explode(F.array(*(F.floor(F.col("u") / width) + k for k in (-1, 0, 1)))).alias("span"))
-    used = asked.join(last, [*key, "span"]).where((F.abs(F.col("u") - F.col("c")) < width) & (F.col("last") >= F.col("invoice_date"))).select("ledger_id", "id").distinct()
+    asked = credits.select("ledger_id", "vendor_norm", "parts", "cur", "id", F.col("u").alias("c"), "invoice_date", F.explode(F.array(*(step_of(F.col("u")) + k for k in (-1, 0, 1)))).alias("span"))
+    asked = asked.withColumn("part", part_of(F.col("cur"), F.col("span"), F.col("parts"))).drop("parts")
+    used = asked.join(last, [*key, "span"]).where((F.abs(F.col("u") - F.col("c")) < STEP) & (F.col("last") >= F.col("invoice_date"))).select("ledger_id", "id").distinct()
     open_ = credits.join(used, ["ledger_id", "id"], "left_anti")
     value = F.abs(F.col("amount"))
     text = F.concat(
@@ -161,15 +170,17 @@ def bank_detail_changes(rows: DataFrame, options: Options = Options()) -> DataFr
     key = ["ledger_id", "vendor_norm"]
     paid = _payables(rows, options.min_amount).where(F.col("bank_last4") != "").withColumn("account", m.normal_bank(F.col("bank_last4")))
     paid = paid.withColumn("at", reading_order())
-    firsts = paid.groupBy(*key, "account").agg(F.min(F.struct("at", "vendor_name", "currency", "invoice_date")).alias("first"))
-    ranked = firsts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "account"))).alias("accounts")).where("size(accounts) > 1")
-    moved = ranked.select(*key, F.posexplode("accounts").alias("place", "one"), "accounts").where("place > 0")
-    moved = moved.select(*key, F.col("one.account").alias("account"), F.col("one.first").alias("first"), F.array_join(F.transform(F.slice("accounts", F.lit(1), F.col("place")), lambda a: a["account"]), ", ").alias("earlier"))
-    own = paid.join(moved.select(*key, "account"), [*key, "account"]).groupBy(*key, "account").agg(F.array_sort(F.collect_list("at")).alias("rows"), F.sum("amount").alias("total"))
+    firsts = paid.groupBy(*key, "account").agg(F.min(F.struct("at", "vendor_name", "currency", "invoice_date")).alias("first"), F.max("parts").alias("parts"))
+    ranked = firsts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "account"))).alias("accounts"), F.max("parts").alias("parts")).where("size(accounts) > 1")
+    moved = ranked.select(*key, "parts", F.posexplode("accounts").alias("place", "one"), "accounts").where("place > 0")
+    moved = moved.select(*key, "parts", F.col("one.account").alias("account"), F.col("one.first").alias("first"), F.array_join(F.transform(F.slice("accounts", F.lit(1), F.col("place")), lambda a: a["account"]), ", ").alias("earlier"))
+    # Suppliers with several accounts go to each of their parts.
+    everywhere = lambda few: few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    own = paid.join(everywhere(moved.select(*key, "parts", "account")), [*PLACE, "account"]).groupBy(*key, "account").agg(F.array_sort(F.collect_list("at")).alias("rows"), F.sum("amount").alias("total"))
     # The row before an account's first: one of an earlier row of that day, else the last of an earlier day.
     # Rows shrink to each day's last before days are put in order; only the days of first rows keep their rows.
     begun = moved.select(*key, "account", F.col("first.at").alias("start"), F.col("first.at.undated").alias("undated"), F.col("first.at.day").alias("day"))
-    dated = paid.join(moved.select(*key).distinct(), key, "left_semi").select(*key, "at", F.col("at.undated").alias("undated"), F.col("at.day").alias("day"))
+    dated = paid.join(everywhere(moved.select(*key, "parts").distinct()), PLACE, "left_semi").select(*key, "at", F.col("at.undated").alias("undated"), F.col("at.day").alias("day"))
     days = dated.groupBy(*key, "undated", "day").agg(F.max("at").alias("last"))
     earlier_days = Window.partitionBy(*key).orderBy("undated", "day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("eve", F.max("last").over(earlier_days)).drop("last")
