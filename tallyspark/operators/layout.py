@@ -40,11 +40,12 @@ def dealt(rows: DataFrame, invoices: DataFrame, hot_rows: int | None = None) ->
     """Normalised ``rows`` of ``invoices`` as a table of buckets, sorted by supplier.
 
     Suppliers are counted before their rows are normalised: rows shrink to one for each spelling.  The
-    table lies in a folder that all executors share and keeps its name until the session ends.
+    table lies in a folder that all executors share; its name and files stay until the caller drops them.
     """
     spark = rows.sparkSession
     spelt = invoices.groupBy("ledger_id", "vendor_name").agg(F.count("*").alias("n"))
-    sizes = spelt.groupBy("ledger_id", m.normal_vendor(F.col("vendor_name")).alias("vendor_norm")).agg(F.sum("n").alias("n")).persist()
+    supplier = F.coalesce(m.normal_vendor(F.col("vendor_name")), F.lit(""))
+    sizes = spelt.groupBy("ledger_id", supplier.alias("vendor_norm")).agg(F.sum("n").alias("n")).persist()
     total = sizes.agg(F.sum("n")).first()[0] or 0
     large = max(HOT_ROWS if hot_rows is None else hot_rows, total // HOT_SHARE)
     hot = sizes.where(F.col("n") > large).select("ledger_id", "vendor_norm", F.ceil(F.col("n") / large).cast("int").alias("__parts"))
@@ -54,6 +55,9 @@ def dealt(rows: DataFrame, invoices: DataFrame, hot_rows: int | None = None) ->
     part = part_of(F.col("cur"), step_of(F.abs(F.col("amount")) * 10_000), F.col("parts"))
     name = f"invoices_{uuid.uuid4().hex}"
     writer = marked.withColumn("part", part).repartition(buckets, *PLACE).write.bucketBy(buckets, *PLACE).sortBy(*PLACE)
-    writer.option("path", shared_folder(spark, "invoices-")).saveAsTable(name, format="parquet")
+    # A cluster without a checkpoint folder keeps the table in its warehouse.
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.master.startswith("local"):
+        writer = writer.option("path", shared_folder(spark, "invoices-"))
+    writer.saveAsTable(name, format="parquet")
     sizes.unpersist()
     return spark.table(name)
