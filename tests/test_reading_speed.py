@@ -44,3 +44,14 @@ def test_the_jvm_compiles_what_reads_cells(spark, order):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told)]
     assert sizes and max(sizes) < 8000
+
+
+def test_rows_of_a_few_large_files_are_not_gathered_by_file(spark):
+    """All rows of a file went to one task; with few headers they are read where they lie, with many they are joined as before."""
+    head = ",".join(["Supplier Name", "Invoice No", "Invoice Date", "Net Amount"])
+    text = head + "\n" + "A,1,2026-01-02,3.00\n" * 50
+    files = spark.createDataFrame([("f", text)], "file_id string, content string")
+    result = importing.import_files(files)
+    plan = result.records.where("idx > 0").join(result._known_files(result._facts), "file_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(file_id" not in plan
+    assert result.invoices.count() == 50
